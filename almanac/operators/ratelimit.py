@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from almanac import fixed
 
-_RESULT = "key_id long, event_id long, ts timestamp, admitted boolean, wait_seconds double"
-
 
 def limit_of(tier: Column, limits: dict[str, int]) -> Column:
     """Requests per window of a tier; unknown tiers count as free."""
@@ -72,9 +70,11 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
     times in memory. A run is only as long as its key stays at the limit without a break.
     """
     window_us = window_seconds * 1_000_000
-    log = log.select("key_id", "event_id", "ts",
-                     limit_of(F.col("tier"), limits or fixed.TIER_LIMITS).alias("limit"),
-                     F.floor(F.unix_micros("ts") / window_us).alias("slice"))
+    log = log.select("key_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+                     limit_of(F.col("tier"), limits or fixed.TIER_LIMITS).alias("limit")) \
+             .withColumn("slice", F.floor(F.col("us") / window_us))
+    result = (f"key_id long, event_id long, ts {log.schema['ts'].dataType.simpleString()}, "
+              "admitted boolean, wait_seconds double")
     placed = log.join(busy_slices(log, window_us), ["key_id", "slice"], "left")
     calm = placed.filter(F.col("run").isNull()).select(
         "key_id", "event_id", "ts", F.lit(True).alias("admitted"),
@@ -94,8 +94,7 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
             yield out[["key_id", "event_id", "ts", "admitted", "wait_seconds"]]
 
     busy = (placed.filter(F.col("run").isNotNull())
-            .withColumn("us", F.unix_micros("ts"))
             .repartition("key_id", "run")
             .sortWithinPartitions("key_id", "run", "ts", "event_id")
-            .mapInPandas(replay, _RESULT))
+            .mapInPandas(replay, result))
     return calm.unionByName(busy)

@@ -513,7 +513,7 @@ def _compared(spark, folder):
                                      statements.reference_values(domain.statement_payloads(spark, folder)))
 
 
-_FLAGS = "SELECT company_id, canonical_concept, fiscal_year, our_value, reference_value, round(variance, 9) AS variance FROM flags"
+_FLAGS = "SELECT company_id, canonical_concept, fiscal_year, our_value, reference_value, round(variance, 6) AS variance FROM flags"
 
 
 @register("reference_values", "SELECT company_id, canonical_concept, CAST(end_year AS INTEGER) AS end_year, reference_value FROM reference")
@@ -523,12 +523,12 @@ def reference_values(spark, folder):
 
 @register("crossref_flags", _FLAGS)
 def crossref_flags(spark, folder):
-    return rounded(reconcile.flags(_compared(spark, folder)), "variance")
+    return rounded(reconcile.flags(_compared(spark, folder)), "variance", digits=6)
 
 
 @register("review_queue", _FLAGS)
 def review_queue(spark, folder):
-    return rounded(reconcile.review_queue(reconcile.flags(_compared(spark, folder))), "variance")
+    return rounded(reconcile.review_queue(reconcile.flags(_compared(spark, folder))), "variance", digits=6)
 
 
 @register("crossref_summary", """
@@ -734,7 +734,7 @@ FORMULAS = [
 
 
 @register("template_formula", """
-SELECT company_id, fiscal_year, formula_id, sum(sign * value) AS value
+SELECT company_id, fiscal_year, formula_id, round(sum(sign * value), 3) AS value
 FROM (SELECT company_id, fiscal_year, canonical_concept, value FROM complete
       WHERE fiscal_period = CASE WHEN canonical_concept IN (SELECT canonical_concept FROM tags WHERE is_flow) THEN 'FY' ELSE 'Q4' END)
 JOIN (VALUES ('adjusted', 'operating_income', 1), ('adjusted', 'stock_based_compensation', 1), ('free_cash', 'operating_cash_flow', 1),
@@ -743,8 +743,8 @@ JOIN (VALUES ('adjusted', 'operating_income', 1), ('adjusted', 'stock_based_comp
 GROUP BY company_id, fiscal_year, formula_id""")
 def template_formula(spark, folder):
     formulas = dims.values_table(spark, ["formula_id", "expression"], FORMULAS)
-    return templates.formula_values(formulas, _complete(spark, folder)) \
-        .select("company_id", "fiscal_year", "formula_id", "value")
+    rows = templates.formula_values(formulas, _complete(spark, folder))
+    return rounded(rows, "value", digits=3).select("company_id", "fiscal_year", "formula_id", "value")
 
 
 TEMPLATE = [
@@ -935,9 +935,10 @@ def filing_monitor(spark, folder):
 
 
 def _stream(spark, folder, name):
-    """A table of the folder as a file stream."""
-    return (spark.readStream.schema(domain.table(spark, folder, name).schema)
+    """A table of the folder as a file stream; event times as instants, as watermarks need them."""
+    rows = (spark.readStream.schema(domain.table(spark, folder, name).schema)
             .option("pathGlobFilter", f"{name}.parquet").parquet(folder))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
 def _run_folder(spark, name):
@@ -969,4 +970,5 @@ def rate_limit_stream(spark, folder):
     (admission.admit_requests(stream, LIMITS, WINDOW_SECONDS)
      .writeStream.format("parquet").option("path", f"{place}/audit")
      .option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(admission.RESULT).parquet(f"{place}/audit")
+    audit = spark.read.schema(admission.RESULT).parquet(f"{place}/audit")
+    return audit.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
