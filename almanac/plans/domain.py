@@ -7,13 +7,18 @@ filed). All amounts are integers, so sums do not depend on the order of addition
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
+from hashlib import sha1
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from almanac import dims, fixed
 from almanac.functions import links, names, periods
+from almanac.operators import kpis, pointintime
+from almanac.session import shared_folder
 from almanac.sources.store import FACT_COLUMNS
 
 MEASURES = ["g", "d", "t", "q"]  # gross cents, discounts, taxes, quantity
@@ -23,6 +28,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_LANDED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def landed(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Writes a derived table to the shared folder once per application and data folder.
+
+    Fact tables and payload files are stored inputs: ingest writes them, queries read them, with
+    the columns and rows they need. Without a shared folder the table is derived in every query.
+    """
+
+    @wraps(build)
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        shared = shared_folder(spark)
+        if shared is None:
+            return build(spark, folder)
+        app = spark.sparkContext.applicationId
+        key = (app, folder, build.__name__)
+        if key not in _LANDED:
+            path = f"{shared}/almanac/landed/{app}/{sha1(folder.encode()).hexdigest()[:12]}/{build.__name__}"
+            rows = build(spark, folder)
+            rows.write.mode("overwrite").parquet(path)
+            _LANDED[key] = (path, rows.schema)
+        path, schema = _LANDED[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return read
+
+
 def companies(spark: SparkSession, folder: str) -> DataFrame:
     """id, cik, ticker, name, sic, sector, fye_month."""
     i = F.col("s_suppkey")
@@ -192,6 +225,7 @@ def baseline_amount(concept: str, amount: Column) -> Column:
     return amount * baseline_factor() / F.lit(1000.0 * sign)
 
 
+@landed
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     """The stored fact table: filed facts, and second-source facts of some companies."""
     money = amounts()
@@ -222,9 +256,16 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(False).alias("derived")).select(*FACT_COLUMNS)
 
 
+@landed
+def complete_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact table after ingest, with the derived fourth quarters."""
+    return pointintime.with_derived_q4(facts(spark, folder))
+
+
 # --- Nested inputs ------------------------------------------------------------------------
 
 
+@landed
 def fact_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Company-fact documents, one (company_id, page, payload) per company and fiscal year.
 
@@ -278,6 +319,7 @@ def fact_payloads(spark: SparkSession, folder: str) -> DataFrame:
 STATEMENTS = ["PL", "CF", "BS", "DERIVED"]
 
 
+@landed
 def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Second-source statements, one (company_id, page, payload) per company and fiscal year.
 
@@ -331,6 +373,7 @@ def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("["), F.concat_ws(",", *blocks), F.lit("]")).alias("payload"))
 
 
+@landed
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
     """Filing lists as parallel arrays, newest first, one (company_id, block, payload) per order."""
     c = F.col
@@ -359,6 +402,7 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
                         F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
 
 
+@landed
 def listing_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """The listed-companies map in shards (shard, payload) of 50 customers."""
     k = F.col("c_custkey")
@@ -459,8 +503,6 @@ def kpi_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def kpi_facts(spark: SparkSession, folder: str) -> DataFrame:
     """The stored KPI table: the records of two companies out of three."""
-    from almanac.operators import kpis
-
     stored = kpis.first_found(kpis.validate(kpi_records(spark, folder).filter(F.col("company_id") % 3 != 0)),
                               ["chunk_no"])
     return stored.select(

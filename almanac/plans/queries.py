@@ -627,10 +627,6 @@ def worklist_baseline(spark, folder):
 
 # --- Sheets -------------------------------------------------------------------------------
 
-def _complete(spark, folder):
-    return pointintime.with_derived_q4(domain.facts(spark, folder))
-
-
 @register("sheet_columns", "SELECT company_id, fiscal_year, 'FY' AS fiscal_period FROM annual_columns")
 def sheet_columns(spark, folder):
     return sheets.sheet_columns(domain.facts(spark, folder))
@@ -649,7 +645,7 @@ def sheet_columns_quarterly(spark, folder):
 SELECT company_id, statement, row_no, label, canonical_concept, fiscal_year, 'FY' AS fiscal_period, value, derived, source_url
 FROM annual_cells JOIN layout USING (canonical_concept)""")
 def statement_grid(spark, folder):
-    return sheets.statement_grid(_complete(spark, folder))
+    return sheets.statement_grid(domain.complete_facts(spark, folder))
 
 
 @register("statement_grid_quarterly", """
@@ -657,7 +653,7 @@ SELECT company_id, statement, row_no, label, canonical_concept, fiscal_year, fis
 FROM complete JOIN annual_columns USING (company_id, fiscal_year) JOIN layout USING (canonical_concept)
 WHERE fiscal_period <> 'FY'""")
 def statement_grid_quarterly(spark, folder):
-    return sheets.statement_grid(_complete(spark, folder), "quarterly")
+    return sheets.statement_grid(domain.complete_facts(spark, folder), "quarterly")
 
 
 _MARGINS = " UNION ALL ".join(
@@ -669,7 +665,7 @@ _MARGINS = " UNION ALL ".join(
 
 @register("statement_margins", _MARGINS)
 def statement_margins(spark, folder):
-    return rounded(sheets.statement_margins(_complete(spark, folder)), "value")
+    return rounded(sheets.statement_margins(domain.complete_facts(spark, folder)), "value")
 
 
 @register("statement_fcf", """
@@ -678,7 +674,7 @@ SELECT company_id, fiscal_year, 'FY' AS fiscal_period, 'Free Cash Flow' AS label
        - coalesce(max(value) FILTER (WHERE canonical_concept = 'capex'), 0) AS value
 FROM annual_columns LEFT JOIN annual_cells USING (company_id, fiscal_year) GROUP BY company_id, fiscal_year""")
 def statement_fcf(spark, folder):
-    return sheets.statement_free_cash_flow(_complete(spark, folder))
+    return sheets.statement_free_cash_flow(domain.complete_facts(spark, folder))
 
 
 PICKED = ["revenue", "net_income", "total_assets"]
@@ -689,7 +685,7 @@ SELECT company_id, label, fiscal_year, value FROM annual_cells JOIN layout USING
 WHERE canonical_concept IN {oracle.listing(PICKED)}
 UNION ALL SELECT company_id, label, fiscal_year, value FROM ({_MARGINS}) WHERE label = 'Net Margin %'""")
 def statement_picker(spark, folder):
-    facts = _complete(spark, folder)
+    facts = domain.complete_facts(spark, folder)
     cells = sheets.statement_grid(facts, picked=PICKED)
     ratios = rounded(sheets.statement_margins(facts, picked=PICKED), "value")
     columns = ["company_id", "label", "fiscal_year", "value"]
@@ -743,7 +739,7 @@ JOIN (VALUES ('adjusted', 'operating_income', 1), ('adjusted', 'stock_based_comp
 GROUP BY company_id, fiscal_year, formula_id""")
 def template_formula(spark, folder):
     formulas = dims.values_table(spark, ["formula_id", "expression"], FORMULAS)
-    rows = templates.formula_values(formulas, _complete(spark, folder))
+    rows = templates.formula_values(formulas, domain.complete_facts(spark, folder))
     return rounded(rows, "value", digits=3).select("company_id", "fiscal_year", "formula_id", "value")
 
 
@@ -770,7 +766,7 @@ SELECT * FROM (
   UNION ALL SELECT company_id, fiscal_year, 5, 'Assets', assets FROM w
   UNION ALL SELECT company_id, fiscal_year, 6, 'Sum', coalesce(capex, 0) + coalesce(assets, 0) FROM w) WHERE value IS NOT NULL""")
 def template_sheet(spark, folder):
-    return templates.template_sheet(TEMPLATE, _complete(spark, folder)).drop("derived")
+    return templates.template_sheet(TEMPLATE, domain.complete_facts(spark, folder)).drop("derived")
 
 
 @register("bulk_export_manifest", """

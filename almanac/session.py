@@ -26,22 +26,24 @@ def build_session(app: str = "almanac", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors can reach: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Without that setting a local session (tests, a laptop) gets a temporary folder of its own, and
+    a cluster gets none: its machines' own folders are no place for shared data.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not folder and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else None
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``; it survives the loss of executors."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
