@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Entities that are decoded by name (fixed values); the ampersand comes last so that an escaped
 # entity is decoded once only.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"),
             ("&mdash;", "—"), ("&amp;", "&")]
 
@@ -33,13 +33,18 @@ def html_to_text(html: Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
-def occurrences(text: Column, word: Column) -> Column:
-    """Non-overlapping occurrences of a non-empty word."""
-    gone = F.length(text) - F.length(F.replace(text, word, F.lit("")))
-    return (gone / F.length(word)).cast("int")
-
-
 def keyword_score(text: Column, keywords: Column) -> Column:
-    """Sum of the case-insensitive occurrences of all keywords."""
+    """Sum over the keywords of their non-overlapping, case-insensitive occurrences.
+
+    Removing a word shortens the text by its length per occurrence. The lowered text and its
+    length are bound once as a one-element array, not computed again for every keyword.
+    """
     lowered = F.lower(text)
-    return F.aggregate(keywords, F.lit(0), lambda total, word: total + occurrences(lowered, F.lower(word)))
+    bound = F.array(F.struct(lowered.alias("text"), F.length(lowered).alias("length")))
+
+    def hits(body: Column, word: Column) -> Column:
+        left = F.length(F.replace(body["text"], word, F.lit("")))
+        return ((body["length"] - left) / F.length(word)).cast("int")
+
+    return F.transform(bound, lambda body: F.aggregate(
+        keywords, F.lit(0), lambda total, word: total + hits(body, F.lower(word))))[0]

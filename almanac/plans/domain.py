@@ -375,31 +375,33 @@ def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 @landed
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
-    """Filing lists as parallel arrays, newest first, one (company_id, block, payload) per order."""
-    c = F.col
-    lines = table(spark, folder, "lineitem").groupBy(c("l_orderkey").alias("block")).agg(
-        F.min("l_suppkey").alias("company_id"),
-        F.sort_array(F.collect_list(F.struct(
-            (-F.unix_date(F.to_date("l_shipdate"))).alias("age"), "l_linenumber", "l_partkey", "l_suppkey",
-            F.to_date("l_shipdate").alias("day")))).alias("lines"))
-    cik = names.padded_cik(c("company_id") + 1000)
+    """Filing lists as parallel arrays, newest first, one (company_id, block, payload) per order.
+
+    Every order is a page of one to five filings; the same accession returns on other pages.
+    """
+    key, company = F.col("o_orderkey"), F.floor(F.col("o_custkey") / 15)
     forms = F.array(*[F.lit(f) for f in ["10-K", "10-Q", "8-K", "4", "S-8"]])
+    places = F.sequence(F.lit(0), (key % 5).cast("int"))
+
+    def day(n: Column) -> Column:
+        return F.date_sub(F.to_date("o_orderdate"), n * 20)
 
-    def accession(e: Column) -> Column:
-        return F.concat(cik, F.lit("-"), F.date_format(e["day"], "yy-MM"),
-                        (e["l_linenumber"] % 3).cast("string"))
+    def accession(n: Column) -> Column:
+        return F.concat(names.padded_cik(company + 1000), F.lit("-"), F.date_format(day(n), "yy-MM"),
+                        (n % 3).cast("string"))
 
-    def document(e: Column) -> Column:
-        return F.when((c("block") + e["l_linenumber"]) % 6 == 0, "").otherwise(F.concat(
-            F.lit("x"), c("block").cast("string"), F.lit("_"), e["l_linenumber"].cast("string"), F.lit(".htm")))
+    def document(n: Column) -> Column:
+        name = F.concat(F.lit("x"), key.cast("string"), F.lit("_"), n.cast("string"), F.lit(".htm"))
+        return F.when((key + n) % 6 == 0, "").otherwise(name)
 
     recent = F.struct(
-        F.transform("lines", lambda e: F.get(forms, e["l_linenumber"] % 5)).alias("form"),
-        F.transform("lines", accession).alias("accessionNumber"),
-        F.transform("lines", lambda e: e["day"].cast("string")).alias("filingDate"),
-        F.transform("lines", document).alias("primaryDocument"))
-    return lines.select("company_id", "block",
-                        F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
+        F.transform(places, lambda n: F.get(forms, ((key + n) % 5).cast("int"))).alias("form"),
+        F.transform(places, accession).alias("accessionNumber"),
+        F.transform(places, lambda n: day(n).cast("string")).alias("filingDate"),
+        F.transform(places, document).alias("primaryDocument"))
+    return table(spark, folder, "orders").select(
+        company.alias("company_id"), key.alias("block"),
+        F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
 
 
 @landed

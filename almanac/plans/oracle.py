@@ -285,11 +285,12 @@ CTE["flags"] = """
 SELECT company_id, canonical_concept, fiscal_year, our_value, reference_value, variance FROM compared WHERE variance > 0.01"""
 
 CTE["submission_rows"] = f"""
-SELECT o.company_id, l_orderkey AS block, {CIK.format('o.company_id')} || '-' || strftime(l_shipdate, '%y-%m') || (l_linenumber % 3) AS accession_number,
-       (['10-K', '10-Q', '8-K', '4', 'S-8'])[l_linenumber % 5 + 1] AS form, CAST(l_shipdate AS DATE) AS filed_date,
-       CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN '' ELSE 'x' || l_orderkey || '_' || l_linenumber || '.htm' END AS document,
-       row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_linenumber, l_partkey, l_suppkey) - 1 AS position
-FROM lineitem l JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS company_id FROM lineitem GROUP BY 1) o ON o.k = l.l_orderkey"""
+SELECT company_id, block, position, {CIK.format('company_id')} || '-' || strftime(day, '%y-%m') || (position % 3) AS accession_number,
+       (['10-K', '10-Q', '8-K', '4', 'S-8'])[(block + position) % 5 + 1] AS form, day AS filed_date,
+       CASE WHEN (block + position) % 6 = 0 THEN '' ELSE 'x' || block || '_' || position || '.htm' END AS document
+FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) - CAST(position * 20 AS INTEGER) AS DATE) AS day FROM (
+  SELECT o_custkey // 15 AS company_id, o_orderkey AS block, o_orderdate,
+         CAST(UNNEST(range(o_orderkey % 5 + 1)) AS INTEGER) AS position FROM orders))"""
 CTE["listed"] = """
 SELECT c_custkey AS place, 1000 + c_custkey // 2 AS cik_number, lpad(CAST(1000 + c_custkey // 2 AS VARCHAR), 10, '0') AS cik,
        'S' || (c_custkey // 3) || CASE WHEN c_custkey % 11 = 0 THEN '-W' ELSE '' END AS ticker,

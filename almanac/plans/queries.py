@@ -165,7 +165,7 @@ def baseline_facts_quarterly(spark, folder):
 _HTML = "html"
 for _pattern in (r"<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>", r"<[^>]*>"):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', chr(10), 'gsi')"
-for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+for _entity, _char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
                        ("&apos;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"),
                        ("&mdash;", "—"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
