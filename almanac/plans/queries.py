@@ -948,7 +948,7 @@ def filing_monitor_stream(spark, folder):
     place = _run_folder(spark, "monitor")
     stream = domain.filings_from_orders(_stream(spark, folder, "orders"))
     monitor.watch_filings(stream, f"{place}/seen", f"{place}/checkpoint").awaitTermination()
-    return monitor.seen_filings(spark, f"{place}/seen").drop("batch")
+    return monitor.seen_filings(spark, f"{place}/seen").drop("run", "batch")
 
 
 @register("usage_stream", "SELECT key_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM log GROUP BY ALL")

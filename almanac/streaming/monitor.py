@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from hashlib import sha1
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from almanac import fixed
 
 FILING_KEY = ["company_id", "accession_number"]
-SEEN = "company_id long, accession_number string, form string, filed_date date, batch long"
+SEEN = "company_id long, accession_number string, form string, filed_date date, run string, batch long"
 
 
 def new_filings(filings: DataFrame, seen: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def refresh_list(fresh: DataFrame) -> DataFrame:
         F.bool_or(F.col("form").isin(fixed.FINANCIAL_FORMS)).alias("refresh"))
 
 
-def seen_filings(spark, path: str) -> DataFrame:
+def seen_filings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEEN).parquet(path)
 
 
@@ -33,20 +35,22 @@ def watch_filings(filings: DataFrame, seen_path: str, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
     """Appends every new watched filing of a stream to the seen table, exactly once.
 
-    The history is unbounded and exact because it is a table, not operator state. A batch that is
-    repeated after a failure ignores and replaces what it wrote before.
+    The history is unbounded and exact because it is a table, not operator state. Batches are
+    stored by checkpoint and number: one repeated after a failure ignores and replaces what it
+    wrote before, and a stream started over with another checkpoint replaces nothing.
     """
+    run = sha1(checkpoint.encode()).hexdigest()[:12]
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = seen_filings(spark, seen_path).filter(F.col("batch") != batch_id)
+        own = (F.col("run") == run) & (F.col("batch") == batch_id)
+        seen = seen_filings(batch.sparkSession, seen_path).filter(~own)
         (new_filings(batch, seen)
          .select(*FILING_KEY, "form", "filed_date")
-         .write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}"))
+         .write.mode("overwrite").parquet(f"{seen_path}/run={run}/batch={batch_id}"))
 
-    # An empty first partition lets the first batch read the table.
-    spark = filings.sparkSession
-    spark.createDataFrame([], SEEN).drop("batch").write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    # An empty partition lets the first batch read the table.
+    empty = filings.sparkSession.createDataFrame([], SEEN).drop("run", "batch")
+    empty.write.mode("overwrite").parquet(f"{seen_path}/run=none/batch=0")
     return (filings.writeStream.foreachBatch(record)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
