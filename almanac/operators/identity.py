@@ -54,16 +54,17 @@ def recover_companies(facts: DataFrame, known: DataFrame, primary: DataFrame) ->
     one_each = (found.groupBy("cik_number").agg(F.min("company_id").alias("company_id"))
                 .withColumn("cik", names.padded_cik(F.col("cik_number")))
                 .join(known.select("cik"), "cik", "left_anti"))
-    taken = known.select("ticker")
-    listed = one_each.join(primary.select("cik_number", "ticker", "title"), "cik_number", "left")
+    taken = known.select("ticker", F.lit(True).alias("taken"))
+    listed = (one_each.join(primary.select("cik_number", "ticker", "title"), "cik_number", "left")
+              .join(taken, "ticker", "left"))
     # A free listed ticker goes to the lowest id asking for it, everyone else gets a number.
-    free = listed.filter(F.col("ticker").isNotNull()).join(taken, "ticker", "left_anti")
-    own = first_by(free, ["ticker"], ["company_id"])
+    owners = (listed.filter(F.col("ticker").isNotNull() & F.col("taken").isNull())
+              .groupBy("ticker").agg(F.min("company_id").alias("company_id"))
+              .withColumn("owner", F.lit(True)))
     number = F.substring(F.concat(F.lit("CIK"), F.col("cik_number").cast("string")), 1, 12)
-    rest = (listed.join(own.select("company_id"), "company_id", "left_anti")
-            .select("company_id", "cik", number.alias("ticker"), F.coalesce("title", number).alias("name")))
-    used = taken.unionByName(own.select("ticker"))
-    rest = first_by(rest.join(used, "ticker", "left_anti"), ["ticker"], ["company_id"])
-    return (own.select("company_id", "cik", "ticker", F.coalesce("title", "ticker").alias("name"))
-            .unionByName(rest.select("company_id", "cik", "ticker", "name"))
-            .withColumn("name", F.substring("name", 1, 255)))
+    named = listed.join(owners, ["ticker", "company_id"], "left").select(
+        "company_id", "cik", F.coalesce("owner", F.lit(False)).alias("owner"), "title",
+        F.when(F.col("owner"), F.col("ticker")).otherwise(number).alias("ticker"))
+    free = named.join(taken, "ticker", "left_anti")
+    return first_by(free, ["ticker"], [F.desc("owner"), "company_id"]).select(
+        "company_id", "cik", "ticker", F.substring(F.coalesce("title", "ticker"), 1, 255).alias("name"))

@@ -201,7 +201,7 @@ def manifest_lines(manifest: DataFrame) -> DataFrame:
 
 
 def write_sheets(grid: DataFrame, path: str) -> None:
-    """Exports sheets partitioned by company bucket, each company's rows together."""
+    """Exports sheets clustered by company: each file holds a range of companies, row by row."""
     (grid.repartitionByRange("company_id").sortWithinPartitions("company_id", "row_no", "fiscal_year")
          .write.mode("overwrite").parquet(path))
 

@@ -101,7 +101,7 @@ def accession_documents(spark, folder):
 
 
 @register("latest_filings", """
-SELECT company_id, form, accession_number, filed_date, document, rank FROM (
+SELECT company_id, form, accession_number, filed_date, document, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filed_date DESC, sequence DESC) AS rank
   FROM filings WHERE form IN ('10-K', '10-Q')) WHERE rank <= 1""")
 def latest_filings(spark, folder):
@@ -110,7 +110,7 @@ def latest_filings(spark, folder):
 
 
 @register("archive_selection", """
-SELECT company_id, form, accession_number, filed_date, rank, 'S' || company_id || '/' || accession_number || '/' || document AS path
+SELECT company_id, form, accession_number, filed_date, CAST(rank AS INTEGER) AS rank, 'S' || company_id || '/' || accession_number || '/' || document AS path
 FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filed_date DESC, sequence DESC) AS rank
       FROM filings WHERE form IN ('10-K', '10-Q', '8-K')) JOIN companies ON id = company_id WHERE rank <= 5""")
 def archive_selection(spark, folder):
@@ -129,7 +129,7 @@ def ticker_dimension(spark, folder):
 
 
 @register("statement_unpivot", """
-SELECT company_id, page, statement, "column", canonical_concept, period, end_date, publish_date, value FROM statement_cells""")
+SELECT company_id, CAST(page AS INTEGER) AS page, statement, "column", canonical_concept, period, end_date, publish_date, value FROM statement_cells""")
 def statement_unpivot(spark, folder):
     return statements.statement_unpivot(domain.statement_payloads(spark, folder)).select(
         "company_id", "page", "statement", "column", "canonical_concept", "period", "end_date",
@@ -795,18 +795,18 @@ def bulk_export_lists(spark, folder):
 
 # --- Text and KPIs ------------------------------------------------------------------------
 
-@register("doc_chunks", "SELECT doc_id, chunk_no, start, chunk FROM chunks")
+@register("doc_chunks", "SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, chunk FROM chunks")
 def doc_chunks(spark, folder):
     return chunks.doc_chunks(domain.documents(spark, folder)).select("doc_id", "chunk_no", "start", "chunk")
 
 
-@register("chunk_scores", "SELECT doc_id, chunk_no, start, score FROM scores")
+@register("chunk_scores", "SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, score FROM scores")
 def chunk_scores(spark, folder):
     return chunks.chunk_scores(domain.documents(spark, folder)).select("doc_id", "chunk_no", "start", "score")
 
 
 @register("top_chunks", """
-SELECT doc_id, CAST(place AS INTEGER) AS place, start, score, chunk FROM (
+SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(start AS INTEGER) AS start, score, chunk FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS place FROM scores) WHERE place <= 6""")
 def top_chunks(spark, folder):
     return chunks.top_chunks(domain.documents(spark, folder)).select("doc_id", "place", "start", "score", "chunk")

@@ -161,6 +161,12 @@ def test_statement_sheets(spark):
     assert grid["total_assets", 2024] == 4000 and grid["net_income", 2024] == 7 and ("revenue", 2010) not in grid
 
 
+def test_sheet_export(spark, tmp_path):
+    grid = sheets.statement_grid(frame(spark, [fact(company=c, value=c) for c in (1, 2, 3)]))
+    sheets.write_sheets(grid, str(tmp_path / "sheets"))
+    assert spark.read.parquet(str(tmp_path / "sheets")).exceptAll(grid).count() == 0
+
+
 def test_last_years_count_from_the_bounds(spark):
     facts = frame(spark, [fact(fy=y) for y in range(2000, 2020)])
     years = sorted(r.fiscal_year for r in sheets.sheet_columns(facts, year_to=2015).collect())
