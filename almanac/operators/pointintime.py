@@ -66,29 +66,34 @@ def annual_values(facts: DataFrame) -> DataFrame:
     return annual_facts(facts).select(*YEAR_KEY, "fiscal_period", "end_date", "value")
 
 
+def best_by_period(facts: DataFrame, carried: dict[str, list[str]], *extra: Column) -> DataFrame:
+    """One row per (company, concept, year) with the current fact of each wanted period side by side.
+
+    ``carried`` names the fields to keep per period. The current fact is the minimum of a struct
+    that starts with the selection order, so all periods come out of one aggregation that is
+    partially done before its only shuffle. ``extra`` adds further aggregates.
+    """
+    order = [concepts.tag_priority(F.col("concept")).alias("o1"), (-F.unix_date("filed_date")).alias("o2"),
+             F.col("accession_number").alias("o3"), F.col("concept").alias("o4"), F.col("derived").alias("o5")]
+
+    def best(period: str, fields: list[str]) -> Column:
+        pick = F.struct(*order, F.struct(*fields).alias("fact"))
+        return F.min(F.when(F.col("fiscal_period") == period, pick))["fact"].alias(period)
+
+    return facts.groupBy(*YEAR_KEY).agg(*[best(p, fields) for p, fields in carried.items()], *extra)
+
+
 def derive_q4(facts: DataFrame) -> DataFrame:
     """Q4 = FY - (Q1 + Q2 + Q3) for flows without any Q4 row.
 
-    One aggregation per (company, concept, year), partially done before the shuffle: the best
-    reported row of each period is a minimum over an ordering struct, and a Q4 row of any kind
-    blocks the year.
+    Only reported rows enter the difference, but a Q4 row of any kind blocks the year.
     """
-    reported = ~F.col("derived")
-    order = [concepts.tag_priority(F.col("concept")).alias("o1"),
-             (-F.unix_date("filed_date")).alias("o2"),
-             F.col("accession_number").alias("o3"), F.col("concept").alias("o4")]
-    carried = ["concept", "unit", "value", "end_date", "form", "accession_number", "filed_date",
-               "source_url"]
-
-    def best(period: str, columns: list[str]) -> Column:
-        pick = F.struct(*order, F.struct(*columns).alias("fact"))
-        return F.min(F.when(reported & (F.col("fiscal_period") == period), pick))["fact"].alias(period)
-
-    years = (facts.filter(concepts.is_flow(F.col("canonical_concept")))
-             .groupBy(*YEAR_KEY)
-             .agg(best("FY", carried), best("Q1", ["value"]), best("Q2", ["value"]),
-                  best("Q3", ["value"]),
-                  F.coalesce(F.bool_or(F.col("fiscal_period") == "Q4"), F.lit(False)).alias("has_q4")))
+    kept = ["concept", "unit", "value", "end_date", "form", "accession_number", "filed_date", "source_url"]
+    flows = facts.filter(concepts.is_flow(F.col("canonical_concept"))
+                         & (~F.col("derived") | (F.col("fiscal_period") == "Q4")))
+    years = best_by_period(
+        flows, {"FY": kept, "Q1": ["value"], "Q2": ["value"], "Q3": ["value"]},
+        F.coalesce(F.bool_or(F.col("fiscal_period") == "Q4"), F.lit(False)).alias("has_q4"))
     complete = years.filter(~F.col("has_q4") & F.col("FY").isNotNull() & F.col("Q1").isNotNull()
                             & F.col("Q2").isNotNull() & F.col("Q3").isNotNull())
     return complete.select(

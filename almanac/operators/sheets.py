@@ -127,11 +127,13 @@ def annual_or_q4(facts: DataFrame) -> DataFrame:
 
 
 def annual_grid(facts: DataFrame) -> DataFrame:
-    """Compact annual grid: the last years with a shown value, empty concepts left out."""
-    cells = annual_or_q4(facts)
-    years = last_years(cells, fixed.GRID_YEARS)
-    return cells.join(years, ["company_id", "fiscal_year"], "left_semi") \
-                .select("company_id", "canonical_concept", "fiscal_year", "value")
+    """Compact annual grid: the last years with a shown value, empty concepts left out.
+
+    Annual cells are few per company, so their years are ranked where they are.
+    """
+    year_rank = F.dense_rank().over(Window.partitionBy("company_id").orderBy(F.desc("fiscal_year")))
+    return (annual_or_q4(facts).withColumn("_rank", year_rank).filter(F.col("_rank") <= fixed.GRID_YEARS)
+            .select("company_id", "canonical_concept", "fiscal_year", "value"))
 
 
 def eps_split_adjust(facts: DataFrame) -> DataFrame:
@@ -166,13 +168,11 @@ def value_lookup(requests: DataFrame, companies: DataFrame, facts: DataFrame) ->
         F.round("year").cast("int").alias("fiscal_year"),
         F.upper(F.coalesce(F.nullif("period", F.lit("")), F.lit("FY"))).alias("period"))
     asked = asked.join(companies.select(F.col("id").alias("company_id"), "ticker"), "ticker", "left")
-    by_period = pointintime.latest(facts).groupBy(*pointintime.YEAR_KEY).agg(*[
-        F.max(F.when(F.col("fiscal_period") == p, F.col("value"))).alias(p)
-        for p in ["FY", *fixed.QUARTERS]])
+    by_period = pointintime.best_by_period(facts, {p: ["value"] for p in ["FY", *fixed.QUARTERS]})
     found = asked.join(by_period, pointintime.YEAR_KEY, "left")
-    value = F.when(F.col("period") == "FY", F.coalesce("FY", "Q4"))
+    value = F.when(F.col("period") == "FY", F.coalesce("FY.value", "Q4.value"))
     for quarter in fixed.QUARTERS:
-        value = value.when(F.col("period") == quarter, F.col(quarter))
+        value = value.when(F.col("period") == quarter, F.col(f"{quarter}.value"))
     return found.select("request_id", "ticker", "canonical_concept", "fiscal_year", "period",
                         value.alias("value"))
 
