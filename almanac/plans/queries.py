@@ -939,7 +939,10 @@ def _stream(spark, folder, name):
 
 def _run_folder(spark, name):
     """A new place for a run's output and checkpoint in the folder all executors share."""
-    return f"{shared_folder(spark)}/almanac/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{folder}/almanac/{name}-{uuid.uuid4().hex}"
 
 
 @register("filing_monitor_stream", """
