@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import exact_dedup
+from almanac.llm import divergence, exact_dedup
 from almanac.llm.common import table
 
 
@@ -18,6 +18,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(table(spark, folder, "documents"))
+
+
+QUERIES = {"op2_divergence": op2_divergence, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLE = {"op6_exact_dedup": OP6_SQL}
