@@ -28,8 +28,8 @@ N_COMMON = 17
 MIN_WORDS = 50
 MIN_CHARS = 200
 #: Largest distances of a kept document: what is allowed at any length, and what sampling adds at n items.
-MAX_CHAR_JS, CHAR_NOISE = 0.30, 1.0
-MAX_WORD_JS, WORD_NOISE = 0.40, 2.0
+MAX_CHAR_JS, CHAR_NOISE = 0.16, 1.0
+MAX_WORD_JS, WORD_NOISE = 0.35, 0.5
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -69,18 +69,25 @@ def measures(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def _sums(column: str, size: int) -> Column:
-    return F.array(*[F.coalesce(F.sum(F.get(column, F.lit(n))), F.lit(0)) for n in range(size)])
+def _typical(column: str, size: int) -> Column:
+    """The median share of each item, brought to a sum of one: junk among the documents hardly moves it."""
+    shares = _shares(F.col(column))
+    return F.array(*[F.coalesce(F.percentile_approx(F.get(shares, F.lit(n)), 0.5, 10000), F.lit(0.0)) for n in range(size)])
+
+
+def _normal(shares: Column) -> Column:
+    total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.transform(shares, lambda x: x / total))
 
 
 def references(rows: DataFrame) -> DataFrame:
     """Shares of each character class and common word per language, over rows that pass the base rules."""
     good = rows.where("not base_failed")
-    sums = [_sums("char_counts", len(CHAR_CLASSES) + 1).alias("c"), _sums("word_counts", N_COMMON + 1).alias("w")]
+    sums = [_typical("char_counts", len(CHAR_CLASSES) + 1).alias("c"), _typical("word_counts", N_COMMON + 1).alias("w")]
     by_lang = good.where(F.col("lang_key") != OTHER).groupBy("lang_key").agg(*sums)
     all_langs = good.groupBy().agg(*sums).select(F.lit(OTHER).alias("lang_key"), "c", "w")
     return by_lang.unionByName(all_langs).select(
-        "lang_key", _shares(F.col("c")).alias("char_ref"), _shares(F.col("w")).alias("word_ref"))
+        "lang_key", _normal(F.col("c")).alias("char_ref"), _normal(F.col("w")).alias("word_ref"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
