@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def whole(text: Column) -> Column:
 def in_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``SLICE_BYTES`` of ``column``; a longer row stands alone."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         start = held = 0
         for row, size in enumerate(sizes.to_pylist()):
             if held and held + (size or 0) > SLICE_BYTES:
