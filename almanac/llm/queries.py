@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, packing, rule_ensemble
+from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble
 from almanac.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(table(spark, folder, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"))
+
+
 def op7_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return rule_ensemble.classify(docs, rule_ensemble.train(docs, table(spark, folder, "labels")))
@@ -32,7 +36,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_divergence": op2_divergence, "op6_exact_dedup": op6_exact_dedup,
+QUERIES = {"op2_divergence": op2_divergence, "op4_jaccard_join": op4_jaccard_join,
+           "op6_exact_dedup": op6_exact_dedup,
            "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing}
 
 ORACLE = {"op6_exact_dedup": OP6_SQL}
