@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble
+from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble, substring_dedup
 from almanac.llm.common import table
 
 
@@ -18,6 +18,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.report(table(spark, folder, "documents"))
+
+
 def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(table(spark, folder, "documents"))
 
@@ -36,7 +40,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_divergence": op2_divergence, "op4_jaccard_join": op4_jaccard_join,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_divergence, "op4_jaccard_join": op4_jaccard_join,
            "op6_exact_dedup": op6_exact_dedup,
            "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing}
 
