@@ -4,14 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble, substring_dedup
-from almanac.llm.common import table
+from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble, substring_dedup, warc
+from almanac.llm.common import saved, table
 
 
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op10_merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage of a second replica of the pages' records, found through both replicas' trees."""
+    first = saved(warc.to_records(table(spark, folder, "pages")), "replica")
+    second = saved(warc.damaged_copy(first), "replica")
+    return warc.audit(first, second).drop("file", "offset")
+
+
+OP10_SQL = """
+WITH body AS (SELECT page_id, url, coalesce(html, '') AS html,
+                     trim(regexp_replace(coalesce(url, ''), '\\s+', ' ', 'g')) AS address FROM pages),
+named AS (SELECT *, md5(address || chr(10) || html) AS h FROM body),
+records AS (
+    SELECT page_id, url, substr(md5(coalesce(page_id::VARCHAR, '')), 1, 2) AS mark, array_to_string([
+        'WARC/1.0', 'WARC-Type: resource',
+        'WARC-Record-ID: <urn:uuid:' || array_to_string([h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]], '-') || '>',
+        'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Target-URI: ' || address, 'Content-Type: text/html',
+        'Content-Length: ' || strlen(html), '', html, '', ''], chr(13) || chr(10)) AS record FROM named)
+SELECT page_id, url, CASE mark WHEN '00' THEN 'altered' WHEN '01' THEN 'truncated' ELSE 'missing' END AS status,
+       sha256(record) AS sha256_first,
+       CASE mark WHEN '00' THEN sha256(left(record, length(record) - 5) || '#' || right(record, 4))
+                 WHEN '01' THEN sha256(left(record, length(record) - 10)) END AS sha256_second
+FROM records WHERE mark IN ('00', '01', '02')
+"""
+
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -42,6 +66,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_divergence, "op4_jaccard_join": op4_jaccard_join,
            "op6_exact_dedup": op6_exact_dedup,
-           "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing}
+           "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing,
+           "op10_merkle_audit": op10_merkle_audit}
 
-ORACLE = {"op6_exact_dedup": OP6_SQL}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op10_merkle_audit": OP10_SQL}
