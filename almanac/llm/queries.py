@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, jaccard_join, packing, rule_ensemble, substring_dedup, warc
+from almanac.llm import divergence, exact_dedup, jaccard_join, license_scan, packing, rule_ensemble, substring_dedup, warc
 from almanac.llm.common import saved, table
 
 
@@ -50,6 +50,10 @@ def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(table(spark, folder, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
 
@@ -64,7 +68,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_divergence, "op4_jaccard_join": op4_jaccard_join,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_divergence, "op3_license_scan": op3_license_scan,
+           "op4_jaccard_join": op4_jaccard_join,
            "op6_exact_dedup": op6_exact_dedup,
            "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing,
            "op10_merkle_audit": op10_merkle_audit}
