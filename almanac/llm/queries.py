@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, jaccard_join, license_scan, packing, rule_ensemble, substring_dedup, warc
+from almanac.llm import divergence, exact_dedup, jaccard_join, language_id, license_scan, packing, rule_ensemble, substring_dedup, warc
 from almanac.llm.common import saved, table
 
 
@@ -12,6 +12,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = rule_ensemble.remainder(docs["doc_id"], 4) == 2
+    return language_id.identify(docs, language_id.train(docs.where(~held_out)), held_out)
+
+
 def op10_merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Damage of a second replica of the pages' records, found through both replicas' trees."""
     first = saved(warc.to_records(table(spark, folder, "pages")), "replica")
@@ -72,6 +78,6 @@ QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_div
            "op4_jaccard_join": op4_jaccard_join,
            "op6_exact_dedup": op6_exact_dedup,
            "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing,
-           "op10_merkle_audit": op10_merkle_audit}
+           "op9_language_id": op9_language_id, "op10_merkle_audit": op10_merkle_audit}
 
 ORACLE = {"op6_exact_dedup": OP6_SQL, "op10_merkle_audit": OP10_SQL}
