@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import divergence, exact_dedup, jaccard_join, language_id, license_scan, packing, rule_ensemble, substring_dedup, warc
+from almanac.llm import divergence, exact_dedup, jaccard_join, language_id, license_scan, packing, piece_lattice, rule_ensemble, substring_dedup, warc
 from almanac.llm.common import saved, table
 
 
@@ -42,6 +42,10 @@ SELECT page_id, url, CASE mark WHEN '00' THEN 'altered' WHEN '01' THEN 'truncate
 FROM records WHERE mark IN ('00', '01', '02')
 """
 
+def op5_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_lattice.summaries(table(spark, folder, "documents"))
+
+
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -76,7 +80,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_divergence": op2_divergence, "op3_license_scan": op3_license_scan,
            "op4_jaccard_join": op4_jaccard_join,
-           "op6_exact_dedup": op6_exact_dedup,
+           "op5_piece_lattice": op5_piece_lattice, "op6_exact_dedup": op6_exact_dedup,
            "op7_rule_ensemble": op7_rule_ensemble, "op8_packing": op8_packing,
            "op9_language_id": op9_language_id, "op10_merkle_audit": op10_merkle_audit}
 
