@@ -36,8 +36,10 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     threshold shares a band with probability ``recall`` using at most ``max_hashes`` hashes."""
     best = None
     for rows in range(1, max_hashes + 1):
-        miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else int(np.ceil(np.log(1 - recall) / np.log(miss)))
+        same = threshold**rows
+        if same < 1e-9:
+            break
+        bands = 1 if same >= 1 else int(np.ceil(np.log1p(-recall) / np.log1p(-same)))
         if bands * rows <= max_hashes:
             best = (max(1, bands), rows)
     if best is None:
@@ -84,12 +86,12 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "grams"])
 
 
-def _links(grams: list[np.ndarray], buckets: list[np.ndarray], bucket: int, split: int, threshold: Fraction) -> np.ndarray:
+def _links(grams: list[np.ndarray], buckets: list[np.ndarray], bucket: int, split: int | None, threshold: Fraction) -> np.ndarray:
     """Matrix of linked pairs among classes, of which the first ``split`` are the one side of the tile
-    (0: both sides are the same)."""
+    (None: both sides are the same)."""
     n = len(grams)
     pairs = np.triu(np.ones((n, n), bool), 1)
-    if split:
+    if split is not None:
         pairs[:split, :split] = pairs[split:, split:] = False
     sizes = np.array([len(g) for g in grams])
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
@@ -142,7 +144,7 @@ def _tile(rows: list[tuple], threshold: Fraction) -> list[tuple]:
     own = sorted(seen.values(), key=lambda r: (r[0] != left, r[1]))
     if len(own) < 2:
         return []
-    split = sum(r[0] == left for r in own) if left != right else 0
+    split = sum(r[0] == left for r in own) if left != right else None
     links = _links([np.frombuffer(r[3], np.uint64) for r in own], [np.array(r[2], np.int64) for r in own], bucket, split, threshold)
     degree = links.sum(axis=0) + links.sum(axis=1)
     nodes = np.array([r[1] for r in own])
