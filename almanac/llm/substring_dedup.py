@@ -187,14 +187,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = _keyed(docs, doc_id, text)
     work = partial(_super_kmers, window=window, mini=mini)
     kmers = saved(map_arrow(source.where("text is not null"), work, _KMERS, "text"), "kmers")
-    twice = kmers.groupBy("mini").agg(F.count("*").alias("_n")).where("_n > 1").select("mini")
+    # counts are stored before they are joined, so that a minimiser of very many rows is split over tasks
+    twice = saved(kmers.groupBy("mini").agg(F.count("*").alias("_n")).where("_n > 1").select("mini"), "twice")
     found = saved(kmers.join(twice, "mini", "left_semi"), "shared")
     first = F.min(F.struct("doc_id", "text_key", "start", "n")).alias("first")
     strings = saved(found.groupBy("mini", "digest").agg(F.count("*").alias("copies"), first), "strings")
     copied = found.join(strings.where("copies > 1").select("mini", "digest"), ["mini", "digest"], "left_semi")
     copied = copied.select("doc_id", "text_key", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
     mixed = strings.groupBy("mini").agg(F.count("*").alias("strings"), F.min("copies").alias("least"))
-    mixed = mixed.where("strings > 1 and least = 1").select("mini", (F.col("strings") > bucket_strings).alias("large"))
+    mixed = saved(mixed.where("strings > 1 and least = 1").select("mini", (F.col("strings") > bucket_strings).alias("large")), "mixed")
     wanted = strings.join(mixed, "mini").select(
         F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"),
         F.struct(F.col("first.start").alias("start"), F.col("first.n").alias("n"), "mini",
@@ -208,7 +209,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = texts.join(large, "mini", "left_semi").select(*texts.columns)
     rows = saved(map_arrow(rows, partial(_windows, window=window),
                            "doc_id long, text_key long, single boolean, digest binary, start int", "packed"), "windows")
-    again = rows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest")
+    again = saved(rows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"), "again")
     counted = rows.where("single").join(again, "digest", "left_semi").select(
         "doc_id", "text_key", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
     return saved(copied.unionByName(compared).unionByName(counted), "spans")
