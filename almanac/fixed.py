@@ -198,7 +198,6 @@ MARGIN_ROWS: list[tuple[str, str, str]] = [
     ("Operating Margin %", "operating_income", "revenue"),
     ("Net Margin %", "net_income", "revenue"),
 ]
-SHEET_YEARS = 10
 # concepts shown in the compact annual grid
 GRID_CONCEPTS = [
     "revenue", "cost_of_revenue", "gross_profit", "research_development", "sga_expense",
@@ -206,10 +205,8 @@ GRID_CONCEPTS = [
     "stock_based_compensation", "cash_and_equivalents", "total_assets", "total_liabilities",
     "stockholders_equity", "long_term_debt",
 ]
-GRID_YEARS = 8
 SPLIT_FACTORS = [2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 15, 20, 21, 25, 28, 30, 40, 50]
 SPLIT_MIN_RATIO = 1.5
-EXPORT_TICKERS = 50
 SEARCH_PAGE = 60
 
 # --- KPI targets: label -> keywords ---------------------------------------------------------
@@ -273,11 +270,8 @@ SECTOR_KPIS: dict[str, dict[str, list[str]]] = {
 CHUNK_SIZE = 15_000
 CHUNK_STEP = 14_500
 MAX_CHUNKS = 6
-# stored lengths of KPI text fields
-KPI_LENGTHS = {"name": 128, "value_text": 128, "unit": 64, "period": 64, "quote": 1024}
 
 # --- Request limits -----------------------------------------------------------------------
 TIER_LIMITS = {"free": 60, "pro": 600, "enterprise": 6000}
 LIMIT_WINDOW_SECONDS = 60
-MAX_USAGE_DAYS = 90
 PAID_STATUSES = ["active", "trialing"]

@@ -9,7 +9,7 @@ from almanac import fixed
 
 
 def _folder(cik: Column, accession: Column) -> Column:
-    return F.concat(cik.cast("long").cast("string"), F.lit("/"),
+    return F.concat(cik.try_cast("long").cast("string"), F.lit("/"),
                     F.regexp_replace(accession, "-", ""), F.lit("/"))
 
 
@@ -27,7 +27,3 @@ def viewer_url(cik: Column, accession: Column, document: Column) -> Column:
 def audit_url(cik: Column, accession: Column, document: Column) -> Column:
     """The viewer where the document is known, else the filing's index page."""
     return F.coalesce(viewer_url(cik, accession, document), index_url(cik, accession))
-
-
-def document_url(cik: Column, accession: Column, document: Column) -> Column:
-    return F.concat(F.lit(fixed.ARCHIVE_URL), _folder(cik, accession), document)

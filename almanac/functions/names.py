@@ -41,7 +41,7 @@ def cik_from_url(url: Column) -> Column:
     """The company number inside an audit link, from its path or its query."""
     path = F.nullif(F.regexp_extract(url, r"/data/(\d+)/", 1), F.lit(""))
     query = F.nullif(F.regexp_extract(url, r"CIK=0*(\d+)", 1), F.lit(""))
-    return F.coalesce(path, query).cast("long")
+    return F.coalesce(path, query).try_cast("long")
 
 
 def plain_symbol(ticker: Column) -> Column:

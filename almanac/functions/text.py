@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities that are decoded by name (fixed values); the ampersand comes last so that an escaped
-# entity is decoded once only.
-ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"),
-            ("&mdash;", "—"), ("&amp;", "&")]
+# Named references of HTML 4 from the standard library's table, and the apostrophe of XML.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# Numbers 128 to 159 mean the characters of this code page, as browsers read them.
+C1_PAGE = "cp1252"
+REPLACEMENT = "\ufffd"
+
+
+def _reference(part: Column) -> Column:
+    """What follows an ampersand, with the reference at its start decoded; unknown ones stay."""
+    name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
+    decimal = F.regexp_extract(part, "^#([0-9]{1,9});", 1)
+    hexadecimal = F.regexp_extract(part, "^#[xX]([0-9A-Fa-f]{1,7});", 1)
+    rest = F.regexp_replace(part, "^[#A-Za-z0-9]+;", "")
+    code = F.when(decimal != "", decimal.try_cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("long"))
+    page = F.array(*[F.lit(bytes([n]).decode(C1_PAGE, "replace")) for n in range(128, 160)])
+    wrong = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    char = (F.when(wrong, REPLACEMENT).when(code.between(128, 159), F.get(page, (code - 128).cast("int")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), name)
+    return F.when(code.isNotNull(), F.concat(char, rest)).when(named.isNotNull(), F.concat(named, rest)) \
+            .otherwise(F.concat(F.lit("&"), part))
+
+
+def decode_entities(text: Column) -> Column:
+    """Text with its character references decoded once: by name, decimal and hexadecimal."""
+    parts = F.split(text, "&", -1)
+    decoded = F.transform(parts, lambda part, n: F.when(n == 0, part).otherwise(_reference(part)))
+    return F.array_join(decoded, "")
 
 
 LINE_BREAK = "[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
+# A tag ends at the first > outside its quoted values, or at the first > where a quote is left open.
+TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+'|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*>"""
 OUTER_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -26,10 +53,8 @@ def html_to_text(html: Column) -> Column:
     body = F.regexp_replace(html, r"(?is)<!--.*?-->", "\n")
     body = F.regexp_replace(body, r"(?is)<script\b[^>]*>.*?</script\s*>", "\n")
     body = F.regexp_replace(body, r"(?is)<style\b[^>]*>.*?</style\s*>", "\n")
-    body = F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
-    for entity, char in ENTITIES:
-        body = F.replace(body, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(body, LINE_BREAK), strip)
+    body = F.regexp_replace(body, TAG, "\n")
+    lines = F.transform(F.split(decode_entities(body), LINE_BREAK), strip)
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 

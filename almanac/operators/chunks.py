@@ -19,10 +19,10 @@ def doc_chunks(documents: DataFrame, size: int = fixed.CHUNK_SIZE,
                step: int = fixed.CHUNK_STEP) -> DataFrame:
     """Overlapping chunks (chunk_no, start, chunk) covering every document."""
     others = [c for c in documents.columns if c != "text"]
-    return (documents
-            .select(*others, "text", F.posexplode(_starts(F.col("text"), step)).alias("chunk_no", "start"))
-            .withColumn("chunk", F.substring("text", F.col("start") + 1, F.lit(size)))
-            .drop("text"))
+    cut = F.transform(_starts(F.col("text"), step), lambda start: F.struct(
+        start.alias("start"), F.substring("text", start + 1, F.lit(size)).alias("chunk")))
+    return (documents.select(*others, F.posexplode(cut).alias("chunk_no", "cut"))
+            .select(*others, "chunk_no", "cut.start", "cut.chunk"))
 
 
 def chunk_scores(documents: DataFrame, keywords: str = "keywords", size: int = fixed.CHUNK_SIZE,

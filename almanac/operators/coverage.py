@@ -32,10 +32,11 @@ def sector_list(companies: DataFrame) -> DataFrame:
 
 
 def bulk_worklist(listed: DataFrame, companies: DataFrame, facts: DataFrame,
-                  target: int | None = None, stored_only: bool = False) -> DataFrame:
+                  target: int | None = None, covered: int | None = None, stored_only: bool = False) -> DataFrame:
     """Listed tickers still to ingest, in listed order.
 
-    ``target`` counts companies in the database, so the list holds what is missing to reach it.
+    ``target`` counts companies in the database, of which ``covered`` have facts by the caller's own
+    count, so the list holds what is missing to reach it.
     """
     have = companies.join(filed_companies(facts), companies["id"] == F.col("company_id"), "left_semi") \
                     .select("ticker").distinct()
@@ -46,7 +47,9 @@ def bulk_worklist(listed: DataFrame, companies: DataFrame, facts: DataFrame,
     ordered = first.orderBy("place").select("ticker", "place.shard", "place.position")
     if target is None:
         return ordered
-    return ordered.limit(max(target - have.count(), 0))
+    if covered is None:
+        raise ValueError("a target needs the number of covered companies")
+    return ordered.limit(max(target - covered, 0))
 
 
 def kpi_sweep_worklist(companies: DataFrame, kpis: DataFrame, sectors_only: bool = False) -> DataFrame:

@@ -21,22 +21,22 @@ def universe_match(universe: DataFrame, ciks: DataFrame) -> DataFrame:
              .join(listed, "ticker")
              .filter(names.names_agree(F.col("name"), F.col("listed_name"))))
     return first_by(pairs, ["cik"], ["position"]).select(
-        "ticker", "cik", F.substring(F.coalesce("name", "listed_name"), 1, 255).alias("name"),
-        F.substring(names.sector_name(F.col("sector_name")), 1, 64).alias("sector"))
+        "ticker", "cik", F.coalesce("name", "listed_name").alias("name"),
+        names.sector_name(F.col("sector_name")).alias("sector"))
 
 
 def relink_sources(facts: DataFrame, companies: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts with the audit link deepened to the document where its filing resolves.
 
-    Second-source rows and unresolved filings keep their link.
+    Second-source rows, which have no document, pass by the join; unresolved filings keep their link.
     """
     known = documents.join(companies.select(F.col("id").alias("company_id"), "cik"), "company_id") \
         .select("company_id", "accession_number",
                 links.viewer_url(F.col("cik"), F.col("accession_number"), F.col("document")).alias("deep_url"))
-    joined = facts.join(known, ["company_id", "accession_number"], "left")
-    use = (F.col("accession_number") != fixed.BASELINE_ACCESSION) & F.col("deep_url").isNotNull()
-    return joined.withColumn("source_url", F.when(use, F.col("deep_url")).otherwise(F.col("source_url"))) \
-                 .select(*facts.columns)
+    filed = F.coalesce(F.col("accession_number") != fixed.BASELINE_ACCESSION, F.lit(False))
+    joined = facts.filter(filed).join(known, ["company_id", "accession_number"], "left")
+    deeper = joined.withColumn("source_url", F.coalesce("deep_url", "source_url")).select(*facts.columns)
+    return deeper.unionByName(facts.filter(~filed))
 
 
 def recover_companies(facts: DataFrame, known: DataFrame, primary: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def recover_companies(facts: DataFrame, known: DataFrame, primary: DataFrame) ->
 
     Known ids are skipped and so are numbers already in use; of several ids for one company number
     the lowest stays. The primary listed ticker is taken unless it is in use; then, or without a
-    listing, the company gets "CIK<number>" (12 characters), or nothing if that is in use too.
+    listing, the company gets "CIK<number>", or nothing if that is in use too.
     Lower ids claim tickers first.
     """
     found = (facts.withColumn("cik_number", names.cik_from_url(F.col("source_url")))
@@ -61,10 +61,10 @@ def recover_companies(facts: DataFrame, known: DataFrame, primary: DataFrame) ->
     owners = (listed.filter(F.col("ticker").isNotNull() & F.col("taken").isNull())
               .groupBy("ticker").agg(F.min("company_id").alias("company_id"))
               .withColumn("owner", F.lit(True)))
-    number = F.substring(F.concat(F.lit("CIK"), F.col("cik_number").cast("string")), 1, 12)
+    number = F.concat(F.lit("CIK"), F.col("cik_number").cast("string"))
     named = listed.join(owners, ["ticker", "company_id"], "left").select(
         "company_id", "cik", F.coalesce("owner", F.lit(False)).alias("owner"), "title",
         F.when(F.col("owner"), F.col("ticker")).otherwise(number).alias("ticker"))
     free = named.join(taken, "ticker", "left_anti")
     return first_by(free, ["ticker"], [F.desc("owner"), "company_id"]).select(
-        "company_id", "cik", "ticker", F.substring(F.coalesce("title", "ticker"), 1, 255).alias("name"))
+        "company_id", "cik", "ticker", F.coalesce("title", "ticker").alias("name"))

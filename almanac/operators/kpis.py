@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac import fixed
 from almanac.functions.numbers import to_number, variant_number
 from almanac.functions.text import strip
 from almanac.sources.store import first_by
@@ -45,7 +44,6 @@ def first_found(records: DataFrame, order: list[Column | str]) -> DataFrame:
 
 
 def new_kpis(records: DataFrame, stored: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Records to append: first found, not stored yet, texts cut to their stored lengths."""
+    """Records to append: first found, not stored yet."""
     fresh = first_found(records, order).join(stored.select(*STORED_KEY), STORED_KEY, "left_anti")
-    cut = {name: F.substring(name, 1, size) for name, size in fixed.KPI_LENGTHS.items()}
-    return fresh.withColumns(cut).withColumnRenamed("quote", "source_quote")
+    return fresh.withColumnRenamed("quote", "source_quote")

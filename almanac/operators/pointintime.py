@@ -37,7 +37,7 @@ def original(facts: DataFrame) -> DataFrame:
 
 def financials(facts: DataFrame, concept: str | None = None, fiscal_year: int | None = None,
                fiscal_period: str | None = None, point_in_time: str = "latest") -> DataFrame:
-    """Filtered facts of one vintage view, ordered by company, concept, year and period.
+    """Filtered facts of one vintage view; each company's concept is in one partition, by year and period.
 
     The filters are on keys of the selection, so they reach the scan below it.
     """
@@ -50,7 +50,7 @@ def financials(facts: DataFrame, concept: str | None = None, fiscal_year: int |
         facts = facts.filter(F.col("fiscal_year") == fiscal_year)
     if fiscal_period:
         facts = facts.filter(F.col("fiscal_period") == fiscal_period.upper())
-    return views[point_in_time](facts).orderBy(*PERIOD_KEY)
+    return views[point_in_time](facts).repartition(*PERIOD_KEY[:2]).sortWithinPartitions(*PERIOD_KEY)
 
 
 def annual_facts(facts: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def best_by_period(facts: DataFrame, carried: dict[str, list[str]], *extra: Colu
     that starts with the selection order, so all periods come out of one aggregation that is
     partially done before its only shuffle. ``extra`` adds further aggregates.
     """
-    order = [concepts.tag_priority(F.col("concept")).alias("o1"), (-F.unix_date("filed_date")).alias("o2"),
+    order = [concepts.tag_priority(F.col("concept")).alias("o1"), F.coalesce(-F.unix_date("filed_date"), F.lit(2**31 - 1)).alias("o2"),
              F.col("accession_number").alias("o3"), F.col("concept").alias("o4"), F.col("derived").alias("o5")]
 
     def best(period: str, fields: list[str]) -> Column:

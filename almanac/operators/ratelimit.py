@@ -27,13 +27,16 @@ def limit_of(tier: Column, limits: dict[str, int]) -> Column:
 
 
 def admit(hits: deque, now: int, limit: int, window_us: int) -> float | None:
-    """One admission step on the key's admitted times (microseconds); None, or seconds to wait."""
+    """One admission step on the key's admitted times (microseconds); None, or seconds to wait.
+
+    A key that is never admitted (limit 0) is told to wait a whole window.
+    """
     while hits and hits[0] <= now - window_us:
         hits.popleft()
     if len(hits) < limit:
         hits.append(now)
         return None
-    return max(0.0, (window_us - (now - hits[0])) / 1_000_000)
+    return max(0.0, (window_us - (now - hits[0] if hits else 0)) / 1_000_000)
 
 
 def busy_slices(log: DataFrame, window_us: int) -> DataFrame:
@@ -41,10 +44,10 @@ def busy_slices(log: DataFrame, window_us: int) -> DataFrame:
 
     The log is cut into slices one window long and counted, partially before the shuffle. Every
     window ending in a slice lies within it and the slice before. If those two hold no more
-    requests than the limit, the slice is calm. A run is a stretch of adjacent slices that are not
+    requests than the lowest limit in the slice (a key may change its tier), the slice is calm. A run is a stretch of adjacent slices that are not
     calm, with the slice before it, whose requests are all the state the run starts from.
     """
-    counts = log.groupBy("key_id", "slice").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
+    counts = log.groupBy("key_id", "slice").agg(F.count("*").alias("n"), F.min("limit").alias("limit"))
     by_time = Window.partitionBy("key_id").orderBy("slice")
     marked = (counts
               .withColumn("before", F.sum("n").over(by_time.rangeBetween(-1, -1)))

@@ -19,18 +19,19 @@ def last_years(years: DataFrame, n: int) -> DataFrame:
 
 def sheet_columns(facts: DataFrame, period: str = "annual", year_from: int | None = None,
                   year_to: int | None = None, quarters: list[str] | None = None,
-                  max_years: int = fixed.SHEET_YEARS) -> DataFrame:
+                  max_years: int | None = None) -> DataFrame:
     """The period columns (company_id, fiscal_year, fiscal_period) of the sheets.
 
-    The year bounds apply first, the last years are taken from what is left. A quarterly sheet
-    shows the quarters with a fact of any concept.
+    The year bounds apply first, the last ``max_years`` (all without it) are taken from what is left.
+    A quarterly sheet shows the quarters with a fact of any concept.
     """
     periods = facts.select("company_id", "fiscal_year", "fiscal_period")
     if year_from is not None:
         periods = periods.filter(F.col("fiscal_year") >= year_from)
     if year_to is not None:
         periods = periods.filter(F.col("fiscal_year") <= year_to)
-    years = last_years(periods, max_years)
+    years = (periods.select("company_id", "fiscal_year").distinct() if max_years is None
+             else last_years(periods, max_years))
     if period == "annual":
         return years.withColumn("fiscal_period", F.lit("FY"))
     wanted = quarters or fixed.QUARTERS
@@ -114,9 +115,9 @@ def statement_free_cash_flow(facts: DataFrame, period: str = "annual",
 
 
 def kpi_tab(kpis: DataFrame) -> DataFrame:
-    """KPI rows by company, name and period: the number where there is one, else the text."""
+    """KPI rows, each company's together and by name and period: the number where there is one, else the text."""
     shown = F.coalesce(F.col("value").cast("string"), F.col("value_text"))
-    return kpis.orderBy("company_id", "name", "period").select(
+    return kpis.repartition("company_id").sortWithinPartitions("company_id", "name", "period").select(
         "company_id", "name", "period", shown.alias("shown_value"), "unit", "source_quote")
 
 
@@ -126,22 +127,24 @@ def annual_or_q4(facts: DataFrame) -> DataFrame:
     return pointintime.annual_values(shown)
 
 
-def annual_grid(facts: DataFrame) -> DataFrame:
-    """Compact annual grid: the last years with a shown value, empty concepts left out.
+def annual_grid(facts: DataFrame, max_years: int | None = None) -> DataFrame:
+    """Compact annual grid: the last ``max_years`` with a shown value (all without it), empty concepts left out.
 
     Annual cells are few per company, so their years are ranked where they are.
     """
+    cells = annual_or_q4(facts).select("company_id", "canonical_concept", "fiscal_year", "value")
+    if max_years is None:
+        return cells
     year_rank = F.dense_rank().over(Window.partitionBy("company_id").orderBy(F.desc("fiscal_year")))
-    return (annual_or_q4(facts).withColumn("_rank", year_rank).filter(F.col("_rank") <= fixed.GRID_YEARS)
-            .select("company_id", "canonical_concept", "fiscal_year", "value"))
+    return cells.withColumn("_rank", year_rank).filter(F.col("_rank") <= max_years).drop("_rank")
 
 
-def eps_split_adjust(facts: DataFrame) -> DataFrame:
+def eps_split_adjust(facts: DataFrame, max_years: int | None = None) -> DataFrame:
     """Earnings per share of the compact grid on the share basis of the latest year.
 
     The reference is the last shown year with both earnings per share and net income.
     """
-    wide = (annual_grid(facts)
+    wide = (annual_grid(facts, max_years)
             .groupBy("company_id", "fiscal_year")
             .agg(F.max(F.when(F.col("canonical_concept") == "eps_diluted", F.col("value"))).alias("eps"),
                  F.max(F.when(F.col("canonical_concept") == "net_income", F.col("value"))).alias("income")))
@@ -160,14 +163,15 @@ def eps_split_adjust(facts: DataFrame) -> DataFrame:
 def value_lookup(requests: DataFrame, companies: DataFrame, facts: DataFrame) -> DataFrame:
     """Answers a table of (request_id, ticker, concept, year, period) cell requests.
 
-    The period defaults to FY, which falls back to Q4. Unknown cells stay null. Every requested
-    cell is looked up in one row of the facts laid out by period.
+    The period defaults to FY, which falls back to Q4. Unknown cells stay null. The facts are cut
+    down to the asked companies, concepts and years before they are laid out by period.
     """
     asked = requests.select(
         "request_id", F.upper("ticker").alias("ticker"), F.lower("concept").alias("canonical_concept"),
         F.round("year").cast("int").alias("fiscal_year"),
         F.upper(F.coalesce(F.nullif("period", F.lit("")), F.lit("FY"))).alias("period"))
     asked = asked.join(companies.select(F.col("id").alias("company_id"), "ticker"), "ticker", "left")
+    facts = facts.join(asked.select(*pointintime.YEAR_KEY).distinct(), pointintime.YEAR_KEY, "left_semi")
     by_period = pointintime.best_by_period(facts, {p: ["value"] for p in ["FY", *fixed.QUARTERS]})
     found = asked.join(by_period, pointintime.YEAR_KEY, "left")
     value = F.when(F.col("period") == "FY", F.coalesce("FY.value", "Q4.value"))
@@ -180,24 +184,22 @@ def value_lookup(requests: DataFrame, companies: DataFrame, facts: DataFrame) ->
 def export_manifest(requests: DataFrame, companies: DataFrame) -> DataFrame:
     """Per export request (request_id, tickers): which tickers are included and which skipped.
 
-    Requested tickers are trimmed, upper-cased and limited to the first 50 that are not blank.
+    Requested tickers are trimmed and upper-cased, blank ones left out.
     """
     wanted = F.filter(F.transform(F.split("tickers", ","), lambda t: F.upper(F.trim(t))), lambda t: t != "")
     rows = (requests
-            .select("request_id", F.posexplode(F.slice(wanted, 1, fixed.EXPORT_TICKERS)).alias("position", "ticker"))
+            .select("request_id", F.posexplode(wanted).alias("position", "ticker"))
             .join(companies.select("ticker", F.lit(True).alias("known")), "ticker", "left"))
     return rows.select("request_id", "position", "ticker",
                        F.when(F.col("known"), "included").otherwise("skipped").alias("status"))
 
 
-def manifest_lines(manifest: DataFrame) -> DataFrame:
-    """The manifest of each request as two comma-separated lists (at most 50 tickers each)."""
+def manifest_counts(manifest: DataFrame) -> DataFrame:
+    """How many tickers of each request are included and skipped."""
+    def counted(status: str) -> Column:
+        return F.count_if(F.col("status") == status).alias(status)
 
-    def listed(status: str) -> Column:
-        pairs = F.collect_list(F.when(F.col("status") == status, F.struct("position", "ticker")))
-        return F.array_join(F.sort_array(pairs)["ticker"], ", ").alias(status)
-
-    return manifest.groupBy("request_id").agg(listed("included"), listed("skipped"))
+    return manifest.groupBy("request_id").agg(counted("included"), counted("skipped"))
 
 
 def write_sheets(grid: DataFrame, path: str) -> None:

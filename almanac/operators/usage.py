@@ -11,11 +11,13 @@ from almanac import fixed
 
 
 def usage_counts(log: DataFrame) -> DataFrame:
-    """Requests per key and day, and per key in total (day is null), in one pass."""
-    days = log.select("key_id", F.to_date("ts").alias("day"))
-    return (days.rollup("key_id", "day").agg(F.count("*").alias("requests"),
-                                             F.grouping_id().alias("level"))
-            .filter(F.col("level") < 3).select("key_id", "day", "requests"))
+    """Requests per key and day, and per key in total (day is null).
+
+    The totals are summed from the counts per day, so every row of the log is counted once.
+    """
+    per_day = log.groupBy("key_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"))
+    totals = per_day.groupBy("key_id").agg(F.lit(None).cast("date").alias("day"), F.sum("requests").alias("requests"))
+    return per_day.unionByName(totals)
 
 
 def usage_daily(log: DataFrame, keys: DataFrame, today: dt.date, days: int = 30) -> DataFrame:
@@ -23,7 +25,8 @@ def usage_daily(log: DataFrame, keys: DataFrame, today: dt.date, days: int = 30)
 
     The log is reduced to one row per key and day before it meets the keys.
     """
-    days = max(1, min(days, fixed.MAX_USAGE_DAYS))
+    if days < 1:
+        raise ValueError("days must be at least 1")
     since = today - dt.timedelta(days=days - 1)
     per_key = (log.select("key_id", F.to_date("ts").alias("day"))
                .filter(F.col("day") >= F.lit(since))

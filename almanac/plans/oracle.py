@@ -158,21 +158,21 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
   PARTITION BY company_id, canonical_concept, fiscal_year, fiscal_period
   ORDER BY priority, filed_date DESC, accession_number, concept) AS rn FROM ranked) WHERE rn = 1"""
 CTE["annual"] = """
-SELECT l.* FROM latest l WHERE fiscal_period = 'FY' OR (fiscal_period = 'Q4' AND NOT EXISTS (
-  SELECT 1 FROM latest y WHERE y.company_id = l.company_id AND y.canonical_concept = l.canonical_concept
-    AND y.fiscal_year = l.fiscal_year AND y.fiscal_period = 'FY'))"""
+SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (
+  PARTITION BY company_id, canonical_concept, fiscal_year ORDER BY fiscal_period) AS place
+  FROM latest WHERE fiscal_period IN ('FY', 'Q4')) WHERE place = 1"""
 CTE["q4"] = f"""
-SELECT y.company_id, y.concept, y.canonical_concept, y.unit, y.value - (a.value + b.value + c.value) AS value,
-       y.fiscal_year, 'Q4' AS fiscal_period, CAST(NULL AS DATE) AS start_date, y.end_date, y.form, y.accession_number,
-       y.filed_date, y.source_url, true AS derived
-FROM latest y
-JOIN latest a USING (company_id, canonical_concept, fiscal_year)
-JOIN latest b USING (company_id, canonical_concept, fiscal_year)
-JOIN latest c USING (company_id, canonical_concept, fiscal_year)
-WHERE y.fiscal_period = 'FY' AND a.fiscal_period = 'Q1' AND b.fiscal_period = 'Q2' AND c.fiscal_period = 'Q3'
-  AND y.canonical_concept IN {listing(FLOWS)}
-  AND NOT EXISTS (SELECT 1 FROM facts x WHERE x.company_id = y.company_id AND x.fiscal_period = 'Q4'
-    AND x.canonical_concept = y.canonical_concept AND x.fiscal_year = y.fiscal_year)"""
+SELECT company_id, y.concept AS concept, canonical_concept, y.unit AS unit, y.value - (q1 + q2 + q3) AS value, fiscal_year,
+       'Q4' AS fiscal_period, CAST(NULL AS DATE) AS start_date, y.end_date AS end_date, y.form AS form,
+       y.accession_number AS accession_number, y.filed_date AS filed_date, y.source_url AS source_url, true AS derived
+FROM (SELECT company_id, canonical_concept, fiscal_year,
+             any_value({{'concept': concept, 'unit': unit, 'value': value, 'end_date': end_date, 'form': form,
+                         'accession_number': accession_number, 'filed_date': filed_date, 'source_url': source_url}})
+               FILTER (WHERE fiscal_period = 'FY') AS y,
+             any_value(value) FILTER (WHERE fiscal_period = 'Q1') AS q1, any_value(value) FILTER (WHERE fiscal_period = 'Q2') AS q2,
+             any_value(value) FILTER (WHERE fiscal_period = 'Q3') AS q3, bool_or(fiscal_period = 'Q4') AS has_q4
+      FROM latest WHERE canonical_concept IN {listing(FLOWS)} GROUP BY company_id, canonical_concept, fiscal_year)
+WHERE NOT has_q4 AND y IS NOT NULL AND q1 + q2 + q3 IS NOT NULL"""
 CTE["complete"] = f"""
 SELECT {", ".join(['company_id', 'concept', 'canonical_concept', 'unit', 'value', 'fiscal_year', 'fiscal_period',
                    'start_date', 'end_date', 'form', 'accession_number', 'filed_date', 'source_url', 'derived'])} FROM latest
@@ -332,7 +332,7 @@ CTE["kpi_found"] = """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
   PARTITION BY company_id, accession_number, lower(name), lower(period) ORDER BY chunk_no) AS rn FROM kpi_valid) WHERE rn = 1"""
 CTE["kpi_facts"] = """
-SELECT company_id, name, value, value_text, unit, period, substring(quote, 1, 1024) AS source_quote, '10-K' AS form,
+SELECT company_id, name, value, value_text, unit, period, quote AS source_quote, '10-K' AS form,
        accession_number, CAST(DATE '2024-01-01' + CAST(chunk_no AS INTEGER) AS DATE) AS filed_date,
        'https://filings.example/' || accession_number AS source_url
 FROM kpi_found WHERE company_id % 3 <> 0"""
@@ -367,17 +367,13 @@ _layout = ", ".join(f"({n}, {text(s)}, {text(l)}, '{c}', {str(c in FLOWS).lower(
                     for n, (s, l, c) in enumerate(fixed.STATEMENT_ROWS, 1))
 CTE["layout"] = f"SELECT * FROM (VALUES {_layout}) AS t(row_no, statement, label, canonical_concept, is_flow)"
 CTE["annual_columns"] = """
-SELECT company_id, fiscal_year FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) AS rn
-  FROM (SELECT DISTINCT company_id, fiscal_year FROM facts)) WHERE rn <= 10"""
+SELECT DISTINCT company_id, fiscal_year FROM facts"""
 CTE["annual_cells"] = f"""
 SELECT c.* FROM complete c JOIN annual_columns USING (company_id, fiscal_year)
 WHERE fiscal_period = CASE WHEN canonical_concept IN {listing(FLOWS)} THEN 'FY' ELSE 'Q4' END"""
 CTE["grid_cells"] = f"""
 SELECT * FROM annual WHERE canonical_concept IN {listing(fixed.GRID_CONCEPTS)}"""
-CTE["grid"] = """
-SELECT g.* FROM grid_cells g JOIN (
-  SELECT company_id, fiscal_year FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) AS rn
-    FROM (SELECT DISTINCT company_id, fiscal_year FROM grid_cells)) WHERE rn <= 8) USING (company_id, fiscal_year)"""
+CTE["grid"] = "SELECT * FROM grid_cells"
 _words = " ".join(f"WHEN '{lang}' THEN {array([w.lower() for w in words])}" for lang, words in domain.KEYWORDS.items())
 CTE["chunks"] = f"""
 SELECT doc_id, start // {fixed.CHUNK_STEP} AS chunk_no, start, substring(text, CAST(start + 1 AS INTEGER), {fixed.CHUNK_SIZE}) AS chunk, keywords

@@ -579,10 +579,13 @@ _HAVE = "SELECT ticker FROM companies WHERE id IN (SELECT company_id FROM facts
 @register("worklist_bulk", f"""
 SELECT ticker, min(place) // 50 AS shard, CAST(min(place) % 50 AS INTEGER) AS position FROM listed
 WHERE ticker NOT LIKE '%-%' AND ticker NOT LIKE '%.%' AND ticker NOT IN ({_HAVE})
-GROUP BY ticker ORDER BY min(place) LIMIT (SELECT greatest(120 - count(*), 0) FROM ({_HAVE}))""")
+GROUP BY ticker ORDER BY min(place) LIMIT (SELECT count(*) // 5 FROM ({_HAVE}))""")
 def worklist_bulk(spark, folder):
     listed = tickers.listings(domain.listing_payloads(spark, folder))
-    return coverage.bulk_worklist(listed, domain.companies(spark, folder), domain.facts(spark, folder), target=120)
+    companies, facts = domain.companies(spark, folder), domain.facts(spark, folder)
+    filed = coverage.filed_companies(facts).withColumnRenamed("company_id", "id")
+    covered = companies.join(filed, "id", "left_semi").count()
+    return coverage.bulk_worklist(listed, companies, facts, covered + covered // 5, covered)
 
 
 @register("worklist_bulk_stored", f"""
@@ -771,26 +774,24 @@ def template_sheet(spark, folder):
 
 @register("bulk_export_manifest", """
 WITH wanted AS (
-  SELECT p_partkey AS request_id, UNNEST(CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(50), lambda n: 'S' || (n * 3))
+  SELECT p_partkey AS request_id, UNNEST(CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(60), lambda n: 'S' || (n * 3))
            ELSE ['S' || (p_partkey % 110), 'S' || p_size, 'ZZ' || p_size] END) AS ticker,
-         UNNEST(CASE WHEN p_partkey % 10 = 0 THEN range(50) ELSE range(3) END) AS position FROM part)
+         UNNEST(CASE WHEN p_partkey % 10 = 0 THEN range(60) ELSE range(3) END) AS position FROM part)
 SELECT request_id, CAST(position AS INTEGER) AS position, ticker,
        CASE WHEN ticker IN (SELECT ticker FROM companies) THEN 'included' ELSE 'skipped' END AS status FROM wanted""")
 def bulk_export_manifest(spark, folder):
     return sheets.export_manifest(domain.export_requests(spark, folder), domain.companies(spark, folder))
 
 
-@register("bulk_export_lists", """
+@register("bulk_export_counts", """
 WITH wanted AS (
-  SELECT p_partkey AS request_id, UNNEST(CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(50), lambda n: 'S' || (n * 3))
-           ELSE ['S' || (p_partkey % 110), 'S' || p_size, 'ZZ' || p_size] END) AS ticker,
-         UNNEST(CASE WHEN p_partkey % 10 = 0 THEN range(50) ELSE range(3) END) AS position FROM part)
-SELECT request_id, coalesce(string_agg(ticker, ', ' ORDER BY position) FILTER (WHERE c.ticker IS NOT NULL), '') AS included,
-       coalesce(string_agg(w.ticker, ', ' ORDER BY position) FILTER (WHERE c.ticker IS NULL), '') AS skipped
+  SELECT p_partkey AS request_id, UNNEST(CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(60), lambda n: 'S' || (n * 3))
+           ELSE ['S' || (p_partkey % 110), 'S' || p_size, 'ZZ' || p_size] END) AS ticker FROM part)
+SELECT request_id, count(c.ticker) AS included, count(*) - count(c.ticker) AS skipped
 FROM wanted w LEFT JOIN companies c USING (ticker) GROUP BY request_id""")
-def bulk_export_lists(spark, folder):
-    return sheets.manifest_lines(sheets.export_manifest(domain.export_requests(spark, folder),
-                                                        domain.companies(spark, folder)))
+def bulk_export_counts(spark, folder):
+    return sheets.manifest_counts(sheets.export_manifest(domain.export_requests(spark, folder),
+                                                         domain.companies(spark, folder)))
 
 
 # --- Text and KPIs ------------------------------------------------------------------------
@@ -831,7 +832,7 @@ def kpi_validate(spark, folder):
 
 
 @register("kpi_append", """
-SELECT f.company_id, f.accession_number, f.chunk_no, f.name, f.value, f.value_text, f.unit, f.period, substring(f.quote, 1, 1024) AS source_quote
+SELECT f.company_id, f.accession_number, f.chunk_no, f.name, f.value, f.value_text, f.unit, f.period, f.quote AS source_quote
 FROM kpi_found f WHERE NOT EXISTS (SELECT 1 FROM kpi_facts k WHERE k.company_id = f.company_id AND k.name = f.name
   AND k.period = f.period AND k.accession_number = f.accession_number)""")
 def kpi_append(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac import dims, fixed
@@ -13,10 +13,14 @@ PAYLOAD = ("struct<facts: map<string, map<string, struct<units: map<string, arra
            "val: double, start: string, end: string, accn: string, form: string, filed: string>>>>>>>")
 
 
+DAY = "yyyy-MM-dd"
+
+
 def flatten_facts(payloads: DataFrame) -> DataFrame:
     """One row per reported entry of (company_id, page, payload).
 
-    Entries without a value and units other than money, shares and money per share are left out.
+    Entries without a value and units other than money, shares and money per share are left out. Blank
+    and unreadable dates are null; ``rejected_payloads`` tells what could not be read at all.
     The three positions keep the arrival order for the first-wins append.
     """
     tags = (payloads
@@ -32,11 +36,27 @@ def flatten_facts(payloads: DataFrame) -> DataFrame:
             .filter(F.col("entry.val").isNotNull())
             .select("company_id", "page", "tag_no", "unit_no", "entry_no", "tag", "unit",
                     F.col("entry.val").alias("value"),
-                    F.to_date("entry.start").alias("start_date"),
-                    F.to_date("entry.end").alias("end_date"),
+                    F.try_to_date("entry.start", DAY).alias("start_date"),
+                    F.try_to_date("entry.end", DAY).alias("end_date"),
                     F.col("entry.accn").alias("accession_number"),
                     F.coalesce("entry.form", F.lit("")).alias("form"),
-                    F.to_date("entry.filed").alias("filed_date")))
+                    F.try_to_date("entry.filed", DAY).alias("filed_date")))
+
+
+def rejected_payloads(payloads: DataFrame) -> DataFrame:
+    """(company_id, page, reason) of payloads that give no facts, or whose entries have unreadable dates."""
+    parsed = payloads.select("company_id", "page", "payload", F.from_json("payload", PAYLOAD)["facts"]["us-gaap"].alias("gaap"))
+    broken = F.col("payload").isNull() | F.try_parse_json("payload").isNull()
+    units = F.flatten(F.transform(F.map_values("gaap"), lambda tag: F.map_values(tag["units"])))
+    entries = F.flatten(F.filter(units, lambda list_: list_.isNotNull()))
+
+    def unreadable(day: Column) -> Column:
+        return (F.coalesce(day, F.lit("")) != "") & F.try_to_date(day, DAY).isNull()
+
+    bad = F.exists(entries, lambda e: unreadable(e["start"]) | unreadable(e["end"]) | unreadable(e["filed"]))
+    reason = (F.when(broken, "not readable as JSON").when(F.col("gaap").isNull(), "no facts in it")
+              .when(F.coalesce(bad, F.lit(False)), "unreadable date"))
+    return parsed.select("company_id", "page", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def classify_tags(entries: DataFrame) -> DataFrame:

@@ -9,20 +9,22 @@ from almanac import fixed
 
 BLOCK = ("struct<form: array<string>, accessionNumber: array<string>, "
          "filingDate: array<string>, primaryDocument: array<string>>")
-SUBMISSIONS = f"struct<filings: struct<recent: {BLOCK}, files: array<struct<name: string>>>>"
+# The first payload wraps its block, the payloads of older pages are a block themselves.
+SUBMISSIONS = f"struct<filings: struct<recent: {BLOCK}, files: array<struct<name: string>>>, {BLOCK[7:]}"
 
 
 def filing_rows(submissions: DataFrame) -> DataFrame:
     """Every filing of (company_id, block, payload) with its position, newest first."""
-    recent = F.from_json("payload", SUBMISSIONS)["filings"]["recent"]
-    zipped = F.arrays_zip(recent["form"], recent["accessionNumber"], recent["filingDate"],
-                          recent["primaryDocument"])
+    parsed = F.from_json("payload", SUBMISSIONS)
+    lists = [F.coalesce(parsed["filings"]["recent"][name], parsed[name])
+             for name in ("form", "accessionNumber", "filingDate", "primaryDocument")]
+    zipped = F.arrays_zip(*lists)
     names = ["form", "accession_number", "filed_date", "document"]
     return (submissions
             .select("company_id", "block", F.posexplode(zipped).alias("position", "filing"))
             .select("company_id", "block", "position", F.inline(F.array("filing")))
             .toDF("company_id", "block", "position", *names)
-            .withColumn("filed_date", F.to_date("filed_date")))
+            .withColumn("filed_date", F.try_to_date("filed_date", "yyyy-MM-dd")))
 
 
 def recent_filings(submissions: DataFrame, forms: list[str] | None = None) -> DataFrame:

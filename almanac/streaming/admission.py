@@ -35,7 +35,8 @@ def admit_requests(requests: DataFrame, limits: dict[str, int] | None = None,
         rows = pd.concat(frames).sort_values(["us", "event_id"])
         waits = [admit(hits, now, limit, window_us) for now, limit in zip(rows["us"], rows["limit"])]
         state.update((list(hits),))
-        state.setTimeoutTimestamp(max(hits[-1] // 1000 + window_seconds * 1000 + 1,
+        last = hits[-1] if hits else int(rows["us"].iloc[-1])
+        state.setTimeoutTimestamp(max(last // 1000 + window_seconds * 1000 + 1,
                                       state.getCurrentWatermarkMs() + 1))
         out = rows[["key_id", "event_id", "ts"]].copy()
         out["admitted"] = [w is None for w in waits]

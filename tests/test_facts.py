@@ -306,3 +306,22 @@ def test_shared_folder(spark):
     folder = shared_folder(spark)
     assert folder and shared_folder(spark) == folder
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_rejected_payloads(spark):
+    def payload(**entry):
+        return json.dumps({"facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"val": 1.0, "end": "2024-01-01", **entry}]}}}}})
+
+    bad = [(1, 0, payload(start="")), (2, 0, payload(filed="soon")), (3, 0, payload()[:-9]), (4, 0, "{}"), (5, 0, None), (6, 0, payload())]
+    payloads = spark.createDataFrame(bad, "company_id long, page int, payload string")
+    reasons = {r.company_id: r.reason for r in companyfacts.rejected_payloads(payloads).collect()}
+    assert reasons == {2: "unreadable date", 3: "not readable as JSON", 4: "no facts in it", 5: "not readable as JSON"}
+    rows = {r.company_id: (r.start_date, r.filed_date) for r in companyfacts.flatten_facts(payloads).collect()}
+    assert rows == {1: (None, None), 2: (None, None), 6: (None, None)}
+
+
+def test_page_blocks_without_a_wrapper(spark):
+    block = {"form": ["10-K"], "accessionNumber": ["a-1"], "filingDate": ["2024-02-30"], "primaryDocument": ["d.htm"]}
+    rows = [(1, 0, json.dumps({"filings": {"recent": block}})), (2, 0, json.dumps(block)), (3, 0, "{}")]
+    got = filings.filing_rows(spark.createDataFrame(rows, "company_id long, block int, payload string")).collect()
+    assert sorted((r.company_id, r.accession_number, r.filed_date) for r in got) == [(1, "a-1", None), (2, "a-1", None)]

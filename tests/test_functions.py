@@ -166,3 +166,21 @@ def test_keyword_score(spark):
     words = F.array(F.lit("RevPAR"), F.lit("aa"), F.lit("é"))
     assert one(spark, text.keyword_score(F.lit("revpar REVPAR aaaa É"), words)) == 2 + 2 + 1
     assert one(spark, text.keyword_score(F.lit("x"), F.array().cast("array<string>"))) == 0
+
+
+def test_html_references_and_quoted_marks(spark):
+    from almanac.functions.text import html_to_text
+
+    pages = ["<p>Company&#8217;s net&#160;income &rsquo;s &reg; &amp;lt; &#x20AC; &#150; &unknown; a & b &#0;</p>",
+             "<a title=\"a > b\">x</a> 5 < 6 <b class='q>r'>y</b>", "<p it's>open</p>", "AT&T; &copy;"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(html_to_text(F.col("html"))).collect()]
+    assert got == ["Company\u2019s net\u00a0income \u2019s \u00ae &lt; \u20ac \u2013 &unknown; a & b \ufffd",
+                   "x\n5 < 6\ny", "open", "AT&T; \u00a9"]
+
+
+def test_numbers_too_long_are_null(spark):
+    from almanac.functions import links, names
+
+    row = spark.createDataFrame([("http://x/data/" + "9" * 30 + "/", "abc")], "url string, cik string").select(
+        names.cik_from_url(F.col("url")), links.index_url(F.col("cik"), F.col("cik"))).first()
+    assert tuple(row) == (None, None)

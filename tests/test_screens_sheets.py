@@ -96,7 +96,7 @@ def test_coverage_and_worklists(spark):
     def bulk(**options):
         return [r.ticker for r in coverage.bulk_worklist(listed, known, facts, **options).collect()]
 
-    assert bulk() == ["c", "d", "b", "e"] and bulk(target=3) == ["c", "d"] and bulk(target=1) == []
+    assert bulk() == ["c", "d", "b", "e"] and bulk(target=3, covered=1) == ["c", "d"] and bulk(target=1, covered=1) == []
     assert bulk(stored_only=True) == ["b"]
     kpi = spark.createDataFrame([(3,)], "company_id long")
     assert [r.ticker for r in coverage.kpi_sweep_worklist(known, kpi).collect()] == ["a", "b"]
@@ -157,7 +157,7 @@ def test_statement_sheets(spark):
     assert sheets.statement_margins(facts, picked=["revenue"]).count() == 0
     picked = sheets.statement_grid(facts, picked=["revenue"]).collect()
     assert [r.label for r in picked] == ["Revenue"]
-    grid = {(r.canonical_concept, r.fiscal_year): r.value for r in sheets.annual_grid(facts).collect()}
+    grid = {(r.canonical_concept, r.fiscal_year): r.value for r in sheets.annual_grid(facts, 8).collect()}
     assert grid["total_assets", 2024] == 4000 and grid["net_income", 2024] == 7 and ("revenue", 2010) not in grid
 
 
@@ -169,8 +169,9 @@ def test_sheet_export(spark, tmp_path):
 
 def test_last_years_count_from_the_bounds(spark):
     facts = frame(spark, [fact(fy=y) for y in range(2000, 2020)])
-    years = sorted(r.fiscal_year for r in sheets.sheet_columns(facts, year_to=2015).collect())
+    years = sorted(r.fiscal_year for r in sheets.sheet_columns(facts, year_to=2015, max_years=10).collect())
     assert years == list(range(2006, 2016))
+    assert sheets.sheet_columns(facts, year_to=2015).count() == 16 and sheets.annual_grid(facts).count() == 20
 
 
 def test_eps_split(spark):
@@ -193,9 +194,10 @@ def test_value_lookup(spark):
 def test_export_manifest(spark):
     asked = spark.createDataFrame([(1, " abc, ,zz"), (2, ",".join(["abc"] * 60))], "request_id int, tickers string")
     manifest = sheets.export_manifest(asked, companies(spark, "ABC"))
-    assert manifest.filter("request_id = 2").count() == fixed.EXPORT_TICKERS
-    lines = {r.request_id: (r.included, r.skipped) for r in sheets.manifest_lines(manifest).collect()}
-    assert lines[1] == ("ABC", "ZZ")
+    assert manifest.filter("request_id = 2").count() == 60
+    assert {r.ticker: r.status for r in manifest.filter("request_id = 1").collect()} == {"ABC": "included", "ZZ": "skipped"}
+    counts = {r.request_id: (r.included, r.skipped) for r in sheets.manifest_counts(manifest).collect()}
+    assert counts == {1: (1, 1), 2: (60, 0)}
 
 
 @pytest.mark.parametrize("expression, valid", [
@@ -294,8 +296,9 @@ def test_usage(spark):
     mine = [(r.day.day, r.requests) for r in rows.filter("account_id = 5").orderBy("day").collect()]
     assert mine == [(4, 0), (5, 0), (6, 0), (7, 0), (8, 7), (9, 0), (10, 5)]
     assert rows.filter("account_id = 7").agg(F.sum("requests")).first()[0] == 0
-    assert usage.usage_daily(log, keys, today, 0).count() == 3
-    assert usage.usage_daily(log, keys, today, 500).count() == 3 * fixed.MAX_USAGE_DAYS
+    with pytest.raises(ValueError):
+        usage.usage_daily(log, keys, today, 0)
+    assert usage.usage_daily(log, keys, today, 500).count() == 3 * 500
     totals = {r.key_id: r.requests for r in usage.usage_counts(log).filter("day is null").collect()}
     assert totals == {1: 14, 2: 2, 3: 99}
 

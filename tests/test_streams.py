@@ -27,18 +27,18 @@ def plain_audit(rows, limits, window):
             hits.append(now)
             out[event] = (True, None)
         else:
-            out[event] = (False, max(0.0, window - (now - hits[0]) / 1_000_000))
+            out[event] = (False, max(0.0, window - (now - hits[0] if hits else 0) / 1_000_000))
     return out
 
 
 def random_log(seed, n=3000):
-    """One key holds a third of all requests; quiet and crowded spells; many equal times."""
+    """One key holds a third of all requests; quiet and crowded spells, equal times, keys that change tier."""
     rng, rows, clock = random.Random(seed), [], {}
     for event in range(n):
         key = 0 if rng.random() < 1 / 3 else rng.randrange(1, 9)
         step = rng.choice([0, 0, 1_000_000, 7_500_000, 60_000_000]) if rng.random() < .98 else 600_000_000
         clock[key] = clock.get(key, 0) + step
-        tier = ["free", "pro", "enterprise", "other"][key % 4]
+        tier = ["free", "pro", "enterprise", "other"][(key + event // 40) % 4]
         rows.append((key, tier, event, START + dt.timedelta(microseconds=clock[key])))
     return rows
 
@@ -69,6 +69,13 @@ def test_audit_at_the_window_edge(spark):
     same(as_dict(ratelimit.rate_limit_audit(spark.createDataFrame(rows, LOG), LIMITS)), want)
 
 
+@pytest.mark.parametrize("limits", [{"free": 2, "pro": 10, "enterprise": 50}, {"free": 0, "pro": 1, "enterprise": 50}])
+def test_audit_of_a_key_that_changes_its_tier(spark, limits):
+    rows = [(1, "pro" if n == 4 else "free", n, START + dt.timedelta(seconds=n)) for n in range(5)]
+    got = {e: a for e, (a, _) in as_dict(ratelimit.rate_limit_audit(spark.createDataFrame(rows, LOG), limits)).items()}
+    assert got == {n: (n < limits["free"] or n == 4) for n in range(5)}
+
+
 def test_calm_logs_need_no_replay(spark):
     rows = [(1, "free", n, START + dt.timedelta(seconds=45 * n)) for n in range(50)]
     log = spark.createDataFrame(rows, LOG).withColumn("limit", F.lit(3)) \
