@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from almanac import dims, fixed
 from almanac.functions import links, names, periods
-from almanac.operators import kpis, pointintime
+from almanac.operators import kpis, metrics, pointintime
 from almanac.session import shared_folder
 from almanac.sources.store import FACT_COLUMNS
 
@@ -262,6 +262,12 @@ def complete_facts(spark: SparkSession, folder: str) -> DataFrame:
     return pointintime.with_derived_q4(facts(spark, folder))
 
 
+@landed
+def metrics_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored metrics that screens read."""
+    return metrics.stored_metrics(facts(spark, folder))
+
+
 # --- Nested inputs ------------------------------------------------------------------------
 
 

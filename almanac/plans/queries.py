@@ -396,7 +396,24 @@ def screen_metrics(spark, folder):
 def metrics_incremental(spark, folder):
     facts = domain.facts(spark, folder)
     stored = domain.companies(spark, folder).filter(F.col("id") % 3 == 1).select(F.col("id").alias("company_id"))
-    return rounded(metrics.missing_metrics(facts, stored), *RATIOS)
+    return rounded(metrics.missing_metrics(facts, stored).filter("fiscal_year is not null"), *RATIOS)
+
+
+@register("metrics_stored", """
+SELECT f.company_id, m.fiscal_year, m.revenue, m.stockholders_equity
+FROM (SELECT DISTINCT company_id FROM facts) f LEFT JOIN metrics m USING (company_id)""")
+def metrics_stored(spark, folder):
+    return domain.metrics_table(spark, folder).select("company_id", "fiscal_year", "revenue", "stockholders_equity")
+
+
+@register("metrics_refresh", _METRICS_SQL)
+def metrics_refresh(spark, folder):
+    """Rows of a quarter of the companies went stale; refreshed, the table is right again."""
+    stale = domain.metrics_table(spark, folder).withColumn(
+        "revenue", F.when(F.col("company_id") % 4 == 1, F.lit(0.0)).otherwise(F.col("revenue")))
+    touched = domain.companies(spark, folder).filter(F.col("id") % 4 == 1).select(F.col("id").alias("company_id"))
+    fresh = metrics.refresh_metrics(stale, domain.facts(spark, folder), touched)
+    return rounded(fresh.filter("fiscal_year is not null"), *RATIOS)
 
 
 SCREENS = {
@@ -425,7 +442,7 @@ def _shown_sql(name: str) -> str:
 
 
 def _run_screen(spark, folder, name):
-    rows = screen.run_screen(metrics.screen_metrics(domain.facts(spark, folder)),
+    rows = screen.run_screen(domain.metrics_table(spark, folder),
                              domain.companies(spark, folder), SCREENS[name])
     return rounded(rows, *[m for m in screen.shown_metrics(SCREENS[name]) if m in RATIOS])
 
@@ -442,7 +459,7 @@ def run_screen_sector(spark, folder):
 
 @register("screen_filter", f"SELECT company_id, fiscal_year FROM metrics WHERE {_screen_sql(SCREENS['weak'])}")
 def screen_filter(spark, folder):
-    return metrics.screen_metrics(domain.facts(spark, folder)) \
+    return domain.metrics_table(spark, folder) \
         .filter(screen.passes(SCREENS["weak"]["filters"])).select("company_id", "fiscal_year")
 
 
@@ -452,7 +469,7 @@ def screen_filter(spark, folder):
     f"FROM metrics m JOIN companies c ON c.id = m.company_id WHERE {_screen_sql(s)}"
     for name, s in SCREENS.items()))
 def screen_batch(spark, folder):
-    rows = screen.screen_batch(metrics.screen_metrics(domain.facts(spark, folder)),
+    rows = screen.screen_batch(domain.metrics_table(spark, folder),
                                domain.companies(spark, folder), SCREENS)
     return rounded(rows, "sort_value", digits=6)
 

@@ -266,7 +266,9 @@ def test_kpi_records(spark):
     assert {r.chunk_no: r.value for r in valid.collect()} == {0: 1200.0, 1: 5.0, 2: 1.0, 3: None}
     stored = spark.createDataFrame([(1, "B", "FY2024", "x")], "company_id long, name string, period string, accession_number string")
     fresh = kpis.new_kpis(valid, stored, ["chunk_no"]).orderBy("name").collect()
-    assert [(r.name, r.value, r.unit, len(r.source_quote)) for r in fresh] == [("ARR", 1200.0, "", 1024), ("C", None, "USD", 1024)]
+    assert [(r.name, r.value, r.unit, len(r.source_quote)) for r in fresh] == [("ARR", 1200.0, "", 2000), ("C", None, "USD", 2000)]
+    again = kpis.new_kpis(valid, stored.unionByName(kpis.new_kpis(valid, stored, ["chunk_no"]).select(*stored.columns)), ["chunk_no"])
+    assert again.count() == 0
 
 
 def test_industries(spark):
@@ -320,3 +322,18 @@ def test_subscriptions(spark):
                    4: ("free", "active", "c", 1)}
     keys = spark.createDataFrame([(10, 2, "free"), (11, 9, "enterprise")], "key_id long, account_id long, tier string")
     assert {r.key_id: r.tier for r in usage.key_tiers(keys, state).collect()} == {10: "pro", 11: "enterprise"}
+
+
+def test_stored_metrics_and_their_refresh(spark):
+    from almanac.operators import metrics, screen
+
+    facts = frame(spark, [fact(company=1, value=100), fact(company=2, concept="total_assets", tag="Assets", value=5, period="Q4"),
+                          fact(company=3, value=7)])
+    stored = metrics.stored_metrics(facts)
+    assert {r.company_id: r.revenue for r in stored.collect()} == {1: 100.0, 2: None, 3: 7.0}
+    assert metrics.missing_metrics(facts, stored).count() == 0
+    newer = facts.unionByName(frame(spark, [fact(company=3, value=9, fy=2030), fact(company=1, value=1, fy=2030)]))
+    fresh = metrics.refresh_metrics(stored, newer, spark.createDataFrame([(3,)], "company_id long"))
+    assert {r.company_id: (r.fiscal_year, r.revenue) for r in fresh.collect()} == {1: (2024, 100.0), 2: (None, None), 3: (2030, 9.0)}
+    found = screen.run_screen(fresh, companies(spark, "A", "B", "C"), {"filters": [], "sort_by": "revenue", "descending": True})
+    assert "company_id" not in found.columns and all(r.fiscal_year for r in found.collect())
