@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac import fixed
+from almanac import dims, fixed
 from almanac.functions import names
 
 
@@ -26,6 +26,14 @@ def coverage_source(companies: DataFrame, facts: DataFrame) -> DataFrame:
             .orderBy("ticker"))
 
 
+def with_sector(companies: DataFrame) -> DataFrame:
+    """Adds the sector of the SIC code: null without a code, "Other" outside all ranges."""
+    coded = companies.withColumn("code", F.when(F.col("sic").rlike("^[0-9]+$"), F.col("sic").try_cast("int")))
+    sectors = F.broadcast(dims.sic_sectors(companies.sparkSession))
+    return coded.join(sectors, "code", "left").withColumn(
+        "sector", F.when(F.col("code").isNotNull(), F.coalesce("sector", F.lit(fixed.OTHER_SECTOR)))).drop("code")
+
+
 def sector_list(companies: DataFrame) -> DataFrame:
     return companies.filter(F.coalesce("sector", F.lit("")) != "").select("sector") \
                     .distinct().orderBy("sector")

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from almanac import dims, fixed
 from almanac.functions import links, names, periods
 from almanac.operators import kpis, metrics, pointintime
+from almanac.operators.coverage import with_sector
 from almanac.session import shared_folder
 from almanac.sources.store import FACT_COLUMNS
 
@@ -65,16 +66,7 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
         i.alias("id"), names.padded_cik(i + 1000).alias("cik"),
         F.concat(F.lit("S"), i.cast("string")).alias("ticker"), F.col("s_name").alias("name"),
         sic.alias("sic"), fye_month(i).alias("fye_month"))
-    return with_sector(listed)
-
-
-def with_sector(listed: DataFrame) -> DataFrame:
-    """Adds the sector of the SIC code: null without a code, "Other" outside all ranges."""
-    coded = listed.withColumn("code", F.when(F.col("sic").rlike("^[0-9]+$"), F.col("sic").try_cast("int")))
-    sectors = F.broadcast(dims.sic_sectors(listed.sparkSession))
-    return coded.join(sectors, "code", "left").withColumn(
-        "sector", F.when(F.col("code").isNotNull(), F.coalesce("sector", F.lit(fixed.OTHER_SECTOR)))) \
-        .select("id", "cik", "ticker", "name", "sic", "sector", "fye_month")
+    return with_sector(listed).select("id", "cik", "ticker", "name", "sic", "sector", "fye_month")
 
 
 def fye_text(i: Column) -> Column:

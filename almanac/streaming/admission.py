@@ -13,16 +13,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from almanac import fixed
 from almanac.operators.ratelimit import admit, limit_of
 
-RESULT = "key_id long, event_id long, ts timestamp, admitted boolean, wait_seconds double"
-STATE = "hits array<long>"
+RESULT = "key_id long, event_id long, ts timestamp, admitted boolean, wait_seconds double, late boolean"
+STATE = "hits array<long>, judged long"
 
 
 def admit_requests(requests: DataFrame, limits: dict[str, int] | None = None,
-                   window_seconds: int = fixed.LIMIT_WINDOW_SECONDS, lateness: str = "0 seconds") -> DataFrame:
+                   window_seconds: int = fixed.LIMIT_WINDOW_SECONDS, *, lateness: str) -> DataFrame:
     """Admission of every request of a (key_id, tier, event_id, ts) stream.
 
     The state of a key is its admitted times within the window, never more than its limit. It is
-    dropped once the watermark is a window past the last of them.
+    dropped once the watermark is a window past the last of them. A request older than one of its
+    key that an earlier batch has judged can't be judged by the rule: it comes out as ``late``,
+    neither admitted nor rejected. Only what is behind the watermark by more than ``lateness`` is
+    dropped by Spark, and counted in the query's progress.
     """
     window_us = window_seconds * 1_000_000
 
@@ -30,17 +33,20 @@ def admit_requests(requests: DataFrame, limits: dict[str, int] | None = None,
         if state.hasTimedOut:
             state.remove()
             return
-        hits = deque(state.get[0] if state.exists else [])
+        hits, judged = (deque(state.get[0]), state.get[1]) if state.exists else (deque(), None)
         # Only the rows of one micro-batch; the source's rate limit bounds them.
         rows = pd.concat(frames).sort_values(["us", "event_id"])
-        waits = [admit(hits, now, limit, window_us) for now, limit in zip(rows["us"], rows["limit"])]
-        state.update((list(hits),))
-        last = hits[-1] if hits else int(rows["us"].iloc[-1])
+        late = [judged is not None and now < judged for now in rows["us"]]
+        waits = [None if old else admit(hits, now, limit, window_us)
+                 for now, limit, old in zip(rows["us"], rows["limit"], late)]
+        last = max(int(rows["us"].iloc[-1]), judged or 0)
+        state.update((list(hits), last))
         state.setTimeoutTimestamp(max(last // 1000 + window_seconds * 1000 + 1,
                                       state.getCurrentWatermarkMs() + 1))
         out = rows[["key_id", "event_id", "ts"]].copy()
-        out["admitted"] = [w is None for w in waits]
+        out["admitted"] = pd.array([None if old else w is None for w, old in zip(waits, late)], dtype="boolean")
         out["wait_seconds"] = pd.array(waits, dtype="Float64")
+        out["late"] = late
         yield out
 
     prepared = (requests.withWatermark("ts", lateness)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac import dims, fixed
 from almanac.functions import concepts, links, names, numbers, periods, text
+from almanac.operators import coverage
 from almanac.plans import domain
 from almanac.sources.companyfacts import classify_tags
 
@@ -84,7 +85,7 @@ def test_sectors(spark):
     codes = ["7372", "3674", "6798", None, "not-a-code", "9999", "2834", "1311", "2050", "0"]
     rows = [(n, "", "", "", c, 12) for n, c in enumerate(codes)]
     frame = spark.createDataFrame(rows, "id long, cik string, ticker string, name string, sic string, fye_month int")
-    got = {r.id: r.sector for r in domain.with_sector(frame).collect()}
+    got = {r.id: r.sector for r in coverage.with_sector(frame).collect()}
     assert [got[n] for n in range(len(codes))] == [
         "Software & SaaS", "Semiconductors", "REITs", None, None, "Other", "Pharmaceuticals & Biotech",
         "Oil & Gas", "Food & Beverage", "Other"]

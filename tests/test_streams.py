@@ -102,6 +102,18 @@ def test_admission_stream_equals_the_audit(spark, tmp_path):
     same(as_dict(spark.read.schema(admission.RESULT).parquet(out)), plain_audit(rows, LIMITS, 60))
 
 
+def test_late_requests_come_out_unjudged(spark, tmp_path):
+    rows = [(1, "free", n, START + dt.timedelta(seconds=s)) for n, s in enumerate([0, 30, 10, 40])]
+    for n, row in enumerate(rows):  # one file and micro-batch each, the third out of order
+        spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+    log = spark.createDataFrame(rows, LOG)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    (admission.admit_requests(stream, LIMITS, lateness="1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+     .option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination())
+    got = {r.event_id: (r.admitted, r.late) for r in spark.read.schema(admission.RESULT).parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: (True, False), 1: (True, False), 2: (None, True), 3: (True, False)}
+
+
 def test_usage_stream(spark, tmp_path):
     log = spark.createDataFrame(random_log(6, 500), LOG)
     stream = written(spark, log, str(tmp_path / "in"), 4)
