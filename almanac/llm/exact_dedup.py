@@ -35,6 +35,12 @@ def repeated_words(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("mask"))
 
 
+def member_words(keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """The words of a plain Bloom filter of the keys in ``digest``, for ``flag_repeated``."""
+    cells = keys.select(F.explode(F.array(*_cells(F.col("digest"), bits))).alias("cell"))
+    return cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("mask"))
+
+
 def flag_repeated(rows: DataFrame, words: DataFrame, bits: int = BITS) -> DataFrame:
     """Pass 2: ``rows`` with ``maybe``, false for a text that certainly occurs once."""
     hint = F.broadcast if bits <= BROADCAST_BITS else (lambda df: df)

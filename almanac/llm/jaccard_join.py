@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import map_arrow, saved, whole
 from almanac.llm.components import components
+from almanac.llm.exact_dedup import flag_repeated, member_words
 from almanac.llm.hashing import mix, texts_of, windows, word_hashes
 
 SHINGLE_WORDS = 5
@@ -211,10 +212,12 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     blocks = F.ceil(F.col("n") / tile)
     members = saved(members.withColumn("blocks", blocks).withColumn(
         "side", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "digest", "class_id"), "node")
+    wanted = saved(members.select("node").distinct().join(classes.select("node", "digest", "class_id"), "node"), "wanted")
     body = whole(F.col(text))
-    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.sha2(body, 256)).alias("_digest"), body.alias("_text"))
-    texts = source.join(wanted, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("class_id")))
+    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("_text"))
+    # only texts that a filter of bounded size lets through are shuffled
+    source = flag_repeated(source, saved(member_words(wanted), "filter")).where("maybe")
+    texts = source.join(wanted, (source["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("class_id")))
     sets = saved(map_arrow(texts.select("node", F.col("_text").alias("text")), partial(_sets, size=size),
                            "node long, grams binary", "text"), "sets")
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -257,8 +260,11 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     kept = F.coalesce(F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(False))
     odd = saved(rows.select("digest", F.col("doc_id").alias("_odd_id"), "n", kept.alias("kept")).where("not kept or n > 1"), "dropped")
     packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("_id"),
-                         F.unhex(F.sha2(whole(F.col(text)), 256)).alias("_digest"))
-    joined = packed.join(odd, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("_odd_id")), "left")
+                         F.unhex(F.sha2(whole(F.col(text)), 256)).alias("digest"))
+    packed = flag_repeated(packed, saved(member_words(odd), "filter"))
+    found = packed.where("maybe")
+    joined = found.join(odd, (found["digest"] == odd["digest"]) & F.col("_id").eqNullSafe(F.col("_odd_id")), "left")
+    joined = joined.select("row", "_id", found["digest"].alias("_digest"), "n", "kept")
     plain = joined.where("n is null").select("row.*")
     tied = joined.where("kept").groupBy("_digest", "_id").agg(F.first("row").alias("row")).select("row.*")
-    return plain.unionByName(tied)
+    return packed.where("not maybe").select("row.*").unionByName(plain).unionByName(tied)
