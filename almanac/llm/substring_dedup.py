@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.common import map_arrow, saved
+from almanac.llm.exact_dedup import flag_repeated, member_words
 from almanac.llm.hashing import texts_of, windows, word_hashes
 
 WINDOW_WORDS = 35
 MINI_WORDS = 8
 BUCKET_STRINGS = 1000
 
-_KMERS = "doc_id long, text_key long, mini long, digest binary, start int, n int"
+_KMERS = "doc_id long, text_key long, mini long, digest binary, start int, n int, times int"
 _PACKED = "doc_id long, text_key long, mini long, single boolean, start int, packed binary"
 _SPANS = "doc_id long, text_key long, low int, high int"
 
@@ -81,11 +82,17 @@ def _super_kmers(batch: pa.RecordBatch, window: int, mini: int) -> Iterator[pa.R
     starts, number, low = runs(word_hashes(words, len(words)), sizes, window, mini)
     doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
     digests = [_digest(words[s:e]) for s, e in zip(starts.tolist(), (starts + number + window - 1).tolist())]
+    # a phrase repeated over and over gives equal neighbours: one row with how many
+    same = (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]) & (number[1:] == number[:-1]) & (starts[1:] == starts[:-1] + number[:-1])
+    same = np.array([False] + [bool(s) and digests[i] == digests[i + 1] for i, s in enumerate(same.tolist())], bool)[:len(starts)]
+    first = np.flatnonzero(~same)
+    times = np.diff(np.append(first, len(starts)))
+    starts, number, low, doc, digests = starts[first], number[first], low[first], doc[first], [digests[i] for i in first.tolist()]
     which = pa.array(doc)
     yield pa.RecordBatch.from_arrays(
         [batch.column(0).take(which), batch.column(1).take(which), pa.array(low.view(np.int64)), pa.array(digests, pa.binary()),
-         pa.array((starts - (np.cumsum(sizes) - sizes)[doc]).astype(np.int32)), pa.array(number.astype(np.int32))],
-        names=["doc_id", "text_key", "mini", "digest", "start", "n"])
+         pa.array((starts - (np.cumsum(sizes) - sizes)[doc]).astype(np.int32)), pa.array(number.astype(np.int32)),
+         pa.array(times.astype(np.int32))], names=["doc_id", "text_key", "mini", "digest", "start", "n", "times"])
 
 
 def _cut(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
@@ -181,6 +188,12 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: whether their text_key can be among those of ``keys``."""
+    words = saved(member_words(keys.select(F.col("text_key").alias("digest"))), "filter")
+    return flag_repeated(rows.withColumn("digest", F.col("text_key")), words).drop("digest")
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS,
                    mini: int = MINI_WORDS, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
     """(doc_id, text_key, low, high): words low to high - 1 lie in windows that occur elsewhere."""
@@ -188,12 +201,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     work = partial(_super_kmers, window=window, mini=mini)
     kmers = saved(map_arrow(source.where("text is not null"), work, _KMERS, "text"), "kmers")
     # counts are stored before they are joined, so that a minimiser of very many rows is split over tasks
-    twice = saved(kmers.groupBy("mini").agg(F.count("*").alias("_n")).where("_n > 1").select("mini"), "twice")
+    twice = saved(kmers.groupBy("mini").agg(F.sum("times").alias("_n")).where("_n > 1").select("mini"), "twice")
     found = saved(kmers.join(twice, "mini", "left_semi"), "shared")
     first = F.min(F.struct("doc_id", "text_key", "start", "n")).alias("first")
-    strings = saved(found.groupBy("mini", "digest").agg(F.count("*").alias("copies"), first), "strings")
+    strings = saved(found.groupBy("mini", "digest").agg(F.sum("times").alias("copies"), first), "strings")
     copied = found.join(strings.where("copies > 1").select("mini", "digest"), ["mini", "digest"], "left_semi")
-    copied = copied.select("doc_id", "text_key", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
+    copied = copied.select("doc_id", "text_key", F.col("start").alias("low"), (F.col("start") + F.col("n") * F.col("times") + (window - 1)).alias("high"))
     mixed = strings.groupBy("mini").agg(F.count("*").alias("strings"), F.min("copies").alias("least"))
     mixed = saved(mixed.where("strings > 1 and least = 1").select("mini", (F.col("strings") > bucket_strings).alias("large")), "mixed")
     wanted = strings.join(mixed, "mini").select(
@@ -201,7 +214,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.struct(F.col("first.start").alias("start"), F.col("first.n").alias("n"), "mini",
                  (F.col("copies") == 1).alias("single"), "large").alias("own"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("own").alias("wanted"))
-    texts = source.join(wanted, _same(source, wanted)).select(source["doc_id"], source["text_key"], "text", "wanted")
+    wanted = saved(wanted, "wanted")
+    # only texts that a filter of bounded size lets through are shuffled
+    near = _maybe(source, wanted).where("maybe").drop("maybe")
+    texts = near.join(wanted, _same(near, wanted)).select(near["doc_id"], near["text_key"], "text", "wanted")
     texts = saved(map_arrow(texts, partial(_cut, window=window), _PACKED, "text"), "packed")
     large = mixed.where("large").select("mini")
     dealt = texts.join(large, "mini", "left_anti").select(*texts.columns).repartition("mini").sortWithinPartitions("mini")
@@ -243,8 +259,12 @@ def _shortened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    lists = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return keyed.join(lists, _same(keyed, lists), "left").select(*[keyed[c] for c in keyed.columns], "spans")
+    lists = saved(spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "lists")
+    flagged = _maybe(keyed, lists)
+    near = flagged.where("maybe").drop("maybe")
+    found = near.join(lists, _same(near, lists), "left").select(*[near[c] for c in keyed.columns], "spans")
+    alone = flagged.where("not maybe").select(*keyed.columns, F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
+    return alone.unionByName(found)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, **options) -> DataFrame:
