@@ -155,6 +155,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     languages = tuple(sorted(rows["lang"].unique()))
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are meant")
+    if not languages:
+        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     sparse, y = [], []
     for lang, which, counts in zip(rows["lang"], rows["grams"], rows["counts"]):
         at, n = np.frombuffer(which, "<u4"), np.frombuffer(counts, "<u4")

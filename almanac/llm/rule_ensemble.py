@@ -194,6 +194,4 @@ def classify(docs: DataFrame, model: Model, held_out: int = 1, folds: int = 3) -
 def drop_low_quality(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that score below 0.5; all columns kept."""
     rows = score(docs.select(F.struct("*").alias("row"), F.col("text").alias("_body")), model, ["row"], "_body")
-    # the score is made a generated row: as a plain column the filter would pull all its parts down into itself
-    rows = rows.select(F.inline(F.array(F.struct("row", "score"))))
     return rows.where("score >= 0.5").select("row.*")

@@ -63,4 +63,6 @@ def with_stats(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                    F.array(*[c.cast("long") for c in counts]).alias("_counts"))
     rest = F.col("n_chars") - reduce(lambda a, b: a + b, [F.col("_counts")[n] for n in range(len(CHAR_CLASSES))])
     df = df.select(*keep, "_words", *flat, F.concat("_counts", F.array(rest)).alias("char_counts"))
-    return _repeat_words(df, [*keep, *flat, "char_counts"])
+    df = _repeat_words(df, [*keep, *flat, "char_counts"])
+    # a generated row: as plain columns, a filter on the result would pull all steps down into itself
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
