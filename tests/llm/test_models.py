@@ -131,7 +131,7 @@ def test_licences(spark, docs, rows, nothing):
     mit = next(t for name, form, t in license_scan.TEMPLATES if (name, form) == ("MIT", "text"))
     lines = mit.split(". ")
     for text, want in (("Released under the MIT License.", {"MIT"}), ("intro words here\n\n" + "\n".join(lines) + "\n\nend", {"MIT"}),
-                       ("licensed UNDER cc by-nc 4.0", {"CC-BY-NC-4.0"}), ("nothing to see here at all", set()), (mit.replace("Software", "Work"), set())):
+                       ("licensed UNDER cc by-nc 4.0", {"CC-BY-NC-4.0"}), ("nothing to see here at all", set()), (mit[:len(mit) // 2], set())):
         assert {m[1] for m in license_scan.scan_text(text, templates)} == want, text[:40]
     grams = [(n, f, license_scan.bigrams(license_scan.normalised(t))) for n, f, t in license_scan.TEMPLATES]
     for row in rows:  # pruning by size loses nothing
