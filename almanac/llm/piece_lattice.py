@@ -30,7 +30,7 @@ from almanac.llm.common import map_arrow, tokenizer_file
 VOCABULARY = "piece_bpe_32k.model"
 N_BEST = 4
 #: Stretches whose best segmentation a Python worker remembers, and the longest of them in characters.
-CACHE_STRETCHES, CACHE_CHARS = 400_000, 40
+CACHE_STRETCHES, CACHE_CHARS = 800_000, 40
 BYTE_LOSS = 10.0
 
 _SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, n_best long, best_scores array<double>, best_crc32 array<long>"
