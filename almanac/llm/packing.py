@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a partition; bounds a task's memory.
 PART_PIECES = 50_000
 #: Chunks of text whose ids a Python worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_BYTES = 500_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
 
 PIECE_SCHEMA = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, settled boolean, certified boolean"
