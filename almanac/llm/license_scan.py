@@ -1,27 +1,34 @@
-"""Licence scan: normalised lines, paragraphs and whole texts against licence templates by the Dice
+"""Licence scan: windows of words, lines, paragraphs and whole texts against licence templates by the Dice
 coefficient of their sets of word bigrams.
 
 A unit of ``a`` bigrams and a template of ``b`` can reach the threshold t only if
 ``a >= b * t / (2 - t)`` and ``a <= b * (2 - t) / t``; templates outside these bounds aren't compared.
-Each document is looked at in its own row: nothing is shuffled.
+Windows run over the words of the whole document, whatever its lines, blank lines and comment marks; they
+begin and end at bigrams of the template, and are looked for only where the document holds
+``b * t / (2 - t)`` of its bigrams. Each document is looked at in its own row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import map_arrow
-from almanac.llm.license_texts import TEMPLATES
+from almanac.llm.license_texts import PLAIN_WORDS, TEMPLATES
 
 THRESHOLD = 0.85
+#: A bigram of more templates than this doesn't lead to them.
+MANY = 100
 _WORDS = re.compile(r"[^\W_]+")
 
 _SCHEMA = "doc_id long, n_matches long, licenses string, best_license string, best_form string, best_dice double, first_line long"
@@ -43,24 +50,91 @@ class Templates:
         self.t = Fraction(str(threshold))
         self.items = sorted((len(g), name, form, g) for name, form, text in templates if (g := bigrams(normalised(text))))
         self.sizes = [item[0] for item in self.items]
-
-    def within(self, size: int) -> list:
-        """Templates that a set of ``size`` bigrams can reach the threshold with."""
-        low, high = size * self.t / (2 - self.t), size * (2 - self.t) / self.t
-        return self.items[bisect.bisect_left(self.sizes, low):bisect.bisect_right(self.sizes, high)]
+        # what a reference can't do without: names and versions
+        self.names = [{w for pair in g for w in pair} - PLAIN_WORDS if form == "reference" else set() for _, _, form, g in self.items]
+        self.least = [math.ceil(size * self.t / (2 - self.t)) for size in self.sizes]
+        held = Counter(pair for item in self.items for pair in item[3])
+        self.known = frozenset(held)
+        #: Bigrams of few templates lead to them; those of many are taken as there.
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        self.common = [sum(held[pair] > MANY for pair in item[3]) for item in self.items]
+        for n, item in enumerate(self.items):
+            for pair in item[3]:
+                if held[pair] <= MANY:
+                    self.holders.setdefault(pair, []).append(n)
+        self.plain = [n for n, k in enumerate(self.common) if k >= self.least[n]]
 
     def reachable(self, n_words: int) -> bool:
         """Whether a unit of so many words can have enough bigrams for any template."""
         return bool(self.sizes) and (n_words - 1) * (2 - self.t) >= self.sizes[0] * self.t
 
+    def candidates(self, grams: frozenset) -> list[int]:
+        """Templates of whose bigrams ``grams`` can hold as many as the threshold needs."""
+        shared = Counter(self.plain)
+        for pair in self.known & grams:
+            shared.update(self.holders.get(pair, ()))
+        return [n for n, k in shared.items() if k + self.common[n] >= self.least[n] and len(grams & self.items[n][3]) >= self.least[n]]
+
+    def compared(self, grams: frozenset, among: list[int]) -> Iterator[tuple[Fraction, int, int]]:
+        """(dice, shared bigrams, template) of every template ``among`` these at the threshold or above."""
+        for n in among:
+            size, _, _, own = self.items[n]
+            if size * self.t <= len(grams) * (2 - self.t) and len(grams) * self.t <= size * (2 - self.t):
+                shared = len(grams & own)
+                dice = Fraction(2 * shared, len(grams) + size)
+                if dice >= self.t:
+                    yield dice, shared, n
+
     def match(self, grams: frozenset) -> list[tuple[Fraction, str, str]]:
         """(dice, licence, form) of every template at the threshold or above."""
-        found = []
-        for size, name, form, own in self.within(len(grams)):
-            dice = Fraction(2 * len(grams & own), len(grams) + size)
-            if dice >= self.t:
-                found.append((dice, name, form))
-        return found
+        return [(dice, *self.items[n][1:3]) for dice, _, n in self.compared(grams, self.candidates(grams))]
+
+    def windows(self, words: list[str], among: list[int]) -> Iterator[tuple[Fraction, int, int, int, int]]:
+        """(dice, shared bigrams, template, first word, end) of windows at the threshold or above, of each
+        template from left to right and not overlapping."""
+        pairs = list(zip(words, words[1:]))
+        for n in among:
+            own = self.items[n][3]
+            places = [at for at, pair in enumerate(pairs) if pair in own]
+            first = 0
+            while first + self.least[n] <= len(places):
+                found = self._window(pairs, places, first, n)
+                if found is None:
+                    first += 1
+                    continue
+                yield found
+                first = bisect.bisect_left(places, found[4] - 1, first)
+
+    def _window(self, pairs: list, places: list[int], first: int, n: int) -> tuple | None:
+        """The best window from the place ``first`` on, cut at its start where that makes it better."""
+        size, own = self.items[n][0], self.items[n][3]
+        most = math.floor(size * (2 - self.t) / self.t)
+        seen, shared, at, fresh, best = set(), 0, places[first], places[first], None
+        for place in places[first:]:
+            # a run this long without anything new is not part of a licence
+            if place - fresh > most:
+                break
+            new = pairs[place] not in seen
+            seen.update(pairs[at:place + 1])
+            at = place + 1
+            if len(seen) > most:
+                break
+            if new:
+                shared, fresh = shared + 1, place
+                if best is None or shared * best[1] > best[0] * (len(seen) + size):
+                    best = shared, len(seen) + size, place
+        if best is None or Fraction(2 * best[0], best[1]) < self.t:
+            return None
+        shared, total, last = best
+        start, left, counts = places[first], best, Counter(pairs[places[first]:last + 1])
+        for at in range(places[first], last):
+            counts[pairs[at]] -= 1
+            if not counts[pairs[at]]:
+                total -= 1
+                shared -= pairs[at] in own
+            if shared * left[1] >= left[0] * total:
+                left, start = (shared, total, last), at + 1
+        return Fraction(2 * left[0], left[1]), left[0], n, start, last + 2
 
 
 def units(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -82,15 +156,27 @@ def units(text: str) -> Iterator[tuple[int, list[str]]]:
 
 
 def scan_text(text: str, templates: Templates) -> list[tuple[Fraction, str, str, int]]:
-    """(dice, licence, form, first line) of the best template of each unit that has one; ties go to the
-    licence first by name."""
-    found = []
-    for line, words in units(text):
-        if templates.reachable(len(words)):
-            own = templates.match(bigrams(words))
-            if own:
-                found.append((*max(own, key=lambda m: (m[0], [-ord(c) for c in m[1]])), line))
-    return found
+    """(dice, licence, form, first line) of each place that matches a template. Of places that overlap
+    the one that shares most bigrams with its template is taken, then the nearest, the licence first by
+    name, and the earliest."""
+    lines = [normalised(line) for line in text.split("\n")]
+    words = [w for line in lines for w in line]
+    begins = list(accumulate((len(line) for line in lines), initial=0))
+    among = templates.candidates(bigrams(words))
+    if not among:
+        return []
+    found = list(templates.windows(words, among))
+    for line, own in units(text):
+        if templates.reachable(len(own)):
+            found += [(*m, begins[line], begins[line] + len(own)) for m in templates.compared(bigrams(own), among)]
+    taken: list[tuple[int, int, Fraction, int]] = []
+    for dice, _, n, start, end in sorted(found, key=lambda m: (-m[1], -m[0], templates.items[m[2]][1], m[3])):
+        at = bisect.bisect_left(taken, (start,))
+        if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+            continue
+        if templates.names[n] <= set(words[start:end]):
+            taken.insert(at, (start, end, dice, n))
+    return [(dice, *templates.items[n][1:3], bisect.bisect_right(begins, start) - 1) for start, _, dice, n in taken]
 
 
 def _scan(batch: pa.RecordBatch, templates: Templates) -> Iterator[pa.RecordBatch]:
@@ -108,7 +194,7 @@ def _scan(batch: pa.RecordBatch, templates: Templates) -> Iterator[pa.RecordBatc
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_matches (units that match a template), licenses (their names,
+    """One row per row of ``docs``: doc_id, n_matches (places that match a template), licenses (their names,
     sorted, by comma), and licence, form, Dice and first line of the best match (the earliest of equals).
 
     Null and empty texts match nothing (0 and nulls). Other columns are not read.

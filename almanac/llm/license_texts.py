@@ -1,5 +1,7 @@
 """Texts of common licences, their standard notices and one-line references."""
 
+import pkgutil
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including
 without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -67,6 +69,69 @@ General Public License along with this program. If not, see <https://www.gnu.org
 _MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+_LGPL21_NOTICE = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+(at your option) any later version. This library is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the
+GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation,
+Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+
+_GPL2_NOTICE = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version. This program is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU
+General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51
+Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+
+_UNLICENSE_REST = """ In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""
+
+
+def _of_kind(kind: str) -> str:
+    return " ".join(_GPL_NOTICE.split()).replace("General Public", f"{kind} General Public")
+
+
+#: Words of references that name neither a licence nor its version.
+PLAIN_WORDS = frozenset("released licensed distributed available this work project is are under the terms of a an into to in and license "
+                        "licence identifier version international".split())
+
+#: Names by which running text refers to a licence, and its SPDX identifiers.
+_NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["Unlicense"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License, Version 2", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+    "CC0-1.0": ["CC0 1.0", "Creative Commons Zero v1.0 Universal", "CC0-1.0"],
+}
+for _name, _long, _short, _versions in (
+        ("GPL", "GNU General Public License", "GPL", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", "LGPL", ("2.1", "3.0")),
+        ("AGPL", "GNU Affero General Public License", "AGPL", ("3.0",))):
+    _NAMES[_name] = [_long, f"GNU {_short}"]
+    for _version in _versions:
+        _plain = _version.removesuffix(".0")
+        _NAMES[f"{_name}-{_version}"] = [
+            f"{form} {v}" for form in (f"{_long}, version", _long, f"GNU {_short} version", f"GNU {_short}", f"{_short} version", _short)
+            for v in dict.fromkeys((_plain, _version))] + [
+            f"{form} v{v}" for form in (_long, f"GNU {_short}", _short) for v in dict.fromkeys((_plain, _version))] + [
+            f"{_short}v{_plain}", f"GNU {_short}v{_plain}", f"{_short}-{_version}-only", f"{_short}-{_version}-or-later",
+            f"version {_plain} of the {_long}"]
+for _short, _long in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"),
+                      ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")):
+    _NAMES[f"CC-{_short}-4.0"] = [f"CC {_short} 4.0", f"Creative Commons {_long} 4.0 International License", f"Creative Commons {_long} 4.0"]
+
 #: (licence, form, text), several forms for one licence.
 TEMPLATES = [
     ("MIT", "text", _MIT_GRANT),
@@ -90,3 +155,21 @@ TEMPLATES = [
     ("CC-BY-NC-SA-4.0", "reference", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "reference", "Released into the public domain under CC0 1.0."),
 ]
+TEMPLATES += [
+    ("Unlicense", "text", _UNLICENSE + _UNLICENSE_REST),
+    ("GPL-2.0", "notice", _GPL2_NOTICE),
+    ("GPL-2.0", "notice", _GPL_NOTICE.replace("version 3 ", "version 2 ")),
+    ("GPL-3.0", "notice", _GPL2_NOTICE.replace("version 2 ", "version 3 ")),
+    ("AGPL-3.0", "notice", _of_kind("Affero")),
+    ("LGPL-2.1", "notice", _LGPL21_NOTICE),
+    ("LGPL-3.0", "notice", _of_kind("Lesser")),
+]
+for _name, _listed in _NAMES.items():
+    for _text in _listed:
+        TEMPLATES += [(_name, "reference", f"{_way} {_text}") for _way in (
+            "under the", "under the terms of the", "under", "SPDX-License-Identifier:")]
+TEMPLATES += [
+    (_name, "text", pkgutil.get_data("almanac.llm", f"full_licenses/{_file}.txt").decode()) for _name, _file in (
+        ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"),
+        ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"))
+]

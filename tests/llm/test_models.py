@@ -142,6 +142,32 @@ def test_licences(spark, docs, rows, nothing):
     assert license_scan.scan(docs).count() == len(rows) and license_scan.scan(nothing).count() == 0
 
 
+def test_licences_inside_long_files():
+    templates = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    texts = {(name, form): " ".join(t.split()) for name, form, t in reversed(license_scan.TEMPLATES)}
+    mit, bsd, apache = texts["MIT", "text"], texts["BSD-3-Clause", "text"], texts["Apache-2.0", "notice"]
+    paragraphs = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    clauses = bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    wrapped = re.sub(r"(.{40,60}) ", r"\1\n", apache.replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless"))
+    header = "\n".join(" * " + line for line in wrapped.split("\n"))
+    code = "\n".join(f"value_{n} = compute_{n}(of, the, software, {n})" for n in range(200))
+    assert paragraphs.count("\n\n") == 2 and clauses.count("\n\n") == 4 and "* \n" in header
+    cases = [(paragraphs, "MIT"), (clauses, "BSD-3-Clause"), (header, "Apache-2.0"), (texts["BSD-2-Clause", "text"], "BSD-2-Clause"),
+             ("All of this is ours and is licensed under the MIT License, see there.", "MIT"), ("// SPDX-License-Identifier: MIT", "MIT"),
+             ("It comes under the GNU General Public License, version 2, as a whole.", "GPL-2.0"), ("Shared under the terms of the GNU GPLv3 by us", "GPL-3.0"),
+             (license_scan.TEMPLATES[-4][2].strip(), "GPL-3.0"), (license_scan.TEMPLATES[-7][2].strip(), "Apache-2.0"),
+             ("all of it under CC BY-NC-SA 4.0 only", "CC-BY-NC-SA-4.0"), (texts["AGPL-3.0", "notice"], "AGPL-3.0"), (texts["GPL-2.0", "notice"], "GPL-2.0")]
+    for text, name in cases:
+        for whole in (f"{code}\n\nCopyright (c) 2020 A\n\n{text}\n\n{code}", f"{code}\n{text}\n{code}", f"{code} {text} {code}"):
+            found = license_scan.scan_text(whole, templates)
+            assert {m[1] for m in found} == {name}, (name, found)
+            assert len(found) == 1 or len(text) > 5000  # a title above a full text is a place of its own
+            assert abs(found[0][3] - whole[:whole.index(text)].count("\n")) <= 1
+    assert len(license_scan.scan_text(f"{code}\n{paragraphs}\n{code}\n{paragraphs}\n{clauses}\n", templates)) == 3
+    for text in (code, f"{code}\n{mit[:len(mit) // 2]}\n{code}", "He was released under the terms of the deal by the MIT press"):
+        assert license_scan.scan_text(text, templates) == []
+
+
 PAGES = "page_id long, url string, html string, record string, file string"
 
 
