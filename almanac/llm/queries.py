@@ -19,9 +19,9 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Damage of a second replica of the pages' records, found through both replicas' trees."""
+    """Damage of a second replica of the pages' records, parsed from its bytes, found through both trees."""
     first = saved(warc.to_records(table(spark, folder, "pages")), "replica")
-    second = saved(warc.damaged_copy(first), "replica")
+    second = warc.read_back(warc.damaged_copy(first))
     return warc.audit(first, second).drop("file", "offset")
 
 

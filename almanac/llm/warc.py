@@ -3,12 +3,15 @@
 A record's digest is a leaf. The records that start in one range of ``RANGE_BYTES`` of a file, in order
 of their offsets, make a range node; ``FANOUT`` neighbouring nodes make the next one, up to the file's
 root, and roots of files are joined in the same way up to one root. Two replicas whose roots differ are
-compared level by level, each time only below nodes that differ, until the records are found.
+compared level by level, each time only below nodes that differ, until the records are found. There
+records are matched by their digests, then by their record ids, and only then by their offsets, so that a
+record cut or gone, which moves all that follows it in its file, is one finding.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +31,14 @@ TASK_LEVELS = 2
 FILE_BITS = 20
 DATE = "2024-01-01T00:00:00Z"
 
+_START = re.compile(rb"WARC/\d\.\d\r\n")
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
+_ADDRESS = re.compile(rb"\r\nwarc-target-uri:[ \t]*([^\r\n]*)", re.I)
+#: A header is looked for in so many bytes.
+HEADER_BYTES = 64 << 10
+#: Parsed bytes that are handed on at once; a longer record goes alone.
+BATCH_BYTES = 4 << 20
+
 _RECORDS = "page_id long, url string, file long, offset long, record binary"
 
 
@@ -41,21 +52,35 @@ def warc_record(url: str | None, body: bytes, date: str = DATE) -> bytes:
     return head.encode() + body + b"\r\n\r\n"
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of the records of a file, by their Content-Length; stops at the first damaged one."""
+def _record_end(content: bytes, at: int) -> int | None:
+    """End of the record that starts at ``at``, if it is whole."""
+    if not _START.match(content, at):
+        return None
+    end = content.find(b"\r\n\r\n", at)
+    length = _LENGTH.search(content, at, end + 2) if end >= 0 else None
+    stop = end + 4 + int(length[1]) + 4 if length else len(content) + 1
+    return stop if stop <= len(content) and content.startswith(b"\r\n\r\n", stop - 4) else None
+
+
+def pieces(content: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes, intact) of all of a file: records by their Content-Length, and damaged ranges, which
+    reach to the next start of a record."""
     at = 0
-    while content.startswith(b"WARC/", at):
-        end = content.find(b"\r\n\r\n", at)
-        lengths = [line.split(b":", 1)[1] for line in content[at:end].split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        if end < 0 or not lengths or not lengths[0].strip().isdigit():
-            return
-        stop = end + 4 + int(lengths[0]) + 4
-        if stop > len(content):
-            return
-        yield at, content[at:stop]
+    while at < len(content):
+        stop = _record_end(content, at)
+        intact = stop is not None
+        if not intact:
+            after = _START.search(content, at + 1)
+            stop = after.start() if after else len(content)
+        yield at, content[at:stop], intact
         at = stop
 
 
+def split_records(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of the intact records of a file, also of those behind damaged ones."""
+    return ((at, record) for at, record, intact in pieces(content) if intact)
+
+
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, offset = TaskContext.get().partitionId() << FILE_BITS, 0
     for batch in batches:
@@ -81,21 +106,66 @@ def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """(path, offset, record) of WARC files given as (path, content), for example by Spark's binaryFile source."""
+    """(path, offset, record, intact) of WARC files given as (path, content), for example by Spark's
+    binaryFile source; a damaged range is a row that isn't intact."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = list(split_records(content or b""))
+            found = list(pieces(content or b""))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(found), pa.string()), pa.array([o for o, _ in found], pa.int64()), pa.array([r for _, r in found], pa.binary())],
-                names=["path", "offset", "record"])
+                [pa.array([path] * len(found), pa.string()), pa.array([o for o, _, _ in found], pa.int64()),
+                 pa.array([r for _, r, _ in found], pa.binary()), pa.array([i for _, _, i in found], pa.bool_())],
+                names=["path", "offset", "record", "intact"])
+
+    return map_arrow(files.select("path", "content"), work, "path string, offset long, record binary, intact boolean", "content")
+
 
-    return map_arrow(files.select("path", "content"), work, "path string, offset long, record binary", "content")
+def _parsed(file: int, content: bytes) -> Iterator[pa.RecordBatch]:
+    def batch() -> pa.RecordBatch:
+        n = len(held)
+        urls = [m[1].decode("utf-8", "replace") if (m := _ADDRESS.search(r, 0, HEADER_BYTES)) else None for _, r in held]
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.array(urls, pa.string()), pa.array([file] * n, pa.int64()), pa.array([o for o, _ in held], pa.int64()),
+             pa.array([r for _, r in held], pa.binary())], names=["page_id", "url", "file", "offset", "record"])
+
+    held, size = [], 0
+    for offset, record, _ in pieces(content):
+        if held and size + len(record) > BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+        held.append((offset, record))
+        size += len(record)
+    if held:
+        yield batch()
+
+
+def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    file, content = None, bytearray()
+    for batch in batches:
+        for own, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if own != file:
+                yield from _parsed(file, bytes(content))
+                file, content = own, bytearray()
+            content += record or b""
+    yield from _parsed(file, bytes(content))
+
+
+def read_back(records: DataFrame) -> DataFrame:
+    """What a reader finds in the files of a replica: the bytes of each file laid end to end in order of
+    their old offsets, and parsed again. Records stand where they are now, damaged ranges are rows of
+    their own; addresses come from the records, and page ids, which no record holds, are null.
+
+    A task holds one file of about ``FILE_BYTES`` at a time.
+    """
+    rows = records.select("file", "record", "offset").repartition("file").sortWithinPartitions("file", "offset")
+    return rows.mapInArrow(_read_again, _RECORDS)
 
 
 def leaves(records: DataFrame, keep: list[str]) -> DataFrame:
-    """(file, range, offset, length, sha256) of each record, and the columns ``keep``."""
+    """(file, range, offset, length, sha256, record_id) of each record, and the columns ``keep``."""
+    head = F.decode(F.substring("record", 1, HEADER_BYTES), "ISO-8859-1")
     return records.select(*keep, "file", F.shiftright("offset", RANGE_BYTES.bit_length() - 1).alias("range"), "offset",
-                          F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
+                          F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"),
+                          F.regexp_extract(head, r"(?i)^WARC/[^\n]*\n(?:[^\r\n]+\r\n)*?WARC-Record-ID:\s*([^\s]+)", 1).alias("record_id"))
 
 
 def _node_hash(*parts: str) -> Column:
@@ -135,20 +205,47 @@ def differing(first: list, second: list) -> DataFrame:
     return wrong
 
 
+def _matched(sides: list[DataFrame], by: list[str], keep: list[str]) -> DataFrame:
+    """The sides (columns with _0 and _1) joined in full by ``by``, equals in order of their offsets."""
+    found = []
+    for n, side in enumerate(sides):
+        side = side.withColumn("same", F.row_number().over(Window.partitionBy(*by).orderBy("offset", "sha256")))
+        found.append(side.select(*by, "same", *[F.col(c).alias(f"{c}_{n}") for c in keep if c not in by]))
+    return found[0].join(found[1], [*by, "same"], "full")
+
+
+def _left(pairs: DataFrame, n: int, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows of side ``n`` that found no partner."""
+    return pairs.where(F.col(f"length_{1 - n}").isNull()).select(*[F.col(c if c in by else f"{c}_{n}").alias(c) for c in columns])
+
+
 def audit(first: DataFrame, second: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Records in which the replica ``second`` differs from ``first``: file, offset, both digests, status
-    (altered, truncated or extended by their lengths, missing, extra) and ``keep`` of either side.
+    """Records in which the replica ``second`` differs from ``first``: file, offset (in ``first``, of extra
+    records in ``second``), both digests, status (altered, truncated or extended by their lengths, missing,
+    extra) and ``keep`` of either side.
 
-    Records are matched by file and offset. Equal replicas, empty ones too, give no rows.
+    Records of a file are matched by digest, then by record id, then by offset; a record that has only
+    moved in its file is no difference. Equal replicas, empty ones too, give no rows.
     """
     own = [saved(leaves(side, list(keep)), "leaves") for side in (first, second)]
     wrong = saved(differing(*[tree(side) for side in own]), "differ")
-    found = []
-    for n, side in enumerate(own):
-        side = side.join(wrong, (side["file"] == wrong["_file"]) & (side["range"] == wrong["_node"]), "left_semi")
-        side = side.withColumn("same", F.row_number().over(Window.partitionBy("file", "offset").orderBy("sha256")))
-        found.append(side.select("file", "offset", "same", *[F.col(c).alias(f"{c}_{n}") for c in (*keep, "length", "sha256")]))
-    rows = found[0].join(found[1], ["file", "offset", "same"], "full").where(~F.col("sha256_0").eqNullSafe(F.col("sha256_1")))
+    columns = [*dict.fromkeys([*keep, "file", "offset", "length", "sha256", "record_id"])]
+    sides = [side.join(wrong, (side["file"] == wrong["_file"]) & (side["range"] == wrong["_node"]), "left_semi").select(columns) for side in own]
+    # digests that a file holds as often in both replicas are done with; counts are partial before their shuffle
+    each = [side.select("file", "sha256", F.lit(1 - 2 * n).alias("d")) for n, side in enumerate(sides)]
+    uneven = saved(each[0].unionByName(each[1]).groupBy("file", "sha256").agg(F.sum("d").alias("d")).where("d <> 0").drop("d"), "uneven")
+    by = ["file", "sha256"]
+    pairs = _matched([side.join(uneven, by, "left_semi") for side in sides], by, columns)
+    rest = saved(_left(pairs, 0, by, columns).withColumn("side", F.lit(0)).unionByName(
+        _left(pairs, 1, by, columns).withColumn("side", F.lit(1))), "rest")
+    named = rest.where("record_id <> ''")
+    by_id = saved(_matched([named.where(F.col("side") == n) for n in (0, 1)], ["file", "record_id"], columns), "by-id")
+    ends = [_left(by_id, n, ["file", "record_id"], columns).unionByName(
+        rest.where((F.col("record_id") == "") & (F.col("side") == n)).select(columns)) for n in (0, 1)]
+    by_place = _matched(ends, ["file", "offset"], columns)
+    both = [F.col(f"{c}_{n}") for n in (0, 1) for c in columns if c not in ("file", "offset", "record_id")]
+    rows = by_id.where("length_0 is not null and length_1 is not null").select("file", F.col("offset_0").alias("offset"), *both).unionByName(
+        by_place.select("file", "offset", *both))
     status = (F.when(F.col("sha256_1").isNull(), "missing").when(F.col("sha256_0").isNull(), "extra")
               .when(F.col("length_1") < F.col("length_0"), "truncated").when(F.col("length_1") > F.col("length_0"), "extended")
               .otherwise("altered"))
@@ -157,7 +254,7 @@ def audit(first: DataFrame, second: DataFrame, keep: tuple[str, ...] = ("page_id
 
 
 def damaged_copy(records: DataFrame) -> DataFrame:
-    """A second replica for the query: of about 256 records each, one has a byte changed, one is cut by
+    """Records of a second replica for the query, for ``read_back`` to lay out: of about 256 records each, one has a byte changed, one is cut by
     ten bytes, one is gone. Which ones is told by the MD5 of the page's id."""
     mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
     size = F.octet_length("record")

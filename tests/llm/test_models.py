@@ -204,3 +204,23 @@ def test_audit(spark, records, as_rows):
     assert got == want | {(gone[0], gone[2], gone[3], "missing"), (999, 7 << 20, 0, "extra")}
     none = records.limit(0)
     assert warc.audit(none, none).count() == 0 and warc.audit(records, none).count() == records.count()
+
+
+def test_damage_moves_what_follows(spark, records):
+    own = sorted(records.collect(), key=lambda r: (r["file"], r["offset"]))
+    number = next(n for n in range(5, 200) if len({r["file"] for r in own[n:n + 30]}) == 1)
+    rows = [list(r) for r in own]
+    rows[number][4] = rows[number][4][:-10]  # cut
+    rows[number + 9][4] = rows[number + 9][4].replace(b"Content-Length", b"Content-Lengt#")  # not to be parsed
+    gone = rows.pop(number + 4)
+    rows.insert(number + 15, [None, None, gone[2], own[number + 15][3], bytearray(b"no record\r\n")])
+    second = warc.read_back(spark.createDataFrame(rows, records.schema))
+    got = {(r["page_id"], r["status"]) for r in warc.audit(records, second).collect()}
+    want = {(own[number][0], "truncated"), (own[number + 9][0], "altered"), (gone[0], "missing"), (None, "extra")}
+    assert got == want
+    content = b"".join(bytes(r[4]) for r in rows if r[2] == gone[2])
+    found = list(warc.pieces(content))
+    assert b"".join(p for _, p, _ in found) == content and sum(not intact for _, _, intact in found) == 3
+    intact = {bytes(r["record"]) for r in own if r["file"] == gone[2]} - {bytes(own[n]["record"]) for n in (number, number + 4, number + 9)}
+    assert {r for _, r in warc.split_records(content)} == intact
+    assert warc.audit(records, warc.read_back(records)).count() == 0
