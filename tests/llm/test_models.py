@@ -69,6 +69,24 @@ def test_rules_keep_clean_documents(spark):
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.2 * n[0, False]
 
 
+def test_rules_of_any_language(spark):
+    draw = np.random.default_rng(5)
+    rows = []
+    for name, first, last in (("ru", 0x430, 0x44F), ("el", 0x3B1, 0x3C9), ("pl", 0x61, 0x7A)):
+        words = ["".join(chr(c) for c in draw.integers(first, last, 2 + n % 7)) for n in range(400)]
+        weights = 1 / (np.arange(400) + 2.0)
+        for kind in ["clean"] * 60 + ["junk"] * 3:
+            share = weights / weights.sum() if kind == "clean" else None
+            own = list(draw.choice(words if kind == "clean" else words[40:], 300, p=share))
+            rows.append((len(rows), " ".join(own), name, kind))
+    rows += [(len(rows) + n, r[1], lang, "none") for n, (r, lang) in enumerate(zip(rows, (None, "xx")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    got = {r["doc_id"]: r for r in divergence.judge(docs).collect()}
+    for n, _, _, kind in rows:
+        assert got[n]["kept"] == (kind != "junk"), rows[n]
+        assert (got[n]["char_js"] is None) == (got[n]["word_js"] is None) == (kind == "none")
+
+
 def test_classifier_held_out(spark):
     got = queries.op7_rule_ensemble(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
