@@ -34,15 +34,15 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Whether each code point of the first plane is a letter; those beyond it count as letters."""
-    return np.array([chr(c).isalpha() for c in range(1 << 16)] + [True])
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(text: str | None) -> np.ndarray:
     """Hashed n-grams of a text in lower case, in which each run of other than letters is one space;
     empty for a text without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[np.minimum(codes, 1 << 16)]
+    letter = _letters()[codes]
     if not letter.any():
         return np.zeros(0, np.uint32)
     codes = np.where(letter, codes, 32).astype(np.uint64)

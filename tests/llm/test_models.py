@@ -136,6 +136,14 @@ def test_language_of_odd_texts(docs, rows, nothing):
     assert empty.languages == () and language_id.probabilities(empty, "abc") is None
 
 
+def test_symbols_beyond_the_first_plane():
+    model = language_id.Model(("en",), np.zeros((1 << language_id.BITS, 1)), np.zeros(1), 1.0)
+    for text in ("\U0001F600\U0001F680 \U0001F600", "\U0001D7D8\U0001D7D9", "12 \U0001F4A9!"):
+        assert language_id.grams(text).size == 0 and language_id.probabilities(model, text) is None
+    assert (language_id.grams("abc \U0001F600") == language_id.grams("abc !")).all()
+    assert language_id.grams("\U00020000\U00010400").size > 0  # letters there stay letters
+
+
 def test_document_frequencies(docs, rows):
     counts, total = language_id.document_frequencies(docs)
     want = np.zeros_like(counts)
