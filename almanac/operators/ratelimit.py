@@ -9,13 +9,15 @@ stays within the limit, all of them are admitted whatever happened before.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac import fixed
+from almanac.session import cut_lineage
 
 
 def limit_of(tier: Column, limits: dict[str, int]) -> Column:
@@ -64,13 +66,124 @@ def busy_slices(log: DataFrame, window_us: int) -> DataFrame:
             .select("key_id", "slice", "run"))
 
 
+class Replay:
+    """The recursion over one key's requests in order, in numpy stretches.
+
+    While the limit stays the same, either a request is admitted, or nothing changes before the oldest
+    admitted one leaves the window: everything up to then is rejected in one step. So the work is one
+    step for each admitted request, and arrays for the rest.
+    """
+
+    def __init__(self, window_us: int, hits: Iterable[int] = ()):
+        self.window_us, self.hits = window_us, deque(hits)
+
+    def waits(self, us: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Seconds to wait for each of the next requests; NaN for the admitted ones."""
+        out = np.full(len(us), np.nan)
+        cuts = [0, *(np.flatnonzero(limit[1:] != limit[:-1]) + 1).tolist(), len(us)]
+        for start, stop in zip(cuts, cuts[1:]):
+            self._stretch(us[start:stop], int(limit[start]) if start < stop else 0, out[start:stop])
+        return out
+
+    def _stretch(self, us: np.ndarray, limit: int, out: np.ndarray) -> None:
+        hits, window_us, at = self.hits, self.window_us, 0
+        while at < len(us):
+            now = int(us[at])
+            while hits and hits[0] <= now - window_us:
+                hits.popleft()
+            if len(hits) < limit:
+                hits.append(now)
+                at += 1
+                continue
+            if hits:
+                to = int(np.searchsorted(us, hits[0] + window_us, side="left"))
+                out[at:to] = (window_us - (us[at:to] - hits[0])) / 1_000_000
+            else:  # never admitted: told to wait a whole window
+                to = len(us)
+                out[at:] = window_us / 1_000_000
+            at = to
+
+
+_GROUP = ["key_id", "run", "piece"]
+#: The time of the row that brings a group's entry state, before all others.
+_ENTRY = -(1 << 63)
+
+
+def _groups(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[tuple, pd.DataFrame, np.ndarray, Replay]]:
+    """(group, rows, waits, state behind them) of sorted rows; only the state goes on from frame to frame."""
+    current, replay = None, None
+    for frame in frames:
+        if not len(frame):
+            continue
+        marks = frame[_GROUP].to_numpy()
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+        for start, stop in zip(cuts, cuts[1:]):
+            rows, group = frame.iloc[start:stop], tuple(marks[start].tolist())
+            if group != current:
+                current, replay = group, Replay(window_us)
+            if rows["us"].iloc[0] == _ENTRY:
+                replay = Replay(window_us, [int(x) for x in rows["hits"].iloc[0]])
+                rows = rows.iloc[1:]
+            yield group, rows, replay.waits(rows["us"].to_numpy(), rows["limit"].to_numpy()), replay
+
+
+def _in_groups(rows: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Rows by group, in order; a group's entry state is one more row, its first."""
+    rows = rows.withColumn("hits", F.lit(None).cast("array<long>"))
+    if entries is not None:
+        first = entries.withColumn("us", F.lit(_ENTRY)).withColumn("limit", F.lit(0))
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "us", "event_id")
+
+
+def _states(rows: DataFrame, window_us: int, entries: DataFrame | None = None) -> DataFrame:
+    """(group, out): the admitted times that each group of rows leaves behind."""
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, left = None, None
+        for group, _, _, replay in _groups(frames, window_us):
+            if done is not None and group != done:
+                yield pd.DataFrame([(*done, left)], columns=[*_GROUP, "out"])
+            done, left = group, list(replay.hits)
+        if done is not None:
+            yield pd.DataFrame([(*done, left)], columns=[*_GROUP, "out"])
+
+    return _in_groups(rows, entries).mapInPandas(last, "key_id long, run long, piece int, out array<long>")
+
+
+def entry_states(ordered: DataFrame, window_us: int) -> DataFrame:
+    """(group, hits): the admitted times a piece of a run starts from, where a run lies in several pieces.
+
+    All pieces of such runs are first replayed at once from nothing. What a piece leaves behind is where
+    the next one starts; only pieces that start from something else than before are replayed again, until
+    none is left. The replay is then right from the first piece on. A state forgets its start as soon as
+    the key was below its limit, so that a few rounds settle most runs; a run whose state never forgets
+    needs a round for each of its pieces, none of which is more than its rows.
+    """
+    by_run = Window.partitionBy("key_id", "run")
+    pieces = ordered.select(*_GROUP).distinct().withColumn("n", F.count("*").over(by_run)).where("n > 1").drop("n")
+    pieces = cut_lineage(pieces)
+    split = ordered.join(pieces, _GROUP)
+    states = cut_lineage(_states(split, window_us).withColumn("hits", F.array().cast("array<long>")))
+    while True:
+        before = F.coalesce(F.lag("out").over(by_run.orderBy("piece")), F.array().cast("array<long>"))
+        states = states.withColumn("before", before)
+        changed = cut_lineage(states.where("hits != before").select(*_GROUP, F.col("before").alias("hits")))
+        if changed.isEmpty():
+            return states.where(F.size("before") > 0).select(*_GROUP, F.col("before").alias("hits"))
+        again = _states(ordered.join(changed, _GROUP, "left_semi"), window_us, changed).join(changed, _GROUP)
+        new = again.select(*_GROUP, F.col("out").alias("new_out"), F.col("hits").alias("new_hits"))
+        states = cut_lineage(states.join(new, _GROUP, "left").select(
+            *_GROUP, F.coalesce("new_out", "out").alias("out"), F.coalesce("new_hits", "hits").alias("hits")))
+
+
 def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
-                     window_seconds: int = fixed.LIMIT_WINDOW_SECONDS) -> DataFrame:
+                     window_seconds: int = fixed.LIMIT_WINDOW_SECONDS, pieces: int | None = None) -> DataFrame:
     """Admission of every request of (key_id, tier, event_id, ts), with the seconds to wait if not.
 
     Requests in calm slices are answered by columns alone. Only runs of busy slices go through the
-    recursion: spread by (key, run), sorted by time and streamed, with at most ``limit`` admitted
-    times in memory. A run is only as long as its key stays at the limit without a break.
+    recursion: dealt by ranges of key, run and time into ``pieces`` (by default as many as a shuffle has),
+    so that a key that stays at its limit without a break is many tasks' work, and streamed in order with
+    at most ``limit`` admitted times in memory.
     """
     window_us = window_seconds * 1_000_000
     log = log.select("key_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
@@ -83,21 +196,15 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
         "key_id", "event_id", "ts", F.lit(True).alias("admitted"),
         F.lit(None).cast("double").alias("wait_seconds"))
 
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, hits = None, deque()
-        for frame in frames:
-            waits = []
-            for key, run, now, limit in zip(frame["key_id"], frame["run"], frame["us"], frame["limit"]):
-                if (key, run) != current:
-                    current, hits = (key, run), deque()
-                waits.append(admit(hits, now, limit, window_us))
-            out = frame[["key_id", "event_id", "ts"]].copy()
-            out["wait_seconds"] = pd.array(waits, dtype="Float64")
-            out["admitted"] = out["wait_seconds"].isna().astype(bool)
-            yield out[["key_id", "event_id", "ts", "admitted", "wait_seconds"]]
-
-    busy = (placed.filter(F.col("run").isNotNull())
-            .repartition("key_id", "run")
-            .sortWithinPartitions("key_id", "run", "ts", "event_id")
-            .mapInPandas(replay, result))
-    return calm.unionByName(busy)
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows, waits, _ in _groups(frames, window_us):
+            out = rows[["key_id", "event_id", "ts"]].copy()
+            out["admitted"] = np.isnan(waits)
+            out["wait_seconds"] = pd.array(np.where(np.isnan(waits), None, waits), dtype="Float64")
+            yield out
+
+    order = ["key_id", "run", "us", "event_id"]
+    busy = placed.filter(F.col("run").isNotNull()).select(*order, "ts", "limit")
+    busy = busy.repartitionByRange(pieces, *order) if pieces else busy.repartitionByRange(*order)
+    ordered = cut_lineage(busy.withColumn("piece", F.spark_partition_id()))
+    return calm.unionByName(_in_groups(ordered, entry_states(ordered, window_us)).mapInPandas(decide, result))

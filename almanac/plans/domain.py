@@ -527,6 +527,18 @@ def request_log(spark: SparkSession, folder: str) -> DataFrame:
     return requests_from_events(table(spark, folder, "events"))
 
 
+#: The request log's first day in microseconds, and how many times faster the busy log runs.
+BUSY_START, BUSY_FACTOR = 1_704_067_200_000_000, 40_000
+
+
+def busy_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The request log at many times its speed, a tenth of it by one key: the limits of the tiers bite."""
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - BUSY_START
+    return request_log(spark, folder).select(
+        F.when(F.col("event_id") % 10 == 0, F.lit(0)).otherwise(F.col("key_id")).alias("key_id"), "tier", "event_id",
+        F.timestamp_micros(BUSY_START + F.floor(us / BUSY_FACTOR)).cast("timestamp_ntz").alias("ts"))
+
+
 def keys(spark: SparkSession, folder: str) -> DataFrame:
     """API keys: three to an account."""
     return request_log(spark, folder).select("key_id", "tier").distinct() \

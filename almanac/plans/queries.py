@@ -13,7 +13,7 @@ from almanac import dims, fixed
 from almanac.functions import links, names, numbers, periods
 from almanac.operators import (
     chunks, coverage, identity, industries, kpis, metrics, pointintime, ratelimit, reconcile,
-    screen, sheets, templates, usage,
+    screen, sheets, spec_table, templates, usage,
 )
 from almanac.plans import domain, oracle
 from almanac.session import shared_folder
@@ -186,10 +186,10 @@ def filing_text(spark, folder):
 SELECT company_id, accession_number, fiscal_period, canonical_concept,
        coalesce(date_diff('day', start_date, end_date) BETWEEN 75 AND 105, false) AS quarterly,
        coalesce(date_diff('day', start_date, end_date) BETWEEN 340 AND 390, false) AS annual
-FROM facts WHERE form <> 'SimFin'""")
+FROM facts""")
 def duration_class(spark, folder):
     start, end = F.col("start_date"), F.col("end_date")
-    return domain.facts(spark, folder).filter(F.col("form") != fixed.BASELINE_FORM).select(
+    return domain.facts(spark, folder).select(
         "company_id", "accession_number", "fiscal_period", "canonical_concept",
         periods.is_quarterly(start, end).alias("quarterly"), periods.is_annual(start, end).alias("annual"))
 
@@ -491,6 +491,21 @@ def screen_specs(spark, folder):
         "filters", lambda f: F.concat(f["metric"], f["op"], f["value"].cast("string"))), ";"))
 
 
+@register("screen_table", """
+WITH s AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS x, p_size AS size,
+                  p_partkey % 17 = 0 OR p_partkey % 19 = 0 AS broken FROM part)
+SELECT k AS spec_id, m.company_id, c.ticker, m.fiscal_year,
+  CASE WHEN coalesce(m.revenue, 0) = 0 THEN CAST('-inf' AS DOUBLE) ELSE m.revenue END AS sort_value, broken OR k % 5 NOT IN (1, 3) AS descending
+FROM s, metrics m JOIN companies c ON c.id = m.company_id
+WHERE (broken OR size % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM companies WHERE sector = 'Retail') OR c.sector = 'Retail')
+  AND coalesce(CASE WHEN broken THEN true WHEN k % 6 = 0 THEN m.revenue_growth > x WHEN k % 6 = 2 THEN m.roe <= x + 0.5
+                    WHEN k % 6 = 5 THEN m.revenue >= 1 ELSE true END, false)""")
+def screen_table(spark, folder):
+    companies = domain.companies(spark, folder)
+    specs = screen.sanitize_specs(domain.screen_specs(spark, folder), coverage.sector_list(companies))
+    return spec_table.screen_table(domain.metrics_table(spark, folder), companies, specs)
+
+
 @register("datapoint_search", """
 SELECT ticker, company, kpi, latest_period, latest_value, source_url FROM (
   SELECT c.ticker, c.name AS company, k.name AS kpi, k.period AS latest_period, k.value_text AS latest_value, k.source_url,
@@ -637,12 +652,12 @@ def worklist_kpi_extract(spark, folder):
 
 @register("worklist_baseline", """
 SELECT ticker, cik FROM matched WHERE ticker NOT IN (
-  SELECT ticker FROM companies WHERE id IN (SELECT company_id FROM facts WHERE fiscal_year >= 2001))""")
+  SELECT ticker FROM companies WHERE id IN (SELECT company_id FROM facts))""")
 def worklist_baseline(spark, folder):
     ciks = tickers.cik_by_ticker(tickers.listings(domain.listing_payloads(spark, folder)))
     candidates = identity.universe_match(domain.universe(spark, folder), ciks)
-    facts = domain.facts(spark, folder).filter(F.col("fiscal_year") >= 2001)
-    return coverage.baseline_worklist(candidates, domain.companies(spark, folder), facts).select("ticker", "cik")
+    companies, facts = domain.companies(spark, folder), domain.facts(spark, folder)
+    return coverage.baseline_worklist(candidates, companies, facts).select("ticker", "cik")
 
 
 # --- Sheets -------------------------------------------------------------------------------
@@ -900,30 +915,39 @@ def usage_daily(spark, folder):
 
 # The log is sparse: a long window and low limits make the limiter work.
 LIMITS, WINDOW_SECONDS = {"free": 1, "pro": 2, "enterprise": 3}, 86_400
-_WINDOW_US = WINDOW_SECONDS * 1_000_000
-_AUDIT = f"""
+
+
+def _audit(log: str, limits: dict[str, int], seconds: int) -> str:
+    window = seconds * 1_000_000
+    return f"""
 WITH RECURSIVE hits AS (
-  SELECT key_id, event_id, ts, epoch_us(ts) AS us, CASE tier WHEN 'free' THEN 1 WHEN 'pro' THEN 2 ELSE 3 END AS lim,
-         row_number() OVER (PARTITION BY key_id ORDER BY ts, event_id) AS n FROM log),
+  SELECT key_id, event_id, ts, epoch_us(ts) AS us, CASE tier WHEN 'free' THEN {limits['free']} WHEN 'pro' THEN {limits['pro']} ELSE {limits['enterprise']} END AS lim,
+         row_number() OVER (PARTITION BY key_id ORDER BY ts, event_id) AS n FROM {log}),
 steps AS (
   SELECT key_id, n, event_id, ts, true AS admitted, CAST(NULL AS DOUBLE) AS wait_seconds, [us] AS kept FROM hits WHERE n = 1
   UNION ALL
   SELECT h.key_id, h.n, h.event_id, h.ts, len(live) < lim,
-         CASE WHEN len(live) < lim THEN NULL ELSE ({_WINDOW_US} - (us - live[1])) / CAST(1000000 AS DOUBLE) END,
+         CASE WHEN len(live) < lim THEN NULL ELSE ({window} - (us - live[1])) / CAST(1000000 AS DOUBLE) END,
          CASE WHEN len(live) < lim THEN list_append(live, us) ELSE live END
-  FROM (SELECT h.*, list_filter(s.kept, lambda x: x > h.us - {_WINDOW_US}) AS live
+  FROM (SELECT h.*, list_filter(s.kept, lambda x: x > h.us - {window}) AS live
         FROM steps s JOIN hits h ON h.key_id = s.key_id AND h.n = s.n + 1) h)
 SELECT key_id, event_id, ts, admitted, wait_seconds FROM steps"""
 
 
+_AUDIT = _audit("log", LIMITS, WINDOW_SECONDS)
+
+
 @register("rate_limit_audit", _AUDIT)
 def rate_limit_audit(spark, folder):
     return ratelimit.rate_limit_audit(domain.request_log(spark, folder), LIMITS, WINDOW_SECONDS)
 
 
-@register("rate_limit_audit_default", "SELECT key_id, event_id, ts, true AS admitted, CAST(NULL AS DOUBLE) AS wait_seconds FROM log")
+@register("rate_limit_audit_default", _audit(f"""
+  (SELECT CASE WHEN event_id % 10 = 0 THEN 0 ELSE key_id END AS key_id, tier, event_id,
+          make_timestamp({domain.BUSY_START} + (epoch_us(ts) - {domain.BUSY_START}) // {domain.BUSY_FACTOR}) AS ts FROM log)""", fixed.TIER_LIMITS, fixed.LIMIT_WINDOW_SECONDS))
 def rate_limit_audit_default(spark, folder):
-    return ratelimit.rate_limit_audit(domain.request_log(spark, folder))
+    """The log run 40,000 times as fast, a tenth of it by one key that changes its tier all the time."""
+    return ratelimit.rate_limit_audit(domain.busy_log(spark, folder))
 
 
 @register("subscription_state", "SELECT account_id, tier, status, customer_id, period_end, updated FROM subs")

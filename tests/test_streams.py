@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,31 @@ def test_audit(spark, seed):
     same(as_dict(ratelimit.rate_limit_audit(spark.createDataFrame(rows, LOG), LIMITS)), want)
 
 
+@pytest.mark.parametrize("kind", ["random", "even", "tiers", "bursts"])
+def test_audit_of_one_key_split_over_tasks(spark, kind):
+    """One key holds all rows and never leaves its limit: its run lies in many pieces. Evenly spaced
+    requests never forget where they started."""
+    rng, now, rows = random.Random(kind), 0, []
+    for event in range(6000):
+        now += {"random": rng.choice([0, 1, 3, 5]), "even": 1, "tiers": rng.choice([0, 1, 2]), "bursts": 0 if event % 300 else 20}[kind]
+        tier = "free" if kind != "tiers" else ["free", "pro", "enterprise"][event // 700 % 3]
+        rows.append((1, tier, event, START + dt.timedelta(seconds=now)))
+    log = spark.createDataFrame(rows, LOG).repartition(5)
+    got = ratelimit.rate_limit_audit(log, LIMITS, pieces=9)
+    same(as_dict(got), plain_audit(rows, LIMITS, 60))
+
+
+def test_pieces_of_a_run_start_where_the_one_before_ended(spark):
+    rows = [(1, 7, 1_000_000 * n, n, 3, n // 100) for n in range(1000)] + [(2, 1, 5, 5000, 3, 9)]
+    ordered = spark.createDataFrame(rows, "key_id long, run long, us long, event_id long, limit int, piece int")
+    got = {r.piece: r.hits for r in ratelimit.entry_states(ordered, 60_000_000).collect()}
+    replay = ratelimit.Replay(60_000_000)
+    for piece in range(10):
+        assert got.get(piece, []) == list(replay.hits)
+        replay.waits(np.arange(piece * 100, piece * 100 + 100) * 1_000_000, np.full(100, 3))
+    assert max(r["n"] for r in ordered.groupBy("piece").agg(F.count("*").alias("n")).collect()) <= 101
+
+
 def test_audit_at_the_window_edge(spark):
     rows = [(1, "free", n, START + dt.timedelta(seconds=s)) for n, s in enumerate([0, 1, 2, 59, 60, 60, 61, 200])]
     want = plain_audit(rows, LIMITS, 60)
