@@ -607,6 +607,33 @@ def screen_specs(spark: SparkSession, folder: str) -> DataFrame:
         k.alias("spec_id"), F.when(k % 17 == 0, "just a string").when(k % 19 == 0, "[1,2]").otherwise(spec).alias("spec"))
 
 
+TEMPLATE_CONCEPTS = ["revenue", "operating_cash_flow", "capex", "total_assets", "net_income"]
+
+
+def template_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates, one for each part: a formula above its two concepts with a spacer between them. One in
+    eleven has a row whose formula names a concept that need not be one of its rows."""
+    k, names = F.col("p_partkey"), F.array(*[F.lit(c) for c in TEMPLATE_CONCEPTS])
+    one, two, other = (F.get(names, (n % 5).cast("int")) for n in (k, k + F.col("p_size"), k + 1))
+    none = F.lit(None).cast("string")
+    op = F.when(k % 2 == 0, " + ").otherwise("-")
+
+    def row(n: int, kind: str, label: Column, concept: Column = none, expression: Column = none) -> Column:
+        return F.struct(F.lit(n).alias("row_no"), F.lit(kind).alias("type"), label.alias("label"), concept.alias("concept"), expression.alias("expression"))
+
+    rows = F.array(row(1, "formula", F.lit("Change"), expression=F.concat(one, op, two)), row(2, "concept", F.lit("One"), one),
+                   row(3, "spacer", none), row(4, "concept", F.lit("Two"), two))
+    broken = F.array(row(5, "formula", F.lit("Zero"), expression=F.concat(other, F.lit(" - "), other)))
+    listed = table(spark, folder, "part").select(k.alias("template_id"), F.inline(F.when(k % 11 == 0, F.concat(rows, broken)).otherwise(rows)))
+    return listed
+
+
+def template_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every company asks for two templates."""
+    asked = F.explode(F.array(F.col("id"), F.col("id") + 50)).alias("template_id")
+    return companies(spark, folder).select(F.col("id").alias("company_id"), asked)
+
+
 def industries(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, folder, "part").select(

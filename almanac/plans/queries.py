@@ -764,18 +764,34 @@ FORMULAS = [
 ]
 
 
-@register("template_formula", """
-SELECT company_id, fiscal_year, formula_id, round(sum(sign * value), 3) AS value
-FROM (SELECT company_id, fiscal_year, canonical_concept, value FROM complete
-      WHERE fiscal_period = CASE WHEN canonical_concept IN (SELECT canonical_concept FROM tags WHERE is_flow) THEN 'FY' ELSE 'Q4' END)
-JOIN (VALUES ('adjusted', 'operating_income', 1), ('adjusted', 'stock_based_compensation', 1), ('free_cash', 'operating_cash_flow', 1),
+_FORMULA_SQL = """
+SELECT company_id, fiscal_year, fiscal_period, formula_id, round(sum(sign * coalesce(value, 0)), 3) AS value
+FROM {columns} CROSS JOIN (VALUES ('adjusted', 'operating_income', 1), ('adjusted', 'stock_based_compensation', 1), ('free_cash', 'operating_cash_flow', 1),
   ('free_cash', 'capex', -1), ('net_debt', 'long_term_debt', 1), ('net_debt', 'cash_and_equivalents', -1), ('net_debt', 'revenue', 0))
-  AS t(formula_id, canonical_concept, sign) USING (canonical_concept)
-GROUP BY company_id, fiscal_year, formula_id""")
-def template_formula(spark, folder):
+  AS t(formula_id, canonical_concept, sign) LEFT JOIN {cells} USING (company_id, fiscal_year, fiscal_period, canonical_concept)
+WHERE formula_id <> 'net_debt' OR company_id % 3 = 0 GROUP BY company_id, fiscal_year, fiscal_period, formula_id"""
+_ANNUAL = {"columns": "(SELECT company_id, fiscal_year, 'FY' AS fiscal_period FROM annual_columns)",
+           "cells": """(SELECT company_id, fiscal_year, 'FY' AS fiscal_period, canonical_concept, value, source_url FROM complete
+  WHERE fiscal_period = CASE WHEN canonical_concept IN (SELECT canonical_concept FROM tags WHERE is_flow) THEN 'FY' ELSE 'Q4' END)"""}
+_QUARTERLY = {"columns": "(SELECT DISTINCT company_id, fiscal_year, fiscal_period FROM complete WHERE fiscal_period <> 'FY')",
+              "cells": "(SELECT company_id, fiscal_year, fiscal_period, canonical_concept, value, source_url FROM complete WHERE fiscal_period <> 'FY')"}
+
+
+def _formulas(spark, folder, period):
     formulas = dims.values_table(spark, ["formula_id", "expression"], FORMULAS)
-    rows = templates.formula_values(formulas, domain.complete_facts(spark, folder))
-    return rounded(rows, "value", digits=3).select("company_id", "fiscal_year", "formula_id", "value")
+    asked = F.array(*[F.lit(name) for name, _ in FORMULAS if name != "net_debt"], F.when(F.col("id") % 3 == 0, "net_debt"))
+    requests = domain.companies(spark, folder).select(F.col("id").alias("company_id"), F.explode(asked).alias("formula_id"))
+    return rounded(templates.formula_values(formulas, requests, domain.complete_facts(spark, folder), period), "value", digits=3)
+
+
+@register("template_formula", _FORMULA_SQL.format(**_ANNUAL))
+def template_formula(spark, folder):
+    return _formulas(spark, folder, "annual")
+
+
+@register("template_formula_quarterly", _FORMULA_SQL.format(**_QUARTERLY))
+def template_formula_quarterly(spark, folder):
+    return _formulas(spark, folder, "quarterly")
 
 
 TEMPLATE = [
@@ -788,22 +804,62 @@ TEMPLATE = [
 ]
 
 
-@register("template_sheet", """
-WITH w AS (SELECT c.company_id, c.fiscal_year, max(value) FILTER (WHERE canonical_concept = 'operating_cash_flow') AS ocf,
+_SHEET_SQL = """
+WITH w AS (SELECT company_id, fiscal_year, fiscal_period, max(value) FILTER (WHERE canonical_concept = 'operating_cash_flow') AS ocf,
                   max(value) FILTER (WHERE canonical_concept = 'capex') AS capex,
                   max(value) FILTER (WHERE canonical_concept = 'total_assets') AS assets
-           FROM annual_columns c LEFT JOIN annual_cells a ON a.company_id = c.company_id AND a.fiscal_year = c.fiscal_year
-           GROUP BY c.company_id, c.fiscal_year)
+           FROM {columns} LEFT JOIN {cells} USING (company_id, fiscal_year, fiscal_period)
+           GROUP BY company_id, fiscal_year, fiscal_period)
 SELECT * FROM (
-  SELECT company_id, fiscal_year, 1 AS row_no, 'Free cash' AS label, coalesce(ocf, 0) - coalesce(capex, 0) AS value FROM w
-  UNION ALL SELECT company_id, fiscal_year, 2, 'Operating cash', ocf FROM w
-  UNION ALL SELECT company_id, fiscal_year, 4, 'Capital spending', capex FROM w
-  UNION ALL SELECT company_id, fiscal_year, 5, 'Assets', assets FROM w
-  UNION ALL SELECT company_id, fiscal_year, 6, 'Sum', coalesce(capex, 0) + coalesce(assets, 0) FROM w) WHERE value IS NOT NULL""")
+  SELECT company_id, fiscal_year, fiscal_period, 1 AS row_no, 'Free cash' AS label, coalesce(ocf, 0) - coalesce(capex, 0) AS value FROM w
+  UNION ALL SELECT company_id, fiscal_year, fiscal_period, 2, 'Operating cash', ocf FROM w
+  UNION ALL SELECT company_id, fiscal_year, fiscal_period, 4, 'Capital spending', capex FROM w
+  UNION ALL SELECT company_id, fiscal_year, fiscal_period, 5, 'Assets', assets FROM w
+  UNION ALL SELECT company_id, fiscal_year, fiscal_period, 6, 'Sum', coalesce(capex, 0) + coalesce(assets, 0) FROM w) WHERE value IS NOT NULL"""
+
+
+@register("template_sheet", _SHEET_SQL.format(**_ANNUAL))
 def template_sheet(spark, folder):
     return templates.template_sheet(TEMPLATE, domain.complete_facts(spark, folder)).drop("derived")
 
 
+@register("template_sheet_quarterly", _SHEET_SQL.format(**_QUARTERLY))
+def template_sheet_quarterly(spark, folder):
+    return templates.template_sheet(TEMPLATE, domain.complete_facts(spark, folder), "quarterly").drop("derived")
+
+
+_CONCEPT_LIST = f"[{', '.join(oracle.text(c) for c in domain.TEMPLATE_CONCEPTS)}]"
+_SHEETS_SQL = f"""
+WITH asked AS (SELECT c.id AS company_id, p_partkey AS template_id, {_CONCEPT_LIST}[p_partkey % 5 + 1] AS one, {_CONCEPT_LIST}[(p_partkey + p_size) % 5 + 1] AS two,
+                      p_partkey % 2 = 0 AS plus
+               FROM companies c JOIN part ON p_partkey = c.id OR p_partkey = c.id + 50
+               WHERE p_partkey % 11 <> 0 OR (p_partkey + 1) % 5 IN (p_partkey % 5, (p_partkey + p_size) % 5)),
+w AS (SELECT a.company_id, template_id, fiscal_year, fiscal_period, plus, max(value) FILTER (WHERE canonical_concept = one) AS one,
+             max(value) FILTER (WHERE canonical_concept = two) AS two, max(source_url) FILTER (WHERE canonical_concept = one) AS one_url,
+             max(source_url) FILTER (WHERE canonical_concept = two) AS two_url
+      FROM asked a JOIN {{columns}} USING (company_id) LEFT JOIN {{cells}} USING (company_id, fiscal_year, fiscal_period) GROUP BY ALL)
+SELECT company_id, template_id, fiscal_year, fiscal_period, row_no, label, value, source_url FROM (
+  SELECT *, 1 AS row_no, 'Change' AS label, coalesce(one, 0) + CASE WHEN plus THEN 1 ELSE -1 END * coalesce(two, 0) AS value, NULL AS source_url FROM w
+  UNION ALL SELECT *, 2, 'One', one, one_url FROM w
+  UNION ALL SELECT *, 4, 'Two', two, two_url FROM w
+  UNION ALL SELECT *, 5, 'Zero', 0, NULL FROM w WHERE template_id % 11 = 0) WHERE value IS NOT NULL"""
+
+
+def _many_templates(spark, folder, period):
+    rows, requests = domain.template_rows(spark, folder), domain.template_requests(spark, folder)
+    return templates.template_sheets(rows, requests, domain.complete_facts(spark, folder), period).drop("derived")
+
+
+@register("template_sheets", _SHEETS_SQL.format(**_ANNUAL))
+def template_sheets(spark, folder):
+    return _many_templates(spark, folder, "annual")
+
+
+@register("template_sheets_quarterly", _SHEETS_SQL.format(**_QUARTERLY))
+def template_sheets_quarterly(spark, folder):
+    return _many_templates(spark, folder, "quarterly")
+
+
 @register("bulk_export_manifest", """
 WITH wanted AS (
   SELECT p_partkey AS request_id, UNNEST(CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(60), lambda n: 'S' || (n * 3))

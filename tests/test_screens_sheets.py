@@ -216,8 +216,42 @@ def test_template_sheet(spark):
             {"type": "concept", "label": "Revenue", "concept": "revenue"}, {"type": "concept", "label": "Capex", "concept": "capex"}]
     got = sorted((r.fiscal_year, r.row_no, r.value) for r in templates.template_sheet(rows, facts).collect())
     assert got == [(2023, 1, 0.0), (2024, 1, 70.0), (2024, 3, 100.0), (2024, 4, 30.0)]
-    sums = templates.formula_values(dims.values_table(spark, ["formula_id", "expression"], [("n", "revenue - capex")]), facts)
-    assert [(r.fiscal_year, r.value) for r in sums.collect()] == [(2024, 70.0)]
+    asked = spark.createDataFrame([(1, "n"), (1, "n"), (1, "unknown"), (9, "n")], "company_id long, formula_id string")
+    formulas = dims.values_table(spark, ["formula_id", "expression"], [("n", "revenue - capex"), ("bad", "revenue -")])
+    for period, want in (("annual", [(2023, "FY", 0.0), (2024, "FY", 70.0)]), ("quarterly", [(2023, "Q1", 1.0)])):
+        sums = templates.formula_values(formulas, asked, facts, period).collect()
+        assert sorted((r.fiscal_year, r.fiscal_period, r.value) for r in sums) == want
+    quarters = templates.template_sheet(rows, facts, "quarterly", quarters=["Q1", "Q2"]).collect()
+    assert sorted((r.fiscal_year, r.fiscal_period, r.row_no, r.value) for r in quarters) == [(2023, "Q1", 1, 1.0), (2023, "Q1", 3, 1.0)]
+
+
+TEMPLATE_ROWS = "template_id long, row_no int, type string, label string, concept string, expression string"
+
+
+def test_templates_as_a_table(spark):
+    facts = frame(spark, [fact(value=100), fact(concept="capex", tag="PaymentsToAcquirePropertyPlantAndEquipment", value=30),
+                          fact(company=2, value=7), fact(value=1, fy=2023, period="Q1")])
+    rows = [(1, 1, "formula", "Net", None, "revenue - capex"), (1, 2, "spacer", None, None, None), (1, 3, "concept", "Revenue", "revenue", None),
+            (1, 4, "concept", "Capex", "capex", None), (2, 1, "concept", "Revenue", "revenue", None),
+            (2, 2, "formula", "FCF", None, "operating_cash_flow - capex"), (3, 1, "concept", "Sales", "revenue", None)]
+    asked = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 1), (2, 9), (5, 1)], "company_id long, template_id long")
+    got = templates.template_sheets(spark.createDataFrame(rows, TEMPLATE_ROWS), asked, facts).drop("source_url", "derived").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, 1, 2023, "FY", 1, "Net", 0.0), (1, 1, 2024, "FY", 1, "Net", 70.0), (1, 1, 2024, "FY", 3, "Revenue", 100.0), (1, 1, 2024, "FY", 4, "Capex", 30.0),
+        (2, 1, 2024, "FY", 1, "Net", 7.0), (2, 1, 2024, "FY", 3, "Revenue", 7.0), (2, 3, 2024, "FY", 1, "Sales", 7.0)]
+    quarterly = templates.template_sheets(spark.createDataFrame(rows, TEMPLATE_ROWS), asked, facts, "quarterly").collect()
+    assert {(r.template_id, r.fiscal_period, r.row_no, r.value) for r in quarterly} == {(1, "Q1", 1, 1.0), (1, "Q1", 3, 1.0)}
+
+
+@pytest.mark.parametrize("row,error", [
+    ((1, "concept", "Revenue", "revenue", None), None), ((1, "spacer", None, None, None), None), ((1, "concept", " ", "revenue", None), "no label"),
+    ((1, "concept", "X", "goodwill", None), "unknown concept"), ((1, "concept", "X", None, None), "unknown concept"), ((1, "formula", None, None, "capex"), "no label"),
+    ((1, "formula", "X", None, "capex - capex"), None), ((1, "formula", "X", None, "revenue - capex"), "not a row"), ((1, "formula", "X", None, "capex -"), "no formula"),
+    ((1, "formula", "X", None, None), "no formula"), ((1, "chart", "X", None, None), "unknown type"), ((1, None, "X", None, None), "unknown type")])
+def test_template_rows_are_checked(spark, row, error):
+    rows = [(1, *row), (1, 9, "concept", "Capex", "capex", None), (2, 1, "concept", "Revenue", "revenue", None)]
+    got = {(r.template_id, r.row_no): r.error for r in templates.checked_rows(spark.createDataFrame(rows, TEMPLATE_ROWS)).collect()}
+    assert got == {(1, 1): error, (1, 9): None, (2, 1): None}
 
 
 def plain_chunks(text, words, limit, size, step):
