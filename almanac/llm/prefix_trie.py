@@ -85,61 +85,52 @@ def rebuilt(conversations: DataFrame, most: int = MOST_SHARED, group: int = GROU
     return members.select("conv_id"), copied.select("conv_id", F.col("rank").alias("pos"), "role", "text").unionByName(own)
 
 
-def trie_nodes(members: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes (node, parent, depth, conv_id, n_convs, bytes) and the ends (node, conv_id), from
-    conversations and their turns (conv_id, pos, role, text)."""
+def trie_nodes(members: DataFrame, turns: DataFrame, height: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The nodes (node, parent, depth, conv_id, n_convs, bytes, above) and the ends (node, conv_id), from
+    conversations and their turns (conv_id, pos, role, text), and the height of a band.
+
+    ``above`` lists a node's ancestors inside its band and the node itself, as its smallest member passes them.
+    """
     marked = turns.select("conv_id", F.col("pos").alias("depth"), F.octet_length("text").cast("long").alias("bytes"),
                           *[F.xxhash64("pos", "role", "text", F.lit(seed)).alias(f"h{seed}") for seed in (1, 2)])
     marked = _running(marked, ["conv_id"], [F.col("depth")], "marked", {"a": (F.bit_xor, "h1", 0), "b": (F.bit_xor, "h2", 0)})
     steps = saved(marked.select("conv_id", "depth", "bytes", node_key(F.col("a"), F.col("b")).alias("node"),
                                 node_key(F.col("a").bitwiseXOR(F.col("h1")), F.col("b").bitwiseXOR(F.col("h2"))).alias("parent")), "steps")
+    deepest = steps.agg(F.max("depth").alias("d")).first()["d"] or 0
+    height = height or max(HEIGHT, math.ceil(math.sqrt(deepest + 1)))
     nodes = steps.groupBy("node", "parent", "depth").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("bytes").alias("bytes"))
     root = node_key(F.lit(0), F.lit(0))
+    band = F.floor(F.col("depth") / height)
+    passed = F.collect_list("node").over(Window.partitionBy("conv_id", band).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
+    paths = steps.select("node", "conv_id", F.when(band == 0, F.concat(F.array(root), passed)).otherwise(passed).alias("above"))
     top = members.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
     top = top.select(root.alias("node"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("parent"), F.lit(0).cast("long").alias("depth"),
-                     "conv_id", "n_convs", F.lit(0).cast("long").alias("bytes"))
+                     "conv_id", "n_convs", F.lit(0).cast("long").alias("bytes"), F.array(root).alias("above"))
     last = steps.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
     ends = members.join(last, "conv_id", "left").select(F.coalesce("node", root).alias("node"), "conv_id")
-    return saved(nodes.unionByName(top), "nodes"), ends
-
+    nodes = nodes.join(paths, ["node", "conv_id"]).select(top.columns)
+    return saved(nodes.unionByName(top), "nodes"), ends, height
 
-def _in_band(nodes: DataFrame, height: int) -> DataFrame:
-    """Nodes with ``above``: their ancestors inside their band, themselves included.
 
-    As many joins to the parent as a band is high less one; in each only nodes that still have a parent
-    in their band take part.
-    """
-    up = nodes.where(F.col("depth") % height != 0).select(F.col("node").alias("_node"), F.col("parent").alias("_up"))
-    paths = nodes.select("node", "depth", F.array("node").alias("above"),
-                         F.when(F.col("depth") % height != 0, F.col("parent")).alias("_next"))
-    for _ in range(height - 1):
-        paths = paths.join(up, F.col("_next") == F.col("_node"), "left").select(
-            "node", "depth", F.when(F.col("_next").isNull(), F.col("above")).otherwise(F.concat("above", F.array("_next"))).alias("above"),
-            F.col("_up").alias("_next"))
-    return paths.select("node", "above")
-
-
-def subtree_totals(nodes: DataFrame, values: list[str], height: int | None = None) -> DataFrame:
+def subtree_totals(nodes: DataFrame, values: list[str], height: int) -> DataFrame:
     """(node, and for each of ``values`` its sum over the node's subtree), for nodes (node, parent, depth,
-    values). ``height`` of a band; by default the root of the greatest depth, at least ``HEIGHT``."""
+    values, above) in bands of ``height``."""
     deepest = nodes.agg(F.max("depth").alias("d")).first()["d"]
     if deepest is None:
         return nodes.select("node", *values)
-    height = height or max(HEIGHT, math.ceil(math.sqrt(deepest + 1)))
-    band = F.floor(F.col("depth") / height)
+    sums = [F.sum(v).alias(v) for v in values]
     done, arrived = None, None
     for n in range(deepest // height, -1, -1):
-        own = nodes.where(band == n)
-        weight = own.select("node", *values)
+        own = nodes.where((F.col("depth") >= n * height) & (F.col("depth") < (n + 1) * height))
+        each = own.select(F.explode("above").alias("node"), *values)
         if arrived is not None:
-            weight = weight.unionByName(arrived).groupBy("node").agg(*[F.sum(v).alias(v) for v in values])
-        paths = _in_band(own.select("node", "parent", "depth"), min(height, deepest + 1))
-        each = weight.join(paths, "node").select(F.explode("above").alias("node"), *values)
-        totals = saved(each.groupBy("node").agg(*[F.sum(v).alias(v) for v in values]), "band")
+            joined = own.select("node", "above").join(arrived, "node")
+            each = each.unionByName(joined.select(F.explode("above").alias("node"), *values))
+        totals = saved(each.groupBy("node").agg(*sums), "band")
         done = totals if done is None else done.unionByName(totals)
         if n:
-            top = nodes.where(F.col("depth") == n * height).select("node", "parent")
-            arrived = top.join(totals, "node").groupBy(F.col("parent").alias("node")).agg(*[F.sum(v).alias(v) for v in values])
+            top = own.where(F.col("depth") == n * height).select("node", "parent")
+            arrived = top.join(totals, "node").groupBy(F.col("parent").alias("node")).agg(*sums)
     return done
 
 
@@ -208,14 +199,14 @@ def end_digests(ends: DataFrame) -> DataFrame:
 def trie(members: DataFrame, turns: DataFrame, height: int | None = None) -> DataFrame:
     """One row per node: conv_id (its smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256. Without any conversation there is no node."""
-    nodes, ends = trie_nodes(members, turns)
+    nodes, ends, height = trie_nodes(members, turns, height)
     children = nodes.where("depth > 0").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long"))
     nodes = saved(nodes.withColumn("n_leaves", (F.col("n_children") == 0).cast("long"))
                   .withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("bytes")), "trie")
-    totals = subtree_totals(nodes.select("node", "parent", "depth", "n_leaves", "saved_tokens"), ["n_leaves", "saved_tokens"], height)
+    totals = subtree_totals(nodes, ["n_leaves", "saved_tokens"], height)
     parents = nodes.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    named = saved(nodes.drop("n_leaves", "saved_tokens").join(parents, "parent", "left"), "named")
+    named = saved(nodes.drop("n_leaves", "saved_tokens", "above").join(parents, "parent", "left"), "named")
     none = hashlib.sha256().hexdigest()
     return named.join(totals, "node").join(saved(end_digests(ends), "ends"), "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
