@@ -31,7 +31,8 @@ WORDS = 5
 SCALE, LEAST = 16, 64
 RANGE = 1 << 32
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and sketches travel as bytes, and are written as digits at the end.
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _RANGED = _RESULT + ", part int, edge string, text string"
 
 
@@ -52,8 +53,12 @@ def sketch(text: bytes, scale: int = SCALE, least: int = LEAST) -> tuple[int, np
     return int(every[least - 1]) + 1, every[:least]
 
 
+def packed(bound: int, hashes: np.ndarray) -> bytes:
+    return np.append(np.uint32(bound - 1), hashes).astype(">u4").tobytes()
+
+
 def written(bound: int, hashes: np.ndarray) -> str:
-    return f"{bound - 1:08x}" + hashes.astype(">u4").tobytes().hex()
+    return packed(bound, hashes).hex()
 
 
 def read(fingerprint: str) -> tuple[int, np.ndarray]:
@@ -97,12 +102,12 @@ def edited_text(text: str, following: str) -> str:
 def _row(doc_id, text: str, own, following: str, after) -> tuple:
     edited = edited_text(text, following).encode()
     changed = sketch(edited)
-    return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), written(*own), written(*changed),
+    return (doc_id, len(text), hashlib.sha256(edited).digest(), packed(*own), packed(*changed),
             likeness(own, changed), likeness(own, after))
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     parts = [p.split() for p in schema.split(", ")]
     columns = zip(*rows) if rows else [[] for _ in parts]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts)], names=[n for n, _ in parts])
@@ -149,7 +154,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = saved(ranged.mapInArrow(_in_order, _RANGED), "sketches")
-    names = [p.split()[0] for p in _RESULT.split(", ")]
+    columns = [F.lower(F.hex(n)).alias(n) if kind == "binary" else F.col(n) for n, kind in (p.split() for p in _RESULT.split(", "))]
     first = ranged.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     last = ranged.where("edge = 'last'").select("doc_id", "text", "part")
     # one number for each range: what Spark's driver holds anyhow
@@ -157,7 +162,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     by_part = Window.orderBy("part")
     numbers = numbers.withColumn("next_part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)))
     met = last.join(numbers, "part").join(first, "next_part").select("doc_id", "text", "following")
-    return ranged.where("edge is null").select(*names).unionByName(map_arrow(met, _met, _RESULT, "text"))
+    return ranged.where("edge is null").select(*columns).unionByName(map_arrow(met, _met, _RESULT, "text").select(*columns))
 
 
 def merged_by(sketches: DataFrame, key: str, fingerprint: str = "fingerprint") -> DataFrame:
