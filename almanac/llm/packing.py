@@ -10,11 +10,14 @@ partition is left or a round settles too little; a partition never holds more th
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,53 +32,123 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a partition; bounds a task's memory.
 PART_PIECES = 50_000
-#: Chunks of text whose ids a Python worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+#: Chunks of text and pre-tokens whose ids a Python worker remembers, and the longest of them.
+CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 800_000, 400_000, 64
 
 PIECE_SCHEMA = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, settled boolean, certified boolean"
 
-_tokenizers: dict = {}
+#: Letters that normalisation and lower case treat alike in any library, and what the vocabulary's
+#: pre-tokenizer cuts chunks of them into; other chunks go through the tokenizer whole.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Unseen pre-tokens that are encoded in one call.
+JOINED = 500
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _keep(cache: dict, key, value, most: int) -> None:
+    """Adds to a cache; a full one gives up its older half."""
+    if len(cache) >= most:
+        for old in list(itertools.islice(cache, most // 2)):
+            del cache[old]
+    cache[key] = value
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
 
+class Encoder:
+    """Ids of texts as little-endian words. The vocabulary never joins what white space parts, nor what its
+    pre-tokenizer parts: chunks between white space are remembered, and the pre-tokens of unseen ones.
 
-def _encode(tokenizer, chunks: list[bytes]) -> list[bytes]:
-    found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    Unseen pre-tokens are encoded many to a call, joined by spaces; each ends with a token that ends a
+    word, which tells their ids apart. Chunks that hold special tokens or characters beyond ``PLAIN`` are
+    encoded whole, as texts of their own.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def text_ids(text: bytes, tokenizer, cache: dict) -> bytes:
-    """Ids of a text as little-endian words. The vocabulary never joins what white space parts, so the
-    chunks between white space are encoded one by one and remembered."""
-    chunks = text.split()
-    new = list({c for c in chunks if c not in cache})
-    long = {}
-    if new:
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = list(set(chunks))
-        for chunk, ids in zip(new, _encode(tokenizer, new)):
-            (cache if len(chunk) <= CACHE_BYTES else long)[chunk] = ids
-    if long or len(new) > CACHE_CHUNKS:
-        return b"".join([long[c] if c in long else cache[c] for c in chunks])
-    return b"".join(map(cache.__getitem__, chunks))
+        self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        special = [t["content"] for t in rules["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[n for t, n in vocabulary.items() if t.endswith(suffix) and t not in special]] = True
+        self.by_pre_token = bool(suffix) and _cuts_words(rules["pre_tokenizer"])
+        self.chunks: dict[bytes, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), JOINED):
+            part = words[start:start + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):  # not one end for each
+                out += self._alone(part)
+                continue
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
+
+    def _unseen(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of the chunks."""
+        odd, cut, known = [], {}, {}
+        for chunk in chunks:
+            text = chunk.decode()
+            if not self.by_pre_token or not PLAIN.fullmatch(text) or self.special.search(text):
+                odd.append((chunk, text))
+                continue
+            cut[chunk] = parts = PRE_TOKEN.findall(text.lower())
+            for part in parts:
+                if part not in known:
+                    known[part] = self.pre_tokens.get(part)
+        new = [part for part, ids in known.items() if ids is None]
+        for part, ids in zip(new, self._together(new)):
+            known[part] = ids
+            if len(part) <= CACHE_BYTES:
+                _keep(self.pre_tokens, part, ids, CACHE_PRE_TOKENS)
+        out = {chunk: b"".join([known[p] for p in parts]) for chunk, parts in cut.items()}
+        if odd:
+            out |= zip([c for c, _ in odd], self._alone([t for _, t in odd]))
+        return out
+
+    def __call__(self, text: bytes) -> bytes:
+        chunks = text.split()
+        ids = [self.chunks.get(c) for c in chunks]
+        if None in ids:
+            found = self._unseen(list({c for c, i in zip(chunks, ids) if i is None}))
+            ids = [found[c] if i is None else i for c, i in zip(chunks, ids)]
+            for chunk, own in found.items():
+                if len(chunk) <= CACHE_BYTES:
+                    _keep(self.chunks, chunk, own, CACHE_CHUNKS)
+        return b"".join(ids)
+
+
+def _cuts_words(rules: dict | None) -> bool:
+    """Whether a pre-tokenizer cuts as ``PRE_TOKEN`` does, for plain chunks: the public vocabulary's pattern."""
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return any(r.get("pattern") == {"Regex": pattern} for r in (rules or {}).get("pretokenizers", []))
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _pieces(batch: pa.RecordBatch, path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tokenizer, cache = _tokenizer(path)
+    encode = _encoder(path)
     end = int(end_id).to_bytes(4, "little")
     out: list[list] = [[] for _ in range(6 + with_ids)]
     texts = batch.column(2).cast(pa.binary()).to_pylist()
     for doc_id, row_no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-        ids = text_ids(text or b"", tokenizer, cache) + end
+        ids = encode(text or b"") + end
         for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
             part = ids[start:start + 4 * capacity]
             row = [doc_id, row_no, piece, start // 4, len(part) // 4, zlib.crc32(part)]
