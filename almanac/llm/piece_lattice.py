@@ -46,12 +46,16 @@ class Vocabulary:
     bytes_of: list[bytes]
     longest: int
     cut: re.Pattern
-    #: Every beginning of a piece: (ids, score) if it is one itself, else None.
-    prefixes: dict
+    #: Pieces by their characters, a level each; "" leads to a piece's (packed id, score).
+    trie: dict
     best: dict = field(default_factory=dict)
     searched: dict = field(default_factory=dict)
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def make_vocabulary(pieces: list[tuple[str, int, float]], byte_ids: list[int], size: int) -> Vocabulary:
     """From (piece with spaces, id, score), the ids of the 256 bytes, and the number of ids."""
     if any(" " in p.lstrip(" ") for p, _, _ in pieces):
@@ -64,10 +68,14 @@ def make_vocabulary(pieces: list[tuple[str, int, float]], byte_ids: list[int], s
     known = "".join(sorted({c for p, _, _ in pieces for c in p} - {" "}))
     cut = re.compile(f" +[{re.escape(known)}]*|[{re.escape(known)}]+|[^ ]")
     lowest = min((s for _, _, s in pieces if s > -1e8), default=0.0)
-    prefixes: dict = {p[:k]: None for p, _, _ in pieces for k in range(1, len(p))}
-    prefixes |= {p: ((n,), s) for p, n, s in pieces}
+    trie: dict = {}
+    for piece, number, score in pieces:
+        node = trie
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[""] = (_packed((number,)), score)
     longest = max(len(p) for p, _, _ in pieces)
-    return Vocabulary({p: (n, s) for p, n, s in pieces}, byte_ids, lowest - BYTE_LOSS, bytes_of, longest, cut, prefixes)
+    return Vocabulary({p: (n, s) for p, n, s in pieces}, byte_ids, lowest - BYTE_LOSS, bytes_of, longest, cut, trie)
 
 
 @lru_cache(2)
@@ -82,83 +90,111 @@ def load_vocabulary(path: str) -> Vocabulary:
     return make_vocabulary(pieces, byte_ids, size)
 
 
-def _lattice(v: Vocabulary, stretch: str) -> tuple[list[list[tuple]], list[float]]:
-    """Edges (start, ids, score) into each place, and each place's forward Viterbi score."""
-    size = len(stretch)
-    into: list[list[tuple]] = [[] for _ in range(size + 1)]
-    get, longest = v.pieces.get, v.longest
+def _forward(v: Vocabulary, stretch: str) -> list[float]:
+    """The Viterbi score of each place: that of the best way from the start to it."""
+    size, low = len(stretch), float("-inf")
+    scores = [0.0] + [low] * size
     for i in range(size):
-        for j in range(i + 1, min(size, i + longest) + 1):
-            found = get(stretch[i:j])
-            if found:
-                into[j].append((i, (found[0],), found[1]))
-            elif j == i + 1:
-                data = stretch[i].encode("utf-8", "replace")
-                into[j].append((i, tuple(v.byte_ids[b] for b in data), v.byte_score * len(data)))
-    forward = [0.0] * (size + 1)
-    for j in range(1, size + 1):
-        forward[j] = max(forward[i] + s for i, _, s in into[j])
-    return into, forward
+        own, node, j = scores[i], v.trie, i
+        if stretch[i] not in v.pieces:
+            scores[i + 1] = max(scores[i + 1], own + v.byte_score * len(stretch[i].encode("utf-8", "replace")))
+        for c in stretch[i:i + v.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            j += 1
+            piece = node.get("")
+            if piece and own + piece[1] > scores[j]:
+                scores[j] = own + piece[1]
+    return scores
+
+
+def _ways(v: Vocabulary, stretch: str, forward: list[float], at: int, behind: float) -> list[tuple]:
+    """The pieces that end at a place, those on the best ways first: (bound, start, ids, score)."""
+    out = []
+    for i in range(max(0, at - v.longest), at):
+        found = v.pieces.get(stretch[i:at])
+        if found:
+            out.append((-(forward[i] + found[1] + behind), i, (found[0],), found[1]))
+        elif i == at - 1:
+            data = stretch[i].encode("utf-8", "replace")
+            s = v.byte_score * len(data)
+            out.append((-(forward[i] + s + behind), i, tuple(v.byte_ids[b] for b in data), s))
+    return sorted(out)
 
 
 def segmentations(v: Vocabulary, stretch: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The ``n`` best (score, ids) of a stretch, by backward A-star; ties by the ids from the end."""
-    into, forward = _lattice(v, stretch)
-    heap = [(-forward[-1], (), len(stretch), 0.0, ())]
-    found = []
+    """The ``n`` best (score, ids) of a stretch, by backward A-star; of equal bounds the way that has come
+    nearest the start goes first.
+
+    An entry of the queue is a way from some place to the end: its first piece and a link to the entry
+    behind it. Only the best way on is queued when an entry is taken, and with it the next best beside
+    the entry itself, so that the queue holds at most two entries for each one taken.
+    """
+    forward = _forward(v, stretch)
+    heap, found, number = [(-forward[-1], len(stretch), 0, 0.0, None, (), None, 0)], [], 0
     while heap and len(found) < n:
-        total, behind, at, score, ids = heapq.heappop(heap)
-        if not at:
-            found.append((-total, ids))
+        entry = heapq.heappop(heap)
+        total, at, _, behind, link, ids, past, rank = entry
+        if link is not None:  # the next best piece before the same place
+            ways = _ways(v, stretch, forward, past, link[3])
+            if rank + 1 < len(ways):
+                bound, start, own, s = ways[rank + 1]
+                number += 1
+                heapq.heappush(heap, (bound, start, number, s + link[3], link, own, past, rank + 1))
+        if at:
+            bound, start, own, s = _ways(v, stretch, forward, at, behind)[0]
+            number += 1
+            heapq.heappush(heap, (bound, start, number, s + behind, entry, own, at, 0))
             continue
-        for start, own, s in into[at]:
-            heapq.heappush(heap, (-(forward[start] + s + score), behind + own[::-1], start, s + score, own + ids))
+        parts = []
+        while entry is not None:
+            parts.extend(entry[5])
+            entry = entry[4]
+        found.append((-total, tuple(parts)))
     return found
 
 
-def _packed(ids: tuple[int, ...]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def _best(v: Vocabulary, stretch: str) -> tuple[float, bytes, float]:
     """Score and ids of the best segmentation, and what the second best loses (infinite if there is none).
 
-    One forward pass with the two best scores of each place; of equal ways into a place the one that the
-    search from the end takes first is kept.
+    One forward pass with the two best scores of each place; of equal ways into a place the one from
+    nearest the start is kept, as in the search from the end.
     """
     known = v.best.get(stretch)
     if known:
         return known
     size, low = len(stretch), float("-inf")
     first, second, into = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
-    get, longest = v.prefixes.get, v.longest
+    trie, pieces, longest = v.trie, v.pieces, v.longest
     for i in range(size):
-        best, next_best = first[i], second[i]
-        for j in range(i + 1, min(size, i + longest) + 1):
-            found = get(stretch[i:j], 0)
-            if not found:
-                if j == i + 1 and stretch[i:j] not in v.pieces:
-                    data = stretch[i].encode("utf-8", "replace")
-                    edge, s = tuple(v.byte_ids[b] for b in data), v.byte_score * len(data)
-                elif found is None:
-                    continue
-                else:
-                    break
-            else:
-                edge, s = found
-            score = best + s
-            if score > first[j]:
-                second[j] = max(first[j], next_best + s)
-                first[j], into[j] = score, (i, edge)
+        best, next_best, node, j = first[i], second[i], trie, i
+        if stretch[i] not in pieces:
+            data = stretch[i].encode("utf-8", "replace")
+            ids = _packed(tuple(v.byte_ids[b] for b in data))
+            node = {stretch[i]: {**trie.get(stretch[i], {}), "": (ids, v.byte_score * len(data))}}
+        for c in stretch[i:i + longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            j += 1
+            if "" not in node:
+                continue
+            edge, s = node[""]
+            score, held = best + s, first[j]
+            if score > held:
+                other = next_best + s
+                second[j] = held if held > other else other
+                first[j] = score
+                into[j] = i, edge
             elif score > second[j]:
                 second[j] = score
-                if score == first[j] and edge[::-1] < into[j][1][::-1]:
-                    into[j] = (i, edge)
     at, parts = size, []
     while at:
         at, edge = into[at]
         parts.append(edge)
-    out = (first[-1], _packed(tuple(n for edge in reversed(parts) for n in edge)), first[-1] - second[-1])
+    parts.reverse()
+    out = first[-1], b"".join(parts), first[-1] - second[-1]
     if len(v.best) < CACHE_STRETCHES and size <= CACHE_CHARS:
         v.best[stretch] = out
     return out
