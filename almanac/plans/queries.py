@@ -13,11 +13,11 @@ from almanac import dims, fixed
 from almanac.functions import links, names, numbers, periods
 from almanac.operators import (
     chunks, coverage, identity, industries, kpis, metrics, pointintime, ratelimit, reconcile,
-    screen, sheets, spec_table, templates, usage,
+    screen, sheets, spec_table, templates, updates, usage,
 )
 from almanac.plans import domain, oracle
 from almanac.session import shared_folder
-from almanac.sources import companyfacts, filings, html, statements, store, tickers
+from almanac.sources import companyfacts, filings, html, keyed, statements, store, tickers
 from almanac.streaming import admission, monitor
 from almanac.streaming import usage as usage_stream
 
@@ -42,6 +42,14 @@ def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _run_folder(spark, name):
+    """A new place for a run's output and checkpoint in the folder all executors share."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{folder}/almanac/{name}-{uuid.uuid4().hex}"
+
+
 # --- Sources ------------------------------------------------------------------------------
 
 @register("flatten_facts", """
@@ -570,6 +578,78 @@ def crossref_summary(spark, folder):
     return reconcile.summary(_compared(spark, folder))
 
 
+_RELINK = f"""
+SELECT {FACT_SELECT.replace('source_url', "CASE WHEN doc THEN url ELSE source_url END AS source_url")} FROM (
+  SELECT *, accession_number <> 'simfin-baseline' AND month_no % 4 <> 0 AS doc,
+         '{fixed.VIEWER_URL}' || (company_id + 1000) || '/' || replace(accession_number, '-', '') || '/f' || month_no || '.htm' AS url
+  FROM (SELECT *, try_cast(substring(accession_number, 15, 5) AS INTEGER) AS month_no FROM facts))"""
+
+
+# --- Changes to stored tables -------------------------------------------------------------
+
+def _keyed(spark, name, schema):
+    """A new stored table in buckets of companies."""
+    return keyed.KeyedTable(spark, _run_folder(spark, name), schema, ["company_id"])
+
+
+def _stored(spark, name, rows):
+    table = _keyed(spark, name, rows.schema)
+    table.append(rows)
+    return table
+
+
+@register("append_and_refresh", f"""
+SELECT {FACT_SELECT} FROM (SELECT *, row_number() OVER (
+  PARTITION BY company_id, canonical_concept, fiscal_year, fiscal_period
+  ORDER BY priority, filed_date DESC, accession_number, concept, derived) AS rn
+  FROM (SELECT f.*, coalesce(t.priority, 99) AS priority FROM (
+      SELECT {FACT_SELECT} FROM facts UNION ALL SELECT {FACT_SELECT} FROM q4) f LEFT JOIN tags t ON f.concept = t.tag)) WHERE rn = 1""")
+def append_and_refresh(spark, folder):
+    """A store without the filings of some companies' later years; they come in, and only their groups are selected again."""
+    facts = domain.facts(spark, folder)
+    late = (F.col("company_id") % 5 == 2) & (F.col("fiscal_year") >= 1997)
+    stored = _stored(spark, "facts", facts.filter(~late))
+    selected = _stored(spark, "selected", updates.complete_selection(stored.read()))
+    arrived = facts.filter(late | (F.col("company_id") % 5 == 3)).withColumn("arrival", F.monotonically_increasing_id())
+    updates.refresh_selection(selected, stored, updates.append_facts(stored, arrived))
+    return selected.read()
+
+
+@register("relink_stored", _RELINK)
+def relink_stored(spark, folder):
+    stored = _stored(spark, "facts", domain.facts(spark, folder))
+    updates.relink_sources(stored, domain.companies(spark, folder), domain.fact_documents(spark, folder))
+    return stored.read()
+
+
+@register("metrics_refresh_stored", _METRICS_SQL)
+def metrics_refresh_stored(spark, folder):
+    """As ``metrics_refresh``, on tables in buckets: only those of the touched companies are written."""
+    facts = _stored(spark, "facts", domain.facts(spark, folder))
+    stale = domain.metrics_table(spark, folder).withColumn("revenue", F.when(F.col("company_id") % 4 == 1, F.lit(0.0)).otherwise(F.col("revenue")))
+    table = _stored(spark, "metrics", stale)
+    updates.refresh_metrics(table, facts, domain.companies(spark, folder).filter(F.col("id") % 4 == 1).select(F.col("id").alias("company_id")))
+    return rounded(table.read().filter("fiscal_year is not null"), *RATIOS)
+
+
+@register("flags_replaced", f"""
+WITH found AS ({_FLAGS})
+SELECT c.company_id, c.checked, f.canonical_concept, f.fiscal_year, f.our_value, f.reference_value, f.variance
+FROM checks c LEFT JOIN found f ON f.company_id = c.company_id AND c.company_id % 3 <> 0
+WHERE c.company_id % 3 <> 0
+UNION ALL SELECT c.company_id, c.checked, 'revenue', 1990, 1, 2, 1 FROM checks c WHERE c.company_id % 3 = 0""")
+def flags_replaced(spark, folder):
+    """Every company has an old flag; two thirds are checked again and keep only what is found now."""
+    checks = domain.checks(spark, folder)
+    found = rounded(reconcile.flags(_compared(spark, folder)), "variance", digits=6)
+    old = checks.select("company_id", F.lit("revenue").alias("canonical_concept"), F.lit(1990).alias("fiscal_year"), F.lit(1.0).alias("our_value"),
+                        F.lit(2.0).alias("reference_value"), F.lit(1.0).alias("variance"), "checked")
+    table = _stored(spark, "flags", old)
+    again = checks.filter(F.col("company_id") % 3 != 0)
+    updates.replace_flags(table, found.join(again.select("company_id"), "company_id", "left_semi"), again)
+    return table.read()
+
+
 # --- Entities and worklists ---------------------------------------------------------------
 
 @register("universe_match", "SELECT ticker, cik, name, sector FROM matched")
@@ -578,11 +658,7 @@ def universe_match(spark, folder):
     return identity.universe_match(domain.universe(spark, folder), ciks)
 
 
-@register("relink_sources", f"""
-SELECT {FACT_SELECT.replace('source_url', "CASE WHEN doc THEN url ELSE source_url END AS source_url")} FROM (
-  SELECT *, accession_number <> 'simfin-baseline' AND month_no % 4 <> 0 AS doc,
-         '{fixed.VIEWER_URL}' || (company_id + 1000) || '/' || replace(accession_number, '-', '') || '/f' || month_no || '.htm' AS url
-  FROM (SELECT *, try_cast(substring(accession_number, 15, 5) AS INTEGER) AS month_no FROM facts))""")
+@register("relink_sources", _RELINK)
 def relink_sources(spark, folder):
     return identity.relink_sources(domain.facts(spark, folder), domain.companies(spark, folder),
                                    domain.fact_documents(spark, folder))
@@ -1035,21 +1111,23 @@ def _stream(spark, folder, name):
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def _run_folder(spark, name):
-    """A new place for a run's output and checkpoint in the folder all executors share."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{folder}/almanac/{name}-{uuid.uuid4().hex}"
-
-
 @register("filing_monitor_stream", """
 SELECT company_id, accession_number, form, filed_date FROM filings WHERE form IN ('10-K', '10-Q', '8-K')""")
 def filing_monitor_stream(spark, folder):
     place = _run_folder(spark, "monitor")
     stream = domain.filings_from_orders(_stream(spark, folder, "orders"))
-    monitor.watch_filings(stream, f"{place}/seen", f"{place}/checkpoint").awaitTermination()
-    return monitor.seen_filings(spark, f"{place}/seen").drop("run", "batch")
+    monitor.watch_filings(stream, f"{place}/seen", f"{place}/checkpoint", repeats_within="1 hour").awaitTermination()
+    return monitor.seen_filings(spark, f"{place}/seen")
+
+
+@register("filing_refresh_stream", """
+SELECT company_id, count(*) AS new_filings, bool_or(form IN ('10-K', '10-Q')) AS refresh
+FROM filings WHERE form IN ('10-K', '10-Q', '8-K') GROUP BY company_id""")
+def filing_refresh_stream(spark, folder):
+    place = _run_folder(spark, "monitor")
+    stream = domain.filings_from_orders(_stream(spark, folder, "orders"))
+    monitor.watch_filings(stream, f"{place}/seen", f"{place}/checkpoint", refresh_path=f"{place}/refresh").awaitTermination()
+    return monitor.refresh_flags(spark, f"{place}/refresh")
 
 
 @register("usage_stream", "SELECT key_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM log GROUP BY ALL")
