@@ -33,7 +33,7 @@ QUANTUM = 256
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, SLOT_BLOCKS = 4096, 32, 128, 64
 #: Most cells, and rows of the sample their points are chosen from.
 CELLS, SAMPLE_ROWS = 256, 4096
-#: Nodes that the search takes from its queue at once.
+#: Nodes that the search takes from its queue at once, to begin with; twice as many each time.
 BEAM = 32
 #: Squared quantised norms stay below this, so that every product is exact.
 EXACT = 1 << 53
@@ -155,6 +155,12 @@ def _grow(table: pa.Table, size: int, norm: float) -> pa.Table:
     return pa.Table.from_batches([_batch([*key, *[[c] for c in nodes], *ids, [q[order].astype("<i4").tobytes()]], _TREE)])
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
 class Tree:
     """A shard's tree and rows as arrays, read from its row of the table of trees."""
 
@@ -171,7 +177,7 @@ class Tree:
         low, norm = low.astype(float), math.sqrt(float(anchor @ anchor))
         found = [(np.empty(0, np.int64), np.empty(0))] * len(low)
         nodes, above, below = np.empty(0, np.int64), np.empty(0), np.empty(0)
-        fresh = np.zeros(1, np.int64)
+        fresh, beam = np.zeros(1, np.int64), BEAM
         while True:
             if len(fresh):
                 product, reach = self.center[fresh] @ anchor, norm * self.radius[fresh] + slack
@@ -181,19 +187,19 @@ class Tree:
             nodes, above, below = nodes[needed], above[needed], below[needed]
             if not len(nodes):
                 return [(w, rows, scores) for w, (rows, scores) in enumerate(found) if len(rows)]
-            if len(nodes) > BEAM:
-                best = np.argpartition(-above, BEAM)
-                take, rest = best[:BEAM], best[BEAM:]
+            if len(nodes) > beam:
+                best = np.argpartition(-above, beam)
+                take, rest = best[:beam], best[beam:]
             else:
                 take, rest = np.arange(len(nodes)), np.empty(0, np.int64)
             opened = nodes[take]
-            nodes, above, below = nodes[rest], above[rest], below[rest]
+            nodes, above, below, beam = nodes[rest], above[rest], below[rest], 2 * beam
             inner = opened[self.children[opened] > 0]
             leaves = opened[self.children[opened] == 0]
-            fresh = np.concatenate([np.arange(self.child[i], self.child[i] + self.children[i]) for i in inner]) if len(inner) else inner
+            fresh = _ranges(self.child[inner], self.children[inner])
             if not len(leaves):
                 continue
-            rows = np.concatenate([np.arange(self.start[i], self.stop[i]) for i in leaves])
+            rows = _ranges(self.start[leaves], self.stop[leaves] - self.start[leaves])
             rows = rows[usable[rows]]
             scores = self.rows[rows] @ anchor
             for w in range(len(low)):
