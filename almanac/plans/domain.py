@@ -20,7 +20,7 @@ from almanac.functions import links, names, periods
 from almanac.operators import kpis, metrics, pointintime
 from almanac.operators.coverage import with_sector
 from almanac.session import shared_folder
-from almanac.sources.store import FACT_COLUMNS
+from almanac.sources.store import FACT_COLUMNS, write_clustered
 
 MEASURES = ["g", "d", "t", "q"]  # gross cents, discounts, taxes, quantity
 
@@ -57,6 +57,25 @@ def landed(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return read
 
 
+def clustered(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """As ``landed``, for facts: a table in buckets of company and concept."""
+
+    @wraps(build)
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        shared = shared_folder(spark)
+        if shared is None:
+            return build(spark, folder)
+        app = spark.sparkContext.applicationId
+        data = sha1(folder.encode()).hexdigest()[:12]
+        name = f"almanac_{sha1(app.encode()).hexdigest()[:12]}_{data}_{build.__name__}"
+        if not spark.catalog.tableExists(name):
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            write_clustered(build(spark, folder), name, f"{shared}/almanac/landed/{app}/{data}/{build.__name__}", buckets)
+        return spark.table(name)
+
+    return read
+
+
 def companies(spark: SparkSession, folder: str) -> DataFrame:
     """id, cik, ticker, name, sic, sector, fye_month."""
     i = F.col("s_suppkey")
@@ -217,7 +236,7 @@ def baseline_amount(concept: str, amount: Column) -> Column:
     return amount * baseline_factor() / F.lit(1000.0 * sign)
 
 
-@landed
+@clustered
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     """The stored fact table: filed facts, and second-source facts of some companies."""
     money = amounts()
@@ -248,7 +267,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(False).alias("derived")).select(*FACT_COLUMNS)
 
 
-@landed
+@clustered
 def complete_facts(spark: SparkSession, folder: str) -> DataFrame:
     """The fact table after ingest, with the derived fourth quarters."""
     return pointintime.with_derived_q4(facts(spark, folder))

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import metrics, updates
+from almanac.operators import metrics, pointintime, reconcile, updates
 from almanac.sources import keyed, store
 from tests.test_facts import FACT, random_facts
 
@@ -133,3 +133,28 @@ def test_flags_of_checked_companies(spark, tmp_path):
     updates.replace_flags(table, found, spark.createDataFrame([(1, new), (2, new), (4, new)], "company_id long, checked date"))
     assert read(table.read()) == sorted([(1, "capex", 2021, 1.0, 3.0, 2.0, new), (1, "revenue", 2021, 1.0, 3.0, 2.0, new), (2, *(None,) * 5, new),
                                          (3, "revenue", 2020, 1.0, 2.0, 1.0, old), (4, *(None,) * 5, new)], key=repr)
+
+
+# ---- facts clustered at rest
+
+
+def exchanges(df):
+    df.collect()
+    return str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning")
+
+
+def test_selections_on_clustered_facts_need_no_exchange(spark, tmp_path):
+    facts = spark.createDataFrame(random_facts(6), FACT)
+    path = str(tmp_path / "facts")
+    stored = store.write_clustered(facts, "clustered_facts_test", path, 4)
+    again = store.open_clustered(spark, "clustered_facts_again", path, facts.schema, 4)
+    reference = pointintime.annual_facts(facts).select("company_id", "canonical_concept", F.year("end_date").alias("end_year"), (F.col("value") + 1).alias("reference_value"))
+    jobs = {"latest": pointintime.latest, "original": pointintime.original, "annual": pointintime.annual_values, "q4": pointintime.derive_q4,
+            "flags": lambda rows: reconcile.flags(reconcile.compared_values(rows, F.broadcast(reference)))}
+    for name, job in jobs.items():
+        assert read(job(stored)) == read(job(again)) == read(job(facts)), name
+        of_reference = exchanges(reference) if name == "flags" else 0
+        assert exchanges(job(stored)) == of_reference, name
+        assert exchanges(job(again)) == exchanges(job(stored)) < exchanges(job(facts)), name
+    for name in ("clustered_facts_test", "clustered_facts_again"):
+        spark.sql(f"DROP TABLE {name}")

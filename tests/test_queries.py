@@ -28,3 +28,10 @@ def test_entry(spark):
 def test_query(spark, con, name):
     verdict, _, _ = compare(spark, con, name, SF)
     assert verdict == "ok"
+
+
+@pytest.mark.parametrize("name", ["pit_latest", "annual_values", "crossref_flags"])
+def test_selections_do_not_shuffle_the_facts(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    reference = QUERIES["reference_values"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == (reference.count("Exchange hash") if name == "crossref_flags" else 0)
