@@ -1140,6 +1140,7 @@ def count_usage(spark, folder):
 
 @register("rate_limit_stream", _AUDIT)
 def rate_limit_stream(spark, folder):
+    admission.use_state_store(spark)
     place = _run_folder(spark, "admission")
     stream = domain.requests_from_events(_stream(spark, folder, "events"))
     (admission.admit_requests(stream, LIMITS, WINDOW_SECONDS, lateness="1 hour")

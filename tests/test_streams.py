@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,17 +119,107 @@ def written(spark, df, path, parts):
     return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
 
 
-def test_admission_stream_equals_the_audit(spark, tmp_path):
+@pytest.fixture
+def state_store(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    admission.use_state_store(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@pytest.mark.parametrize("batch_rows", [10_000, 40])
+def test_admission_stream_equals_the_audit(spark, tmp_path, state_store, monkeypatch, batch_rows):
+    """With Arrow batches of 40 rows the hot key's rows of a micro-batch come in several."""
     rows = random_log(5, 600)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     log = spark.createDataFrame(rows, LOG)
     stream = written(spark, log, str(tmp_path / "in"), 3)
     out = str(tmp_path / "out")
     (admission.admit_requests(stream, LIMITS, lateness="1 hour").writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     same(as_dict(spark.read.schema(admission.RESULT).parquet(out)), plain_audit(rows, LIMITS, 60))
 
 
-def test_late_requests_come_out_unjudged(spark, tmp_path):
+class FakeState(dict):
+    """List, value and map state of one key, in memory."""
+
+    def __init__(self):
+        self.held = None
+        self.most = 0
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def update(self, row):
+        self.held = row
+
+    def clear(self):
+        self.held = None
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        self.most = max(self.most, len(self[key][0]))
+        del self[key]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, *_):
+        return self.states.setdefault(name, FakeState())
+
+    getValueState = getMapState = getListState
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_backlog_is_judged_part_by_part():
+    rng, rows, now = random.Random(3), [], 0
+    for event in range(4000):
+        now += rng.choice([0, 100_000, 900_000])
+        rows.append((now, event, 3))
+    want = ratelimit.Replay(60_000_000)
+    want = dict(zip([r[1] for r in rows], want.waits(np.array([r[0] for r in rows]), np.full(4000, 3))))
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[n:n + 500], columns=["us", "event_id", "limit"]) for n in range(0, 4000, 500)]
+    processor, handle = admission.Admission(60), FakeHandle()
+    processor.init(handle)
+    out = list(processor.handleInputRows((7,), iter(frames), handle))
+    got = pd.concat(out)
+    assert len(out) > 500 and max(map(len, out)) < 40 and handle.states["parts"].most < 40 and not handle.states["parts"]
+    for event, wait in zip(got["event_id"], got["wait_seconds"]):
+        assert (np.isnan(want[event]) and pd.isna(wait)) or want[event] == wait
+    assert len(handle.timers) == 1 and len(handle.states["hits"].held) <= 3
+    assert list(processor.handleExpiredTimer((7,), handle, None)) == [] and not handle.states["hits"].exists()
+
+
+def test_late_requests_come_out_unjudged(spark, tmp_path, state_store):
     rows = [(1, "free", n, START + dt.timedelta(seconds=s)) for n, s in enumerate([0, 30, 10, 40])]
     for n, row in enumerate(rows):  # one file and micro-batch each, the third out of order
         spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
