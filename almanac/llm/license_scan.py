@@ -4,13 +4,14 @@ coefficient of their sets of word bigrams.
 A unit of ``a`` bigrams and a template of ``b`` can reach the threshold t only if
 ``a >= b * t / (2 - t)`` and ``a <= b * (2 - t) / t``; templates outside these bounds aren't compared.
 Windows run over the words of the whole document, whatever its lines, blank lines and comment marks; they
-begin and end at bigrams of the template, and are looked for only where the document holds
-``b * t / (2 - t)`` of its bigrams. Each document is looked at in its own row: nothing is shuffled.
+begin and end at bigrams of the template, are at most ``WINDOW_FACTOR * b * (2 - t) / t`` words long, and
+are looked for only where the document holds ``b * t / (2 - t)`` of the template's bigrams. Each document is looked at in its own row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -27,6 +28,8 @@ from almanac.llm.common import map_arrow
 from almanac.llm.license_texts import PLAIN_WORDS, TEMPLATES
 
 THRESHOLD = 0.85
+#: A window has at most this many times the words of the largest unit that can match its template.
+WINDOW_FACTOR = 4
 #: A bigram of more templates than this doesn't lead to them.
 MANY = 100
 _WORDS = re.compile(r"[^\W_]+")
@@ -98,43 +101,53 @@ class Templates:
             places = [at for at, pair in enumerate(pairs) if pair in own]
             first = 0
             while first + self.least[n] <= len(places):
-                found = self._window(pairs, places, first, n)
+                found, past = self._window(pairs, places, first, n)
                 if found is None:
-                    first += 1
+                    first = bisect.bisect_left(places, past, first + 1)
                     continue
                 yield found
                 first = bisect.bisect_left(places, found[4] - 1, first)
 
-    def _window(self, pairs: list, places: list[int], first: int, n: int) -> tuple | None:
-        """The best window from the place ``first`` on, cut at its start where that makes it better."""
+    def _window(self, pairs: list, places: list[int], first: int, n: int) -> tuple[tuple | None, int]:
+        """The best window from the place ``first`` on, cut at its start where that makes it better; and,
+        if there is none, a word before which no window starts either.
+
+        With s shared and d different bigrams, 2 s - t (d + size) is not negative where the threshold is
+        reached. A start k words later takes at most k different bigrams out of a window, so that this
+        balance rises by at most t k. Ends are looked at for as many words and different bigrams more than
+        a window may have as the next start may lie away.
+        """
         size, own = self.items[n][0], self.items[n][3]
         most = math.floor(size * (2 - self.t) / self.t)
-        seen, shared, at, fresh, best = set(), 0, places[first], places[first], None
-        for place in places[first:]:
-            # a run this long without anything new is not part of a licence
-            if place - fresh > most:
+        longest, spare = WINDOW_FACTOR * most, max(1, size // 4)
+        seen, shared, start, best, balance = set(), 0, places[first], None, -size * self.t.numerator
+        at = start
+        for place in itertools.islice(places, first, None):
+            if place - start >= longest + spare:
                 break
             new = pairs[place] not in seen
             seen.update(pairs[at:place + 1])
             at = place + 1
-            if len(seen) > most:
+            if len(seen) > most + spare:
                 break
             if new:
-                shared, fresh = shared + 1, place
-                if best is None or shared * best[1] > best[0] * (len(seen) + size):
+                shared += 1
+                balance = max(balance, 2 * shared * self.t.denominator - (len(seen) + size) * self.t.numerator)
+                if len(seen) <= most and place - start < longest and (best is None or shared * best[1] > best[0] * (len(seen) + size)):
                     best = shared, len(seen) + size, place
         if best is None or Fraction(2 * best[0], best[1]) < self.t:
-            return None
+            # a balance of 0 or more belongs to an end that only a later start can reach
+            return None, start + max(1, min(spare, -balance // self.t.numerator))
         shared, total, last = best
-        start, left, counts = places[first], best, Counter(pairs[places[first]:last + 1])
-        for at in range(places[first], last):
+        left, counts = best, Counter(pairs[start:last + 1])
+        for at in range(start, last):
             counts[pairs[at]] -= 1
             if not counts[pairs[at]]:
                 total -= 1
                 shared -= pairs[at] in own
             if shared * left[1] >= left[0] * total:
                 left, start = (shared, total, last), at + 1
-        return Fraction(2 * left[0], left[1]), left[0], n, start, last + 2
+        return (Fraction(2 * left[0], left[1]), left[0], n, start, last + 2), last
 
 
 def units(text: str) -> Iterator[tuple[int, list[str]]]:
