@@ -130,10 +130,14 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: fl
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> Model:
-    """The ensemble for features ``x`` and labels 0/1; with one class only, its share is the constant score."""
+    """The ensemble for features ``x`` and labels 0/1. Where no split tells the classes apart there is no
+    rule, and the score is the weighted share of label 1; with one class only it is a constant on its
+    side, without rows it is one half."""
     if not len(y) or y.min() == y.max():
         return Model((), (), 0.0 if not len(y) else 3.0 * (2 * float(y[0]) - 1))
     rules = tree_rules(x, y, weight)
+    if not rules:
+        return Model((), (), float(np.log((weight * y).sum() / (weight * (1 - y)).sum())))
     w, b = lasso_logistic(np.column_stack([_holds(r, x) for r in rules]).astype(float), y, weight, penalty)
     used = np.flatnonzero(np.abs(w) > 1e-9)
     return Model(tuple(rules[i] for i in used), tuple(float(w[i]) for i in used), b)
@@ -159,7 +163,9 @@ def remainder(doc_id: Column, n: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, held_out: int = 1, folds: int = 3) -> Model:
     """Fits on at most ``sample_rows`` labelled rows of each class, chosen by a hash of their ids.
 
-    Rows whose ``remainder`` is ``held_out`` are never read. The weights of the sample restore the share
+    Rows whose ``remainder`` is ``held_out`` are never read. Every row of ``labels`` counts: a document
+    labelled twice counts twice, one labelled both 0 and 1 counts on both sides. Rows with a null id or
+    with a quality other than 0 and 1 are left out. The weights of the sample restore the share
     of each class among all labelled rows that may be learned from.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(

@@ -1,8 +1,11 @@
 """Quality rules, the classifier, languages, licences and WARC."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -194,6 +197,65 @@ def test_licences_inside_long_files():
         assert license_scan.scan_text(text, templates) == []
 
 
+def plain_windows(templates, words, n):
+    """Windows by their definition: every start, every end."""
+    pairs = list(zip(words, words[1:]))
+    size, _, _, own = templates.items[n]
+    most = int(size * (2 - templates.t) / templates.t)
+    dice = lambda i, j: Fraction(2 * len(set(pairs[i:j + 1]) & own), len(set(pairs[i:j + 1])) + size)
+    out, at = [], 0
+    while at < len(pairs):
+        ends = [j for j in range(at, min(len(pairs), at + license_scan.WINDOW_FACTOR * most)) if pairs[j] in own and pairs[j] not in pairs[at:j]
+                and len(set(pairs[at:j + 1])) <= most] if pairs[at] in own else []
+        end = max(ends, key=lambda j: (dice(at, j), -j)) if ends else None
+        if end is None or dice(at, end) < templates.t:
+            at += 1
+            continue
+        start = max(range(at, end + 1), key=lambda i: (dice(i, end), i))
+        out.append((dice(start, end), len(set(pairs[start:end + 1]) & own), n, start, end + 2))
+        at = end + 1
+    return out
+
+
+def test_windows_against_their_definition():
+    draw, texts = random.Random(6), ["a b c d e f g h i j", "the a b c of the d e f", "x y z x y w", "p q " * 3 + "r s t u v w x y z a b c d e f g h"]
+    templates = license_scan.Templates([(f"T{n}", "text", t) for n, t in enumerate(texts)], 0.7)
+    found = 0
+    for _ in range(400):
+        words = []
+        while len(words) < draw.randint(5, 90):
+            part = draw.choice(texts).split()
+            cut = draw.randint(0, len(part))
+            words += draw.choice([part, part[:cut], part[cut:], draw.choices("a b c of the x y p q".split(), k=draw.randint(1, 12)), ["a", "b"] * draw.randint(1, 20)])
+        for n in range(len(texts)):
+            got = list(templates.windows(words, [n]))
+            assert got == plain_windows(templates, words, n), words
+            found += len(got)
+    assert found > 400
+
+
+def test_time_of_a_text_made_of_licence_bigrams():
+    templates = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    text = max((t for name, _, t in license_scan.TEMPLATES if name == "GPL-3.0"), key=len)
+    own, draw = sorted(license_scan.bigrams(license_scan.normalised(text))), random.Random(7)
+    for words in ([w for _ in range(20_000) for w in draw.choice(own)], ["the", "software"] * 100_000):
+        start = time.process_time()
+        assert license_scan.scan_text(" ".join(words), templates) == []
+        assert time.process_time() - start < 15
+
+
+@pytest.mark.parametrize("n", [10, 60])
+def test_classifier_without_rules(spark, n):
+    """Few rows, or rows that nothing tells apart, give the share of label 1."""
+    docs = spark.createDataFrame([(i, "one and the same text" if n == 60 else f"text {i}") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)] + [(0, 1), (3, 0), (None, 1), (1, None), (2, 7)], "doc_id long, quality int")
+    model = rule_ensemble.train(docs, labels, held_out=-1)
+    assert model.rules == ()
+    marks = [int(i % 3 == 0) for i in range(n)] + [1, 0]  # a document labelled twice counts twice
+    got = rule_ensemble.classify(docs, model).collect()
+    assert len(got) == n and all(abs(r["score"] - sum(marks) / len(marks)) < 1e-9 and r["predicted"] == 0 for r in got)
+
+
 PAGES = "page_id long, url string, html string, record string, file string"
 
 

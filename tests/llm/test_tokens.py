@@ -1,6 +1,7 @@
 """Packing and the piece lattice against plain tokenizers and enumeration."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -108,3 +109,30 @@ def test_encoding_and_decoding_tables(docs, rows, nothing):
     first = piece_lattice.decode_documents(encoded.where("rank = 0"))
     assert sorted(((r[0], r[1]) for r in first.collect()), key=repr) == sorted(((r[0], r[1] or "") for r in rows), key=repr)
     assert piece_lattice.summaries(nothing).count() == 0
+
+
+def test_encoder_gives_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(packing, "CACHE_PRE_TOKENS", 40)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    path = tokenizer_file(packing.VOCABULARY)
+    tokenizer, encode, draw = Tokenizer.from_file(path), packing.Encoder(path), random.Random(8)
+    signs = "abcsdtrevml''''***  .,!-1290éßÄÜœŒſİıǅςΣσ́ \u0085 Ა一二中<|>\t\n\x1c\x00\x7f½²٣ª×÷"
+    assert encode.by_pre_token
+    for _ in range(3000):
+        text = "".join(draw.choice(signs) if draw.random() < 0.95 else draw.choice(["<|endoftext|>", "<|startoftext|>", "'s", "'ll", "n't", "x" * 70])
+                       for _ in range(draw.randint(0, 40)))
+        assert encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert len(encode.chunks) <= 50 and len(encode.pre_tokens) <= 40
+
+
+def test_long_stretches_in_bounded_memory():
+    v, draw = piece_lattice.load_vocabulary(tokenizer_file(piece_lattice.VOCABULARY)), random.Random(9)
+    for text in ("".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF+/é一") for _ in range(200_000)), "a" * 200_000):
+        tracemalloc.start()
+        found = piece_lattice.encode_n_best(v, text, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 250e6
+        assert len({ids for _, ids in found}) == 4 and all(piece_lattice.decode(v, ids) == text for _, ids in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
