@@ -1,6 +1,7 @@
 """Scalar rules on small literal frames."""
 
 import math
+import time
 from datetime import date
 
 import pytest
@@ -169,6 +170,49 @@ def test_keyword_score(spark):
     assert one(spark, text.keyword_score(F.lit("x"), F.array().cast("array<string>"))) == 0
 
 
+BROKEN = [
+    ("<p>One<p>Two</div>Three", "One\nTwo\nThree"),
+    ("a < b and c > d <5 items <", "a < b and c > d <5 items <"),
+    ("<b>bold<i>both</b>rest", "bold\nboth\nrest"),
+    ("start <!-- never closed <p>gone</p>", "start"),
+    ("a<!-->b<!--->c<!-- x --!>d<!-- y -- z -->e", "a\nb\nc\nd\ne"),
+    ("<script>var a = '<!--'; if (a < b) {}</script>shown<!-- no -->too", "shown\ntoo"),
+    ("<script>var t = '</scripts>';</script >ok", "ok"),
+    ("<SCRIPT type='a>b'>x</Script\n>ok<script src=x>never closed <p>gone", "ok"),
+    ("<style>p > a {}</style>x<styles>y</styles>", "x\ny"),
+    ("<!-- <script> -->shown<!-- </script> -->", "shown"),
+    ("<a title=\"x > y\" href='>'>link</a>", "link"),
+    ("<a title=\"never closed>link</a> <b>next</b>", "link\nnext"),
+    ("text <a href=\"cut off", "text"),
+    ("<!DOCTYPE html><?xml version='1'?><![CDATA[no]]>body</>end</ x>", "body\nend"),
+    ("<br/><br / >x<p/>y", "x\ny"),
+    ("&amp Co &ampCo &AMP; &lt5 &copy2024 &notit; &notin; &nbsp&eacutet&eacute", "& Co &Co & <5 ©2024 ¬it; ∉ \u00a0étié".replace("étié", "été")),
+    ("&hairsp;&rsquo;&rsquo s&NotEqualTilde;&fjlig;", "\u200a’&rsquo s≂̸fj"),
+    ("&#65 &#x42 &#67; &#x1F600;&#0;&#128;&#99999999999;&#xD800; &#; &#x; &; &unknown; &", "A B C 😀�€�� &#; &#x; &; &unknown; &"),
+    ("", ""), ("<", "<"), ("<p", ""), ("&lt;p&gt;not a tag&lt;/p&gt;", "<p>not a tag</p>"), ("&amp;lt;", "&lt;"),
+]
+
+
+def test_broken_markup(spark):
+    got = spark.createDataFrame([(n, page) for n, (page, _) in enumerate(BROKEN)], "n int, html string").select("n", text.html_to_text(F.col("html")).alias("t")).collect()
+    found = {r["n"]: r["t"] for r in got}
+    assert {n: found[n] for n in found} == {n: want.strip() for n, (_, want) in enumerate(BROKEN)}
+
+
+def test_names_of_references_agree_with_the_standard_library(spark):
+    import html
+    pages = [f"x&{name}y &{name}; &{name}" for name in [*text.NAMED, *text.OPEN_NAMES]]
+    rows = spark.createDataFrame([(p,) for p in pages], "p string").select("p", text.decode_entities(F.col("p")).alias("t")).collect()
+    assert all(r["t"] == html.unescape(r["p"]) for r in rows), [r for r in rows if r["t"] != html.unescape(r["p"])][:3]
+
+
+def test_markup_in_linear_time(spark):
+    pages = ["<a " + "x='y' " * 100_000 + ">t", "<" * 300_000, "<!--" * 100_000, "<script" * 50_000, "&amp" * 200_000, "<a '" * 50_000, "a" * 500_000]
+    start = time.time()
+    spark.createDataFrame([(p,) for p in pages], "html string").select(F.length(text.html_to_text(F.col("html")))).collect()
+    assert time.time() - start < 60
+
+
 def test_html_references_and_quoted_marks(spark):
     from almanac.functions.text import html_to_text
 
