@@ -176,7 +176,8 @@ for _pattern in (r"<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>
 for _entity, _char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
                        ("&apos;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"),
                        ("&mdash;", "—"), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
+    # all but these three stand without their semicolon too
+    _HTML = f"regexp_replace({_HTML}, '{_entity}{'' if _entity in ('&apos;', '&ndash;', '&mdash;') else '?'}', '{_char}', 'g')"
 
 
 @register("filing_text", f"""
