@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a partition; bounds a task's memory.
 PART_PIECES = 50_000
 #: Chunks of text and pre-tokens whose ids a Python worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 800_000, 400_000, 64
+CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 1_200_000, 600_000, 64
 
 PIECE_SCHEMA = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, settled boolean, certified boolean"
@@ -46,12 +46,14 @@ PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+
 JOINED = 500
 
 
-def _keep(cache: dict, key, value, most: int) -> None:
-    """Adds to a cache; a full one gives up its older half."""
-    if len(cache) >= most:
+def _remember(cache: dict, new: dict, most: int) -> None:
+    """Adds the short ones to a cache; a full one gives up its older half."""
+    new = {key: ids for key, ids in new.items() if len(key) <= CACHE_BYTES}
+    if len(cache) + len(new) > most:
         for old in list(itertools.islice(cache, most // 2)):
             del cache[old]
-    cache[key] = value
+    if len(cache) + len(new) <= most:
+        cache.update(new)
 
 
 class Encoder:
@@ -88,7 +90,8 @@ class Encoder:
         out = []
         for start in range(0, len(words), JOINED):
             part = words[start:start + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):  # not one end for each
                 out += self._alone(part)
@@ -99,21 +102,19 @@ class Encoder:
 
     def _unseen(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of the chunks."""
-        odd, cut, known = [], {}, {}
+        odd, cut, get = [], {}, self.pre_tokens.get
         for chunk in chunks:
             text = chunk.decode()
             if not self.by_pre_token or not PLAIN.fullmatch(text) or self.special.search(text):
                 odd.append((chunk, text))
-                continue
-            cut[chunk] = parts = PRE_TOKEN.findall(text.lower())
-            for part in parts:
-                if part not in known:
-                    known[part] = self.pre_tokens.get(part)
+            else:
+                cut[chunk] = PRE_TOKEN.findall(text.lower())
+        known = {part: get(part) for parts in cut.values() for part in parts}
         new = [part for part, ids in known.items() if ids is None]
-        for part, ids in zip(new, self._together(new)):
-            known[part] = ids
-            if len(part) <= CACHE_BYTES:
-                _keep(self.pre_tokens, part, ids, CACHE_PRE_TOKENS)
+        if new:
+            found = dict(zip(new, self._together(new)))
+            known |= found
+            _remember(self.pre_tokens, found, CACHE_PRE_TOKENS)
         out = {chunk: b"".join([known[p] for p in parts]) for chunk, parts in cut.items()}
         if odd:
             out |= zip([c for c, _ in odd], self._alone([t for _, t in odd]))
@@ -121,13 +122,11 @@ class Encoder:
 
     def __call__(self, text: bytes) -> bytes:
         chunks = text.split()
-        ids = [self.chunks.get(c) for c in chunks]
+        ids = list(map(self.chunks.get, chunks))
         if None in ids:
             found = self._unseen(list({c for c, i in zip(chunks, ids) if i is None}))
             ids = [found[c] if i is None else i for c, i in zip(chunks, ids)]
-            for chunk, own in found.items():
-                if len(chunk) <= CACHE_BYTES:
-                    _keep(self.chunks, chunk, own, CACHE_CHUNKS)
+            _remember(self.chunks, found, CACHE_CHUNKS)
         return b"".join(ids)
 
 
