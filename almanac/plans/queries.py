@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from almanac import dims, fixed
 from almanac.functions import links, names, numbers, periods
 from almanac.operators import (
-    chunks, coverage, identity, industries, kpis, metrics, pointintime, ratelimit, reconcile,
+    chunks, coverage, identity, industries, kpis, metrics, name_index, pointintime, ratelimit, reconcile,
     screen, sheets, spec_table, templates, updates, usage,
 )
 from almanac.plans import domain, oracle
@@ -542,6 +543,32 @@ def coverage_search(spark, folder):
     return screen.search_coverage(rows, " Re ")
 
 
+def _indexed(spark, *names):
+    """An index of the names in a new place."""
+    index = name_index.NameIndex(spark, _run_folder(spark, "names"), buckets=32)
+    index.add(reduce(DataFrame.unionByName, names))
+    return index
+
+
+@register("datapoint_search_index", """
+SELECT ticker, company, kpi, latest_period, latest_value, source_url FROM (
+  SELECT c.ticker, c.name AS company, k.name AS kpi, k.period AS latest_period, k.value_text AS latest_value, k.source_url,
+         row_number() OVER (PARTITION BY k.company_id, k.name ORDER BY k.filed_date DESC, k.period, k.accession_number) AS rn
+  FROM kpi_facts k JOIN companies c ON c.id = k.company_id WHERE k.name ILIKE '%rev%') WHERE rn = 1""")
+def datapoint_search_index(spark, folder):
+    kpis = domain.kpi_facts(spark, folder)
+    return screen.search_datapoints(kpis, domain.companies(spark, folder), "Rev", _indexed(spark, kpis.select("name")))
+
+
+@register("coverage_search_index", f"""
+SELECT * FROM ({_COVERAGE}) WHERE lower(ticker) LIKE '%re%' OR lower(name) LIKE '%re%' OR lower(coalesce(sector, '')) LIKE '%re%'
+ORDER BY source <> 'sec', ticker LIMIT 60""")
+def coverage_search_index(spark, folder):
+    rows = coverage.coverage_source(domain.companies(spark, folder), domain.facts(spark, folder))
+    index = _indexed(spark, *[rows.select(F.col(c).alias("name")) for c in ("ticker", "name", "sector")])
+    return screen.search_coverage(rows, " Re ", index=index)
+
+
 @register("sector_list", "SELECT DISTINCT sector FROM companies WHERE sector IS NOT NULL")
 def sector_list(spark, folder):
     return coverage.sector_list(domain.companies(spark, folder))
