@@ -564,14 +564,15 @@ def keys(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("account_id", F.floor(F.col("key_id") / 3))
 
 
-def subscription_events(spark: SparkSession, folder: str) -> DataFrame:
+def subscriptions_from_events(events: DataFrame) -> DataFrame:
+    """Lifecycle events of accounts, from (batch or streamed) events."""
     c = F.col
     kind = F.when(c("event_type") == "signup", "created").when(c("event_type") == "purchase", "updated") \
             .when(c("event_type") == "error", "deleted").otherwise("other")
     account = F.floor(c("user_id") / 3)
     status = F.get(F.array(*[F.lit(x) for x in ["active", "trialing", "past_due", "canceled"]]),
                    (c("event_id") % 4).cast("int"))
-    return table(spark, folder, "events").select(
+    return events.select(
         account.alias("account_id"), "event_id", "ts", kind.alias("kind"), status.alias("status"),
         F.get(F.array(*[F.lit(x) for x in ["price_pro", "price_enterprise", "price_old"]]),
               (c("event_id") % 3).cast("int")).alias("price_id"),
@@ -580,6 +581,10 @@ def subscription_events(spark: SparkSession, folder: str) -> DataFrame:
         F.date_add(F.to_date("ts"), 30).alias("period_end"))
 
 
+def subscription_events(spark: SparkSession, folder: str) -> DataFrame:
+    return subscriptions_from_events(table(spark, folder, "events"))
+
+
 def prices(spark: SparkSession) -> DataFrame:
     return dims.values_table(spark, ["price_id", "tier"], [("price_pro", "pro"), ("price_enterprise", "enterprise")])
 

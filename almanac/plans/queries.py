@@ -19,7 +19,7 @@ from almanac.operators import (
 from almanac.plans import domain, oracle
 from almanac.session import shared_folder
 from almanac.sources import companyfacts, filings, html, keyed, statements, store, tickers
-from almanac.streaming import admission, monitor
+from almanac.streaming import admission, monitor, subscriptions
 from almanac.streaming import usage as usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1176,3 +1176,25 @@ def rate_limit_stream(spark, folder):
      .option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     audit = spark.read.schema(admission.RESULT).parquet(f"{place}/audit")
     return audit.drop("late").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _subscriptions(spark, folder):
+    """Accounts and keys as the stream of events leaves them."""
+    place, keys = _run_folder(spark, "subscriptions"), domain.keys(spark, folder)
+    accounts = keyed.KeyedTable(spark, f"{place}/accounts", subscriptions.ACCOUNT, ["account_id"])
+    held = keyed.KeyedTable(spark, f"{place}/keys", keys.select("key_id", "account_id", "tier").schema, ["account_id"])
+    held.append(keys)
+    events = domain.subscriptions_from_events(_stream(spark, folder, "events"))
+    subscriptions.follow_subscriptions(events, domain.prices(spark), accounts, held, f"{place}/checkpoint").awaitTermination()
+    return accounts.read(), held.read()
+
+
+@register("subscription_stream", "SELECT account_id, tier, status, customer_id, period_end, updated FROM subs")
+def subscription_stream(spark, folder):
+    return _subscriptions(spark, folder)[0]
+
+
+@register("key_tiers_stream", """
+SELECT key_id, k.account_id, coalesce(s.tier, k.tier) AS tier FROM keys k LEFT JOIN subs s USING (account_id)""")
+def key_tiers_stream(spark, folder):
+    return _subscriptions(spark, folder)[1]

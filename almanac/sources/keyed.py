@@ -139,10 +139,10 @@ class KeyedTable:
             contents["buckets"][bucket] = [part] if bucket in touched else contents["buckets"].get(bucket, []) + [part]
         self._put(version, contents, mark)
 
-    def update(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    def update(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], mark: tuple[str, int] | None = None) -> None:
         """Replaces the rows of the ``keys`` by what ``change`` makes of them."""
         keys = keys.select(*self.key).distinct()
-        self.replace(keys, change(self.read(keys).join(keys, self.key, "left_semi")))
+        self.replace(keys, change(self.read(keys).join(keys, self.key, "left_semi")), mark=mark)
 
     def vacuum(self, keep: int = 2) -> None:
         """Removes folders that none of the last ``keep`` manifests names, and older manifests. Not while

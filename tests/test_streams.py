@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import ratelimit
-from almanac.streaming import admission, monitor
+from almanac.operators import ratelimit, usage
+from almanac.sources.keyed import KeyedTable
+from almanac.streaming import admission, monitor, subscriptions
 from almanac.streaming import usage as usage_stream
 
 LOG = "key_id long, tier string, event_id long, ts timestamp"
@@ -266,3 +267,28 @@ def test_filing_stream(spark, tmp_path):
     empty = spark.createDataFrame([], "company_id long, accession_number string")
     fresh = monitor.new_filings(filings, empty)
     assert {r.company_id: (r.new_filings, r.refresh) for r in monitor.refresh_list(fresh).collect()} == {1: (2, True), 2: (1, False)}
+
+
+def test_subscriptions_in_any_order_of_arrival(spark, tmp_path, state_store):
+    rng, rows = random.Random(4), []
+    for event in range(400):
+        rows.append((rng.randrange(25), event, None if rng.random() < 0.02 else START + dt.timedelta(hours=rng.randrange(60)), rng.choice(["created", "updated", "deleted", "other"]),
+                     rng.choice(["active", "trialing", "past_due", None]), rng.choice(["p1", "p2", "old", None]), rng.choice([None, "c1", "c2"]),
+                     rng.choice([None, dt.date(2024, 5, 1), dt.date(2024, 6, 1)])))
+    schema = "account_id long, event_id long, ts timestamp, kind string, status string, price_id string, customer_id string, period_end date"
+    prices = spark.createDataFrame([("p1", "pro"), ("p2", "enterprise")], "price_id string, tier string")
+    keys = spark.createDataFrame([(n, n % 30, "free" if n % 2 else "pro") for n in range(60)], "key_id long, account_id long, tier string")
+    arrival = rows + rows[:40]  # some come again
+    rng.shuffle(arrival)
+    for n in range(0, len(arrival), 110):
+        spark.createDataFrame(arrival[n:n + 110], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:04d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    accounts = KeyedTable(spark, f"{tmp_path}/accounts", subscriptions.ACCOUNT, ["account_id"], buckets=4)
+    held = KeyedTable(spark, f"{tmp_path}/keys", keys.schema, ["account_id"], buckets=4)
+    held.append(keys)
+    for _ in range(2):  # started again, it finds nothing to do
+        subscriptions.follow_subscriptions(stream, prices, accounts, held, f"{tmp_path}/check").awaitTermination()
+        state = usage.subscription_state(spark.createDataFrame(rows, schema), prices)
+        assert sorted(map(tuple, accounts.read().collect())) == sorted(map(tuple, state.collect()))
+        assert sorted(map(tuple, held.read().collect())) == sorted(map(tuple, usage.key_tiers(keys, state).collect()))
+    assert len(set(accounts.marks().values())) == 1 and max(accounts.marks().values()) >= 3
