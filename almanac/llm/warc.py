@@ -11,6 +11,7 @@ record cut or gone, which moves all that follows it in its file, is one finding.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -154,9 +155,11 @@ def read_back(records: DataFrame) -> DataFrame:
     their old offsets, and parsed again. Records stand where they are now, damaged ranges are rows of
     their own; addresses come from the records, and page ids, which no record holds, are null.
 
-    A task holds one file of about ``FILE_BYTES`` at a time.
+    A task holds one file of about ``FILE_BYTES`` at a time; there is a partition for each.
     """
-    rows = records.select("file", "record", "offset").repartition("file").sortWithinPartitions("file", "offset")
+    size = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
+    rows = records.select("file", "record", "offset").repartition(parts, "file").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_read_again, _RECORDS)
 
 
@@ -174,18 +177,17 @@ def _node_hash(*parts: str) -> Column:
 
 def tree(leaf: DataFrame) -> list[tuple[DataFrame, int, int]]:
     """Levels of (file, node, hash) from ranges up to one root; each with the bits by which a node and a
-    file are shifted to their parent's. Only a node's few children meet in one row; ranges and files are
-    stored, what lies between them is at most a ``FANOUT``-th of them and made when asked for."""
+    file are shifted to their parent's. Only a node's few children meet in one row; every level is stored,
+    so that each is made once, from the one below."""
     nodes = saved(leaf.groupBy("file", F.col("range").alias("node")).agg(_node_hash("offset", "length", "sha256")), "ranges")
     levels, span = [], max(1, FILE_BYTES // RANGE_BYTES)
     while span > 1:  # inside files
         levels.append((nodes, FANOUT_BITS, 0))
-        nodes = nodes.groupBy("file", F.shiftright("node", FANOUT_BITS).alias("node")).agg(_node_hash("node", "hash"))
+        nodes = saved(nodes.groupBy("file", F.shiftright("node", FANOUT_BITS).alias("node")).agg(_node_hash("node", "hash")), "level")
         span = -(-span // FANOUT)
-    nodes = saved(nodes, "files")
     for bits in [FILE_BITS] + [FANOUT_BITS] * TASK_LEVELS:  # files of a task, then groups of tasks
         levels.append((nodes, 0, bits))
-        nodes = nodes.groupBy(F.shiftright("file", bits).alias("file"), "node").agg(_node_hash("file", "hash"))
+        nodes = saved(nodes.groupBy(F.shiftright("file", bits).alias("file"), "node").agg(_node_hash("file", "hash")), "level")
     return [*levels, (nodes, 0, 0)]
 
 
@@ -201,7 +203,7 @@ def differing(first: list, second: list) -> DataFrame:
                 nodes = nodes.join(wrong, up, "left_semi")
             sides.append(nodes)
         both = sides[0].join(sides[1], ["file", "node"], "full").where(~F.col("hash_0").eqNullSafe(F.col("hash_1")))
-        wrong = both.select(F.col("file").alias("_file"), F.col("node").alias("_node"))
+        wrong = saved(both.select(F.col("file").alias("_file"), F.col("node").alias("_node")), "differ")
     return wrong
 
 
@@ -225,10 +227,16 @@ def audit(first: DataFrame, second: DataFrame, keep: tuple[str, ...] = ("page_id
     extra) and ``keep`` of either side.
 
     Records of a file are matched by digest, then by record id, then by offset; a record that has only
-    moved in its file is no difference. Equal replicas, empty ones too, give no rows.
+    moved in its file is no difference. Equal replicas, empty ones too, give no rows. ``keep`` may be named
+    like anything but the columns of the result.
     """
-    own = [saved(leaves(side, list(keep)), "leaves") for side in (first, second)]
-    wrong = saved(differing(*[tree(side) for side in own]), "differ")
+    clash = set(keep) & {"file", "offset", "status", "sha256_first", "sha256_second"}
+    if clash:
+        raise ValueError(f"columns of the result can't be kept beside them: {sorted(clash)}")
+    names, keep = keep, [f"_keep_{n}" for n in range(len(keep))]
+    own = [saved(leaves(side.select(*[F.col(c).alias(k) for c, k in zip(names, keep)], "file", "offset", "record"), keep), "leaves")
+           for side in (first, second)]
+    wrong = differing(*[tree(side) for side in own])
     columns = [*dict.fromkeys([*keep, "file", "offset", "length", "sha256", "record_id"])]
     sides = [side.join(wrong, (side["file"] == wrong["_file"]) & (side["range"] == wrong["_node"]), "left_semi").select(columns) for side in own]
     # digests that a file holds as often in both replicas are done with; counts are partial before their shuffle
@@ -249,7 +257,7 @@ def audit(first: DataFrame, second: DataFrame, keep: tuple[str, ...] = ("page_id
     status = (F.when(F.col("sha256_1").isNull(), "missing").when(F.col("sha256_0").isNull(), "extra")
               .when(F.col("length_1") < F.col("length_0"), "truncated").when(F.col("length_1") > F.col("length_0"), "extended")
               .otherwise("altered"))
-    return rows.select(*[F.coalesce(f"{c}_0", f"{c}_1").alias(c) for c in keep], "file", "offset", status.alias("status"),
+    return rows.select(*[F.coalesce(f"{c}_0", f"{c}_1").alias(name) for c, name in zip(keep, names)], "file", "offset", status.alias("status"),
                        F.col("sha256_0").alias("sha256_first"), F.col("sha256_1").alias("sha256_second"))
 
 
