@@ -155,6 +155,11 @@ WATCHED_FORMS = ["10-K", "10-Q", "8-K"]
 FINANCIAL_FORMS = ["10-K", "10-Q"]
 VIEWER_URL = "https://www.sec.gov/ix?doc=/Archives/edgar/data/"
 ARCHIVE_URL = "https://www.sec.gov/Archives/edgar/data/"
+# Where the company number stands in those addresses.
+NUMBER_IN_PATH = r"/data/(\d+)/"
+NUMBER_IN_QUERY = r"CIK=0*(\d+)"
+# Share classes that the second source lists under another ticker than ours.
+SECOND_SOURCE_TICKERS = {"GOOGL": "GOOG"}
 COMPANY_URL = "https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK="
 
 # --- Screening metrics --------------------------------------------------------------------
@@ -169,6 +174,8 @@ DERIVED_METRICS = [
     "net_margin", "free_cash_flow", "fcf_margin", "roe",
 ]
 METRICS = BASE_METRICS + DERIVED_METRICS
+PERCENT_METRICS = ["revenue_growth", "net_income_growth", "gross_margin", "operating_margin", "net_margin", "fcf_margin", "roe"]
+PER_SHARE_METRICS = ["eps_diluted"]
 SCREEN_OPERATORS = [">", ">=", "<", "<="]
 ALWAYS_SHOWN = ["revenue", "revenue_growth", "net_margin"]
 

@@ -39,11 +39,17 @@ def padded_cik(number: Column) -> Column:
 
 def cik_from_url(url: Column) -> Column:
     """The company number inside an audit link, from its path or its query."""
-    path = F.nullif(F.regexp_extract(url, r"/data/(\d+)/", 1), F.lit(""))
-    query = F.nullif(F.regexp_extract(url, r"CIK=0*(\d+)", 1), F.lit(""))
+    path = F.nullif(F.regexp_extract(url, fixed.NUMBER_IN_PATH, 1), F.lit(""))
+    query = F.nullif(F.regexp_extract(url, fixed.NUMBER_IN_QUERY, 1), F.lit(""))
     return F.coalesce(path, query).try_cast("long")
 
 
 def plain_symbol(ticker: Column) -> Column:
     """False for units, warrants and dual-class symbols."""
     return ~ticker.rlike("[-.]")
+
+
+def second_source_ticker(ticker: Column) -> Column:
+    """The ticker that the second source lists a company of ours under."""
+    other = F.create_map(*[F.lit(x) for pair in fixed.SECOND_SOURCE_TICKERS.items() for x in pair])
+    return F.coalesce(F.try_element_at(other, F.upper(ticker)), F.upper(ticker))

@@ -81,6 +81,6 @@ def metric_text(name: Column, value: Column) -> Column:
     """Display text of a metric: percent for growth, margins and return, else money."""
     percent = F.concat(F.regexp_replace(F.format_number(F.round(value * 100, 1), 1), ",", ""), F.lit("%"))
     per_share = F.regexp_replace(F.format_number(F.round(value, 2), 2), ",", "")
-    return (F.when(name.rlike("(_growth|_margin|^roe)$"), percent)
-             .when(name == "eps_diluted", per_share)
+    return (F.when(name.isin(fixed.PERCENT_METRICS), percent)
+             .when(name.isin(fixed.PER_SHARE_METRICS), per_share)
              .otherwise(money_text(value)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.operators import identity, metrics, pointintime
-from almanac.sources import store
+from almanac.operators import coverage, identity, metrics, pointintime
+from almanac.session import cut_lineage
+from almanac.sources import statements, store
 from almanac.sources.keyed import KeyedTable
 
 
@@ -54,3 +55,31 @@ def refresh_selection(table: KeyedTable, facts: KeyedTable, groups: DataFrame) -
     groups = groups.select(*pointintime.YEAR_KEY).distinct()
     own = facts.read(groups).join(groups, pointintime.YEAR_KEY, "left_semi")
     table.replace(groups, complete_selection(own), on=pointintime.YEAR_KEY)
+
+
+def ingest_baseline(universe: DataFrame, ciks: DataFrame, payloads: DataFrame, companies: KeyedTable, facts: KeyedTable,
+                    metrics_table: KeyedTable, new_id: Column, quarterly: bool = False) -> DataFrame:
+    """The second source's companies, their facts and metrics in one job; gives the companies it touched.
+
+    Companies of the ``universe`` that are listed filers (``ciks``) and have no facts yet are wanted. Of
+    those whose statements (ticker, page, payload) hold facts, the ones without a company row (by cik) get
+    one, with the id ``new_id`` made of their columns; the facts are appended, and the metrics of the
+    companies made. A company without facts gets no row. Run again, it finds nothing wanted.
+    """
+    stored = companies.read()
+    wanted = coverage.baseline_worklist(identity.universe_match(universe, ciks), stored, facts.read())
+    known = stored.select("cik", F.col("id").alias("known_id"))
+    wanted = cut_lineage(wanted.join(known, "cik", "left").withColumn("company_id", F.coalesce("known_id", new_id)))
+    own = payloads.select(F.upper("ticker").alias("ticker"), "page", "payload").join(wanted.select("ticker", "company_id"), "ticker")
+    rows = statements.baseline_facts(own.select("company_id", "page", "payload"), wanted.select("company_id", "cik"), quarterly)
+    rows = cut_lineage(rows.select(*store.FACT_COLUMNS))
+    filled = wanted.join(rows.select("company_id"), "company_id", "left_semi")
+    fresh = filled.where("known_id is null").select(
+        F.col("company_id").alias("id"), "cik", "ticker", F.substring("name", 1, 255).alias("name"), F.lit(None).cast("string").alias("sic"),
+        F.substring("sector", 1, 64).alias("sector"))
+    present = {f.name for f in companies.schema}
+    companies.append(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).alias(c) for c in present]))
+    append_facts(facts, rows.withColumn("arrival", F.lit(0)))
+    touched = filled.select("company_id").distinct()
+    refresh_metrics(metrics_table, facts, touched)
+    return touched

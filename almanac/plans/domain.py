@@ -336,6 +336,16 @@ def fact_payloads(spark: SparkSession, folder: str) -> DataFrame:
 STATEMENTS = ["PL", "CF", "BS", "DERIVED"]
 
 
+def damaged_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """One payload for each company, four in nine of them damaged in one way or another."""
+    key = F.col("s_suppkey")
+    entry = lambda day: F.concat(F.lit('{"facts":{"us-gaap":{"Revenues":{"units":{"USD":[{"val":1.5,"accn":"a","form":"10-K","filed":"2024-02-01","end":"'), day, F.lit('"}]}}}}}'))
+    sound = entry(F.lit("2023-12-31"))
+    payload = (F.when(key % 9 == 1, F.expr("substring('[{\"facts\": 1', 1, 8)")).when(key % 9 == 2, '{"facts":{"dei":{}}}')
+               .when(key % 9 == 3, entry(F.lit("2023-02-30"))).when(key % 9 != 0, sound))
+    return table(spark, folder, "supplier").select(key.alias("company_id"), F.lit(0).alias("page"), payload.alias("payload"))
+
+
 @landed
 def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Second-source statements, one (company_id, page, payload) per company and fiscal year.

@@ -77,10 +77,17 @@ def classify_tags(spark, folder):
 
 
 def _candidates(spark, folder):
-    entries = companyfacts.flatten_facts(domain.fact_payloads(spark, folder))
+    entries = companyfacts.reported_entries(domain.fact_payloads(spark, folder))
     return companyfacts.label_facts(entries, domain.companies(spark, folder))
 
 
+@register("ingest_rejects", """
+SELECT s_suppkey AS company_id, CASE s_suppkey % 9 WHEN 0 THEN 'not readable as JSON' WHEN 1 THEN 'not readable as JSON'
+  WHEN 2 THEN 'no facts in it' WHEN 3 THEN 'unreadable date' END AS reason FROM supplier WHERE s_suppkey % 9 < 4""")
+def ingest_rejects(spark, folder):
+    return companyfacts.rejected_payloads(domain.damaged_payloads(spark, folder)).drop("page")
+
+
 @register("ingest_facts", f"SELECT {FACT_SELECT} FROM ingested")
 def ingest_facts(spark, folder):
     candidates = _candidates(spark, folder)
@@ -329,6 +336,20 @@ def format_money(spark, folder):
 
 
 
+@register("format_metric", f"""
+WITH a AS (SELECT company_id, UNNEST([{", ".join(f"{{'metric': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in ["revenue", "eps_diluted", "net_margin", "roe", "revenue_growth"])}]) AS u FROM metrics),
+v AS (SELECT company_id, u.metric AS metric, u.value AS v, abs(u.value) / 1000000 AS mil FROM a WHERE u.value IS NOT NULL),
+t AS (SELECT *, CASE WHEN mil >= 1000 THEN {_grouped_sql("round(mil / 1000, 1)", 1)} || 'B' ELSE {_grouped_sql("round(mil, 0)", 0)} || 'M' END AS money FROM v)
+SELECT company_id, metric, CASE WHEN metric IN {oracle.listing(fixed.PERCENT_METRICS)} THEN printf('%.1f%%', round(v * 100, 1))
+  WHEN metric = 'eps_diluted' THEN printf('%.2f', round(v, 2)) WHEN v < 0 THEN '(' || money || ')' ELSE money END AS shown,
+  CASE WHEN v < 0 THEN '(' ELSE '' END || {_grouped_sql("round(abs(v), 2)", 2)} || CASE WHEN v < 0 THEN ')' ELSE '' END AS plain FROM t""")
+def format_metric(spark, folder):
+    names_ = ["revenue", "eps_diluted", "net_margin", "roe", "revenue_growth"]
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names_])
+    rows = domain.metrics_table(spark, folder).select("company_id", F.inline(listed)).filter("v is not null")
+    return rows.select("company_id", "metric", numbers.metric_text(F.col("metric"), F.col("v")).alias("shown"), numbers.plain_text(F.col("v")).alias("plain"))
+
+
 # --- Point in time ------------------------------------------------------------------------
 
 @register("pit_latest", f"SELECT {FACT_SELECT} FROM latest")
@@ -617,7 +638,7 @@ SELECT {FACT_SELECT.replace('source_url', "CASE WHEN doc THEN url ELSE source_ur
 
 def _keyed(spark, name, schema):
     """A new stored table in buckets of companies."""
-    return keyed.KeyedTable(spark, _run_folder(spark, name), schema, ["company_id"])
+    return keyed.KeyedTable(spark, _run_folder(spark, name), schema, ["company_id"], buckets=16)
 
 
 def _stored(spark, name, rows):
@@ -678,6 +699,48 @@ def flags_replaced(spark, folder):
     return table.read()
 
 
+_WANTED = """
+WITH wanted AS (
+  SELECT m.ticker, m.cik, m.name, m.sector, CAST(m.cik AS BIGINT) - 1000 AS company_id, c.id IS NULL AS fresh
+  FROM matched m LEFT JOIN (SELECT * FROM companies WHERE id % 3 <> 0) c USING (cik)
+  WHERE m.ticker NOT IN (SELECT ticker FROM companies WHERE id % 3 = 1)),
+b AS ({baseline}),
+filled AS (SELECT * FROM wanted WHERE company_id IN (SELECT company_id FROM b))
+"""
+
+
+def _baseline_run(spark, folder):
+    """A third of the companies have facts, a third only their row; the second source's companies come in."""
+    listed = domain.companies(spark, folder).filter(F.col("id") % 3 != 0)
+    companies = keyed.KeyedTable(spark, _run_folder(spark, "companies"), listed.schema, ["id"], buckets=16)
+    companies.append(listed)
+    facts = _stored(spark, "facts", domain.facts(spark, folder).filter(F.col("company_id") % 3 == 1))
+    table = _stored(spark, "metrics", metrics.stored_metrics(facts.read()))
+    ciks = tickers.cik_by_ticker(tickers.listings(domain.listing_payloads(spark, folder)))
+    universe = domain.universe(spark, folder)
+    payloads = domain.statement_payloads(spark, folder).join(
+        identity.universe_match(universe, ciks).select("ticker", (F.col("cik").cast("long") - 1000).alias("company_id")), "company_id")
+    for _ in range(2):  # the second run finds nothing wanted
+        updates.ingest_baseline(universe, ciks, payloads, companies, facts, table, F.col("cik").cast("long") - 1000)
+    return companies, facts, table
+
+
+@register("baseline_ingest", _WANTED.format(baseline=_BASELINE.format(where="WHERE period = CASE WHEN is_flow THEN 'FY' ELSE 'Q4' END")) + """
+SELECT b.* FROM b JOIN filled USING (company_id) WHERE company_id % 3 <> 1""")
+def baseline_ingest(spark, folder):
+    _, facts, _ = _baseline_run(spark, folder)
+    return facts.read().filter(F.col("company_id") % 3 != 1).select(
+        "company_id", "concept", "canonical_concept", "unit", "value", "fiscal_year", "fiscal_period", "end_date", "filed_date", "source_url")
+
+
+@register("baseline_companies", _WANTED.format(baseline=_BASELINE.format(where="WHERE period = CASE WHEN is_flow THEN 'FY' ELSE 'Q4' END")) + """
+SELECT id, cik, ticker, name, sector FROM companies WHERE id % 3 <> 0
+UNION ALL SELECT company_id, cik, ticker, name, sector FROM filled WHERE fresh""")
+def baseline_companies(spark, folder):
+    companies, _, _ = _baseline_run(spark, folder)
+    return companies.read().select("id", "cik", "ticker", "name", "sector")
+
+
 # --- Entities and worklists ---------------------------------------------------------------
 
 @register("universe_match", "SELECT ticker, cik, name, sector FROM matched")

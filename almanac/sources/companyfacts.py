@@ -16,12 +16,11 @@ PAYLOAD = ("struct<facts: map<string, map<string, struct<units: map<string, arra
 DAY = "yyyy-MM-dd"
 
 
-def flatten_facts(payloads: DataFrame) -> DataFrame:
-    """One row per reported entry of (company_id, page, payload).
+def reported_entries(payloads: DataFrame) -> DataFrame:
+    """One row per reported entry of (company_id, page, payload), its dates as the payload writes them.
 
-    Entries without a value and units other than money, shares and money per share are left out. Blank
-    and unreadable dates are null; ``rejected_payloads`` tells what could not be read at all.
-    The three positions keep the arrival order for the first-wins append.
+    Entries without a value and units other than money, shares and money per share are left out. The
+    three positions keep the arrival order for the first-wins append.
     """
     tags = (payloads
             .select("company_id", "page", F.from_json("payload", PAYLOAD)["facts"]["us-gaap"].alias("gaap"))
@@ -36,11 +35,21 @@ def flatten_facts(payloads: DataFrame) -> DataFrame:
             .filter(F.col("entry.val").isNotNull())
             .select("company_id", "page", "tag_no", "unit_no", "entry_no", "tag", "unit",
                     F.col("entry.val").alias("value"),
-                    F.try_to_date("entry.start", DAY).alias("start_date"),
-                    F.try_to_date("entry.end", DAY).alias("end_date"),
+                    F.col("entry.start").alias("start_date"), F.col("entry.end").alias("end_date"),
                     F.col("entry.accn").alias("accession_number"),
                     F.coalesce("entry.form", F.lit("")).alias("form"),
-                    F.try_to_date("entry.filed", DAY).alias("filed_date")))
+                    F.col("entry.filed").alias("filed_date")))
+
+
+def _dated(entries: DataFrame) -> DataFrame:
+    """Entries with their dates read; blank and unreadable ones are null."""
+    written = [f.name for f in entries.schema if f.name.endswith("_date") and f.dataType.simpleString() == "string"]
+    return entries.withColumns({c: F.try_to_date(c, DAY) for c in written}) if written else entries
+
+
+def flatten_facts(payloads: DataFrame) -> DataFrame:
+    """``reported_entries`` with dates; ``rejected_payloads`` tells what could not be read at all."""
+    return _dated(reported_entries(payloads))
 
 
 def rejected_payloads(payloads: DataFrame) -> DataFrame:
@@ -68,10 +77,11 @@ def label_facts(entries: DataFrame, companies: DataFrame, documents: DataFrame |
     """Classified entries with fiscal labels and audit links, in the stored fact layout.
 
     ``companies`` gives cik and fye_month per id. ``documents`` (company_id, accession_number,
-    document) deepens the links where a filing's document is known.
+    document) deepens the links where a filing's document is known. Entries whose dates are still text
+    are read after the tags have left out most of them.
     """
     calendar = companies.select(F.col("id").alias("company_id"), "cik", "fye_month")
-    labelled = (classify_tags(entries)
+    labelled = (_dated(classify_tags(entries))
                 .join(calendar, "company_id")
                 .withColumn("fiscal_period", periods.period_label(
                     F.col("start_date"), F.col("end_date"), F.col("is_flow"), F.col("fye_month")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac import fixed
+from almanac.sources.keyed import KeyedTable
 
 BLOCK = ("struct<form: array<string>, accessionNumber: array<string>, "
          "filingDate: array<string>, primaryDocument: array<string>>")
@@ -60,12 +61,18 @@ def archive_selection(filings: DataFrame, companies: DataFrame, forms: list[str]
             .withColumn("path", F.concat_ws("/", "ticker", "accession_number", "document")))
 
 
+ARCHIVE = "ticker string, accession_number string, document string, path string, html string"
+
+
+def archive(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The archive of raw documents, in buckets of tickers: a few files whatever the number of filings."""
+    return KeyedTable(spark, path, ARCHIVE, ["ticker"], buckets)
+
+
 def write_archive(selection: DataFrame, contents: DataFrame, path: str) -> None:
     """Stores document contents (accession_number, html) by ticker and accession.
 
-    Re-runs replace the partitions they touch and no others.
+    Run again, it replaces the documents that have contents and no others.
     """
-    (selection.join(contents, "accession_number")
-              .repartition("ticker", "accession_number")
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("ticker", "accession_number").parquet(path))
+    rows = selection.join(contents, "accession_number").select("ticker", "accession_number", "document", "path", "html")
+    archive(selection.sparkSession, path).replace(rows, rows, on=["ticker", "accession_number"])

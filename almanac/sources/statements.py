@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac import dims, fixed
-from almanac.functions import numbers, periods
+from almanac.functions import names, numbers, periods
 from almanac.sources.store import first_by
 
 PAYLOAD = "array<struct<statement: string, columns: array<string>, data: array<array<variant>>>>"
@@ -50,6 +50,13 @@ def statement_unpivot(payloads: DataFrame) -> DataFrame:
         .filter(F.col("end_date").isNotNull())
 
 
+def company_payloads(payloads: DataFrame, companies: DataFrame) -> DataFrame:
+    """The second source's statements (ticker, page, payload) of our companies (id, ticker), which it may list
+    under another share class: (company_id, page, payload)."""
+    listed = companies.select(F.col("id").alias("company_id"), names.second_source_ticker(F.col("ticker")).alias("ticker"))
+    return payloads.select(F.upper("ticker").alias("ticker"), "page", "payload").join(listed, "ticker").drop("ticker")
+
+
 def reference_values(payloads: DataFrame) -> DataFrame:
     """Second-source annual values by (concept, calendar year of the period end); zeros dropped.
 

@@ -228,7 +228,7 @@ def test_archive_is_rewritten_in_place(spark, tmp_path):
         contents = spark.createDataFrame([("a", text)] + ([("b", text)] if text == "one" else []),
                                          "accession_number string, html string")
         filings.write_archive(picked, contents, path)
-    stored = {r.accession_number: r.html for r in spark.read.parquet(path).collect()}
+    stored = {r.accession_number: r.html for r in filings.archive(spark, path).read().collect()}
     assert stored == {"a": "two", "b": "one"}
 
 
@@ -325,3 +325,10 @@ def test_page_blocks_without_a_wrapper(spark):
     rows = [(1, 0, json.dumps({"filings": {"recent": block}})), (2, 0, json.dumps(block)), (3, 0, "{}")]
     got = filings.filing_rows(spark.createDataFrame(rows, "company_id long, block int, payload string")).collect()
     assert sorted((r.company_id, r.accession_number, r.filed_date) for r in got) == [(1, "a-1", None), (2, "a-1", None)]
+
+
+def test_statements_under_the_second_source_s_ticker(spark):
+    payloads = spark.createDataFrame([("goog", 2023, "g"), ("ABC", 2023, "a"), ("GOOGL", 2023, "not ours")], "ticker string, page long, payload string")
+    companies = spark.createDataFrame([(1, "GOOGL"), (2, "abc"), (3, "XYZ")], "id long, ticker string")
+    got = statements.company_payloads(payloads, companies).collect()
+    assert sorted((r.company_id, r.payload) for r in got) == [(1, "g"), (2, "a")]
