@@ -2,7 +2,7 @@
 
 Equal texts are one class from the start. A class lands in one bucket per band; buckets that hold the
 same classes as another are left out, and so are those with one class. Buckets are cut into tiles of
-about ``TILE`` classes a side, every pair of tiles is a group of rows of its own, and a pair of classes
+about ``TILE`` classes or ``TILE_GRAMS`` n-grams a side, every pair of tiles is a group of rows of its own, and a pair of classes
 is looked at only in the first bucket it shares. Tasks emit one row per class and tile: how many others
 it links to, and the smallest class it is connected with. Pairs are never rows.
 """
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import map_arrow, saved, whole
 from almanac.llm.components import components
-from almanac.llm.exact_dedup import flag_repeated, member_words
+from almanac.llm.exact_dedup import maybe_among
 from almanac.llm.hashing import mix, texts_of, windows, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-TILE = 512
+TILE, TILE_GRAMS = 512, 2_000_000
 #: Columns of the incidence matrix that are multiplied at once.
 BLOCK = 4096
 
@@ -75,8 +75,8 @@ def _signatures(batch: pa.RecordBatch, size: int, bands: int, rows: int) -> Iter
     counts[full] = bands
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64).ravel()))
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists],
-                                     names=["doc_id", "row_no", "digest", "bands"])
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists, pa.array(sizes, pa.int64())],
+                                     names=["doc_id", "row_no", "digest", "bands", "n_grams"])
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -182,41 +182,42 @@ def _classes(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, row
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"),
                          F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
     work = partial(_signatures, size=size, bands=bands, rows=rows)
-    found = saved(map_arrow(source, work, "doc_id long, row_no long, digest binary, bands array<long>", "text"), "signatures")
+    found = saved(map_arrow(source, work, "doc_id long, row_no long, digest binary, bands array<long>, n_grams long", "text"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_no")).alias("first")
-    classes = found.groupBy("digest").agg(first, F.first("bands").alias("bands")).select(
-        "digest", F.col("first.doc_id").alias("class_id"), F.col("first.row_no").alias("node"), "bands")
+    classes = found.groupBy("digest").agg(first, F.first("bands").alias("bands"), F.max("n_grams").alias("n_grams")).select(
+        "digest", F.col("first.doc_id").alias("class_id"), F.col("first.row_no").alias("node"), "bands", "n_grams")
     return found.select("doc_id", "row_no", "digest"), saved(classes, "classes")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(bucket, n, node, buckets) for the buckets worth looking at."""
-    dealt = classes.select("node", F.explode("bands").alias("bucket"))
+    """(bucket, n, grams, node, buckets) for the buckets worth looking at."""
+    dealt = classes.select("node", "n_grams", F.explode("bands").alias("bucket"))
     sizes = dealt.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.count("*").alias("n"), F.sum("n_grams").alias("grams"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
-    kept = saved(sizes.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = saved(dealt.join(kept, "bucket"), "members")
+    kept = saved(sizes.groupBy("n", "grams", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "grams"), "buckets")
+    members = saved(dealt.drop("n_grams").join(kept, "bucket"), "members")
     lists = members.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
     return members.join(lists, "node")
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS,
           threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES,
-          tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+          tile: int = TILE, tile_grams: int = TILE_GRAMS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (doc_id, row_no, digest), and one row per different text (digest, class_id, node,
     n_links, label): how many other texts it is similar to, and the smallest node of its group."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     found, classes = _classes(docs, doc_id, text, size, bands, rows)
     members = _members(classes)
-    blocks = F.ceil(F.col("n") / tile)
+    # a side of few long texts is cut by what they hold; one text longer than a side stands alone
+    blocks = F.greatest(F.ceil(F.col("n") / tile), F.least(F.ceil(F.col("grams") / tile_grams), F.col("n")))
     members = saved(members.withColumn("blocks", blocks).withColumn(
         "side", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))), "members")
     wanted = saved(members.select("node").distinct().join(classes.select("node", "digest", "class_id"), "node"), "wanted")
     body = whole(F.col(text))
     source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("_text"))
-    # only texts that a filter of bounded size lets through are shuffled
-    source = flag_repeated(source, saved(member_words(wanted), "filter")).where("maybe")
+    # only texts that a filter of the wanted ones lets through are shuffled
+    source = maybe_among(source, wanted).where("maybe")
     texts = source.join(wanted, (source["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("class_id")))
     sets = saved(map_arrow(texts.select("node", F.col("_text").alias("text")), partial(_sets, size=size),
                            "node long, grams binary", "text"), "sets")
@@ -261,7 +262,7 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     odd = saved(rows.select("digest", F.col("doc_id").alias("_odd_id"), "n", kept.alias("kept")).where("not kept or n > 1"), "dropped")
     packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("_id"),
                          F.unhex(F.sha2(whole(F.col(text)), 256)).alias("digest"))
-    packed = flag_repeated(packed, saved(member_words(odd), "filter"))
+    packed = maybe_among(packed, odd)
     found = packed.where("maybe")
     joined = found.join(odd, (found["digest"] == odd["digest"]) & F.col("_id").eqNullSafe(F.col("_odd_id")), "left")
     joined = joined.select("row", "_id", found["digest"].alias("_digest"), "n", "kept")

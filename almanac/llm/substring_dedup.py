@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.common import map_arrow, saved
-from almanac.llm.exact_dedup import flag_repeated, member_words
+from almanac.llm.exact_dedup import maybe_among
 from almanac.llm.hashing import texts_of, windows, word_hashes
 
 WINDOW_WORDS = 35
@@ -190,8 +190,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` with ``maybe``: whether their text_key can be among those of ``keys``."""
-    words = saved(member_words(keys.select(F.col("text_key").alias("digest"))), "filter")
-    return flag_repeated(rows.withColumn("digest", F.col("text_key")), words).drop("digest")
+    return maybe_among(rows.withColumn("digest", F.col("text_key")), keys.select(F.col("text_key").alias("digest"))).drop("digest")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS,
@@ -215,7 +214,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  (F.col("copies") == 1).alias("single"), "large").alias("own"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("own").alias("wanted"))
     wanted = saved(wanted, "wanted")
-    # only texts that a filter of bounded size lets through are shuffled
+    # only texts that a filter of the wanted ones lets through are shuffled
     near = _maybe(source, wanted).where("maybe").drop("maybe")
     texts = near.join(wanted, _same(near, wanted)).select(near["doc_id"], near["text_key"], "text", "wanted")
     texts = saved(map_arrow(texts, partial(_cut, window=window), _PACKED, "text"), "packed")

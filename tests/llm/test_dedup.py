@@ -1,9 +1,12 @@
 """Exact dedup, the Jaccard join and substring dedup against plain Python."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.llm import exact_dedup, jaccard_join, substring_dedup
 from almanac.llm.components import components
@@ -78,12 +81,55 @@ def similar(rows, threshold=0.8):
     return first, near, lowest
 
 
-@pytest.mark.parametrize("tile", [2, 512])
-def test_similar_documents(docs, rows, as_rows, tile):
+@pytest.mark.parametrize("rows_", [300, 100_000])
+def test_few_unique_rows_pass_the_filter(spark, rows_):
+    """Whatever the number of rows: the filter grows with it."""
+    digests = spark.range(rows_).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    bits = exact_dedup.filter_bits(rows_)
+    assert 16 * rows_ <= bits <= 32 * rows_ or bits == exact_dedup.LEAST_BITS
+    words = exact_dedup.repeated_words(digests, bits)
+    assert exact_dedup.flag_repeated(digests, words, bits).where("maybe").count() < 0.05 * rows_
+    both = digests.unionByName(digests.limit(50))
+    assert exact_dedup.flag_repeated(both, exact_dedup.repeated_words(both, bits), bits).where("maybe").count() >= 100
+    assert exact_dedup.maybe_among(digests, digests.limit(rows_ // 10)).where("maybe").count() < 0.2 * rows_
+
+
+@pytest.mark.parametrize("tile,grams", [(2, 2_000_000), (512, 2_000_000), (512, 300)])
+def test_similar_documents(docs, rows, as_rows, tile, grams):
     first, near, lowest = similar(rows)
     want = [(r[0], first[t], len(near[t]), lowest[t]) for r in rows for t in [r[1] or ""]]
     assert any(w[2] > 5 for w in want)
-    assert as_rows(jaccard_join.similar_documents(docs, tile=tile)) == sorted(want, key=repr)
+    assert as_rows(jaccard_join.similar_documents(docs, tile=tile, tile_grams=grams)) == sorted(want, key=repr)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of different texts, by one incidence matrix: documents, and copies with changed words."""
+    draw, rows = random.Random(4), [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(600).collect()]
+    for doc_id, text in rows[:400]:
+        own = (text or "").split()
+        for at in draw.sample(range(len(own)), len(own) * draw.randint(1, 3) // 100):
+            own[at] = "changed"
+        rows.append((doc_id + 100_000, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted({r[1] or "" for r in rows})
+    sets = [np.unique(jaccard_join.shingles(jaccard_join.word_hashes(t.encode().split(), len(t.split())), 5)) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = np.zeros((len(sets), len(sets)))
+    often = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
+    for low in range(0, column.max() + 1, 4096):
+        block = np.zeros((len(sets), 4096), np.float32)
+        inside = (column >= low) & (column < low + 4096)
+        block[owner[inside], column[inside] - low] = 1
+        common += block @ block.T
+    np.fill_diagonal(common, 0)
+    near = (common >= 0.8 * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
+    found = {r["text"] or "": r["n_links"] for r in docs.join(jaccard_join.similar_documents(docs), "doc_id").collect()}
+    got, want = sum(found[t] for t in texts), near.sum()
+    assert want > 100 and 0.99 * want <= got <= want
+    assert all(found[t] <= n for t, n in zip(texts, near.sum(axis=0)))
 
 
 def test_drop_similar(docs, rows):
