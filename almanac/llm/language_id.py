@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import map_arrow
+from almanac.llm.common import in_slices, map_arrow
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -70,7 +70,7 @@ class Model:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per n-gram a task has seen: in how many of its texts; the number of texts is n-gram -1."""
     counts, n = np.zeros(1 << BITS, np.int64), 0
-    for batch in batches:
+    for batch in in_slices(batches, "text"):
         for text in batch.column(0).to_pylist():
             seen = np.zeros(1 << BITS, bool)
             seen[grams(text)] = True
@@ -83,7 +83,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts each of the ``2 ** BITS`` hashed n-grams occurs, and the number of texts."""
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(_document_counts, "gram long, n long")
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_document_counts, "gram long, n long")
     counts, total = np.zeros(1 << BITS, np.int64), 0
     for gram, n in rows.groupBy("gram").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         if gram < 0:
@@ -140,21 +140,35 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
+def sampled_ids(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """The ``sample_rows`` (doc_id, lang) of each language with the smallest hashes, or all, if fewer.
+
+    Languages are counted first; only rows whose hash lies below about twice the share that is wanted are
+    ranked, so that a language's window holds some 2 * ``sample_rows`` rows whatever the input.
+    """
+    held = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(held) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    place, limit = F.xxhash64("doc_id", "lang"), F.lit(None).cast("long")
+    for row in held:
+        share = min(1.0, (2 * sample_rows + 100) / row["n"])
+        limit = F.when(F.col("lang") == row["lang"], F.lit(min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))).otherwise(limit)
+    few = docs.select("doc_id", "lang").where(place <= limit).distinct()
+    by_hash = Window.partitionBy("lang").orderBy(place, "doc_id")
+    return few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample_rows).select("doc_id", "lang")
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on ``docs`` (doc_id, text, lang); rows without a lang are not learned from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang")).where("lang is not null")
     frequency, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    picked = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample_rows)
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    picked = sampled_ids(docs, sample_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     own = docs.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
     rows = map_arrow(own, _sparse, "doc_id long, lang string, grams binary, counts binary", "text").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "grams"], kind="stable")
     languages = tuple(sorted(rows["lang"].unique()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are meant")
     if not languages:
         return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     sparse, y = [], []

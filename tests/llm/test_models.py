@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.llm import divergence, language_id, license_scan, queries, rule_ensemble, warc
 from almanac.llm.common import saved
@@ -197,6 +198,23 @@ def test_licences_inside_long_files():
         assert license_scan.scan_text(text, templates) == []
 
 
+def test_sample_of_each_language(spark):
+    """The smallest hashes of each language, without ranking more than about twice as many rows."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+                                      F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") % 1000 == 1, "few").otherwise("often").alias("lang"))
+    hashes = {}
+    for r in docs.distinct().select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h")).collect():
+        hashes.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    got = {}
+    for r in language_id.sampled_ids(docs, 200).collect():
+        got.setdefault(r["lang"], set()).add(r["doc_id"])
+    assert got == {lang: {doc_id for _, doc_id in sorted(own)[:200]} for lang, own in hashes.items()}
+    assert len(got["few"]) < 200 == len(got["often"])
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.sampled_ids(many, 10)
+
+
 def plain_windows(templates, words, n):
     """Windows by their definition: every start, every end."""
     pairs = list(zip(words, words[1:]))
@@ -278,6 +296,16 @@ def test_records_parse_again(spark, records):
     assert list(warc.split_records(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort")) == []
 
 
+def test_audit_keeps_columns_of_any_name(spark, records):
+    named = records.withColumn("length", F.lit("own")).withColumn("range", F.col("page_id")).withColumn("record_id", F.lit(1)).withColumn("sha256", F.lit(None).cast("string"))
+    gone = named.where("offset > 0")
+    got = warc.audit(named, gone, keep=("length", "range", "record_id", "sha256"))
+    assert got.columns[:4] == ["length", "range", "record_id", "sha256"]
+    assert {r["length"] for r in got.collect()} == {"own"} and got.count() == named.where("offset = 0").count()
+    with pytest.raises(ValueError, match="status"):
+        warc.audit(named.withColumn("status", F.lit(1)), gone, keep=("status",))
+
+
 def test_audit(spark, records, as_rows):
     assert warc.audit(records, records).count() == 0
     rows = [list(r) for r in records.collect()]
