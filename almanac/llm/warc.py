@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,16 +107,73 @@ def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return rows.mapInArrow(_laid_out, _RECORDS)
 
 
+_MEMBER = b"\x1f\x8b\x08"
+_STEP = 1 << 16
+
+
+def _inflated(content: memoryview, start: int) -> tuple[int, bytes] | None:
+    """End and contents of the compressed member at ``start``; None if it is damaged or cut off."""
+    state, at, parts = zlib.decompressobj(31), start, []
+    try:
+        while not state.eof and at < len(content):
+            parts.append(state.decompress(content[at:at + _STEP]))
+            at += _STEP
+    except zlib.error:
+        return None
+    return (min(at, len(content)) - len(state.unused_data), b"".join(parts)) if state.eof else None
+
+
+def members(content: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, contents, intact) of the members of a compressed file; what lies between two members that
+    can be read is one damaged range, as it stands."""
+    view, at, bad = memoryview(content), 0, None
+    while (start := content.find(_MEMBER, at)) >= 0:
+        if bad is None and start > at:
+            bad = at
+        found = _inflated(view, start)
+        if found is None:
+            bad, at = start if bad is None else bad, start + 1
+            continue
+        if bad is not None:
+            yield bad, bytes(view[bad:start]), False
+            bad = None
+        yield start, found[1], True
+        at = found[0]
+    if bad is not None or at < len(content):
+        yield (at if bad is None else bad), bytes(view[at if bad is None else bad:]), False
+
+
+def _records_of(content: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    if not content.startswith(_MEMBER[:2]):
+        yield from pieces(content)
+        return
+    for offset, data, intact in members(content):
+        if intact:
+            yield from ((offset, record, whole) for _, record, whole in pieces(data))
+        else:
+            yield offset, data, False
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, offset, record, intact) of WARC files given as (path, content), for example by Spark's
-    binaryFile source; a damaged range is a row that isn't intact."""
+    binaryFile source; a damaged range is a row that isn't intact. Compressed files are read member by member;
+    a record's offset is then that of its member. Null and empty files give no rows."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = list(pieces(content or b""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(found), pa.string()), pa.array([o for o, _, _ in found], pa.int64()),
-                 pa.array([r for _, r, _ in found], pa.binary()), pa.array([i for _, _, i in found], pa.bool_())],
-                names=["path", "offset", "record", "intact"])
+            held, size = [], 0
+            for found in _records_of(content or b""):
+                held.append(found)
+                size += len(found[1])
+                if size > BATCH_BYTES:
+                    yield rows(path, held)
+                    held, size = [], 0
+            if held:
+                yield rows(path, held)
+
+    def rows(path: str, held: list) -> pa.RecordBatch:
+        offsets, records, intact = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(held), pa.string()), pa.array(offsets, pa.int64()), pa.array(records, pa.binary()),
+                                           pa.array(intact, pa.bool_())], names=["path", "offset", "record", "intact"])
 
     return map_arrow(files.select("path", "content"), work, "path string, offset long, record binary, intact boolean", "content")
 
