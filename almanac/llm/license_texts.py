@@ -168,8 +168,62 @@ for _name, _listed in _NAMES.items():
     for _text in _listed:
         TEMPLATES += [(_name, "reference", f"{_way} {_text}") for _way in (
             "under the", "under the terms of the", "under", "SPDX-License-Identifier:")]
-TEMPLATES += [
-    (_name, "text", pkgutil.get_data("almanac.llm", f"full_licenses/{_file}.txt").decode()) for _name, _file in (
-        ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"),
-        ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"))
-]
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+# The Affero licence is the GPL but for its names, the end of its preamble and section 13.
+_AFFERO_PREAMBLE = """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,
+specifically designed to ensure cooperation with the community in the case of network server software. """
+_AFFERO_STEPS = """Developers that use our General Public Licenses protect your rights with two steps: (1) assert copyright on
+the software, and (2) offer you this License which gives you legal permission to copy, distribute and/or modify the software.
+A secondary benefit of defending all users' freedom is that improvements made in alternate versions of the program, if they
+receive widespread use, become available for other developers to incorporate. Many developers of free software are heartened
+and encouraged by the resulting cooperation. However, in the case of software used on network servers, this result may fail
+to come about. The GNU General Public License permits making a modified version and letting the public access it on a server
+without ever releasing its source code to the public. The GNU Affero General Public License is designed specifically to
+ensure that, in such cases, the modified source code becomes available to the community. It requires the operator of a
+network server to provide the source code of the modified version running there to the users of that server. Therefore,
+public use of a modified version, on a publicly accessible server, gives the public access to the source code of the modified
+version. The precise terms and conditions for copying, distribution and modification follow. """
+_AFFERO_NETWORK = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision
+of this License, if you modify the Program, your modified version must prominently offer all users interacting with it
+remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding
+Source of your version by providing access to the Corresponding Source from a network server at no charge, through some
+standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding
+Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following
+paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a
+work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting
+work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is
+combined will remain governed by version 3 of the GNU General Public License. """
+
+
+def _full(name: str) -> str:
+    return pkgutil.get_data("almanac.llm", f"full_licenses/{name}.txt").decode()
+
+
+def _affero(gpl: str) -> str:
+    """The Affero licence, from the text of the GPL's third version."""
+    head, terms = gpl.split("TERMS AND CONDITIONS", 1)
+    opening = head[head.index("The licenses for most software"):head.index("Developers that use")]
+    before, rest = terms.split("13. Use with the GNU Affero", 1)
+    after = rest[rest.index("14. Revised"):]
+    named = [part.replace("GNU General Public License", "GNU Affero General Public License") for part in (opening, before, after)]
+    return " ".join(["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _AFFERO_PREAMBLE, named[0], _AFFERO_STEPS,
+                     "TERMS AND CONDITIONS", named[1], _AFFERO_NETWORK, named[2]])
+
+
+TEMPLATES += [(_name, "text", _full(_file)) for _name, _file in (
+    ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"))]
+TEMPLATES += [(_name, "text", _full(_file)) for _name, _file in (
+    ("Artistic-1.0", "Artistic-1.0"), ("GFDL-1.3", "GFDL-1.3"), ("GPL-1.0", "GPL-1"), ("LGPL-2.0", "LGPL-2"), ("MPL-1.1", "MPL-1.1"))]
+TEMPLATES += [("BSL-1.0", "text", _BOOST), ("AGPL-3.0", "text", _affero(_full("GPL-3")))]
