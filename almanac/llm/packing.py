@@ -32,6 +32,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a partition; bounds a task's memory.
 PART_PIECES = 50_000
+#: Rounds of exchange, and the least share of the pieces that a round settles if there is to be another.
+ROUNDS, LEAST_SETTLED = 8, 0.1
 #: Chunks of text and pre-tokens whose ids a Python worker remembers, and the longest of them.
 CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 1_200_000, 600_000, 64
 
@@ -178,9 +180,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     Each function maps shares of a bin so that what fits one bin still sums to at most one; the sum over
     all pieces, rounded up, is a bound. Whole numbers throughout.
     """
-    if not len(lengths):
+    return bound_of_counts(*np.unique(np.asarray(lengths, dtype=np.int64), return_counts=True), capacity)
+
+
+def bound_of_counts(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` of lengths given as different sizes, in rising order, and how often each occurs."""
+    if not len(sizes):
         return 0
-    sizes, counts = np.unique(np.asarray(lengths, dtype=np.int64), return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     for cut in sizes[sizes <= capacity // 2]:  # below the cut nothing, above its complement a whole bin
         share = np.where(sizes > capacity - cut, capacity, np.where(sizes >= cut, sizes, 0))
@@ -236,11 +242,14 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, turn: int, last: boo
     yield from rows.combine_chunks().to_batches()
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS,
+         least_settled: float = LEAST_SETTLED) -> DataFrame:
     """Adds sequence_id and offset to each piece, every sequence at most ``capacity`` long and gapless.
 
-    ``certified`` tells whether the partition of the piece met its lower bound. Pieces longer than a
-    sequence are an error of the caller. An empty table gives an empty result.
+    ``certified`` tells whether the partition of the piece met its lower bound. What is given up is packed
+    again in at most ``rounds`` rounds, and as it lies after a round that settles less than the share
+    ``least_settled``; ``surplus`` tells what that costs. Pieces longer than a sequence are an error of the
+    caller. An empty table gives an empty result.
     """
     names = [n.split()[0] for n in PIECE_SCHEMA.split(", ")]
     full = pieces.where(F.col("length") >= capacity).select(
@@ -249,7 +258,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
     rest, done, turn = pieces.where(F.col("length") < capacity).select(*names), [full], 0
     n = rest.count()
     while n:
-        parts, last = math.ceil(n / part_pieces), n <= part_pieces or turn >= 8
+        parts, last = math.ceil(n / part_pieces), n <= part_pieces or turn >= rounds
         dealt = rest.repartition(parts, F.xxhash64("row_no", "piece", F.lit(turn)))
         placed = saved(dealt.mapInArrow(partial(_pack, capacity=capacity, turn=turn, last=last), PLACED_SCHEMA), "packed")
         done.append(placed.where("settled").drop("settled"))
@@ -257,14 +266,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
             break
         rest, turn, before = placed.where("not settled").select(*names), turn + 1, n
         n = rest.count()
-        if n > 0.9 * before:
-            turn = 8  # this round settled too little: the next one settles all
+        if n > (1 - least_settled) * before:
+            turn = max(turn, rounds)  # this round settled too little: the next one settles all
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def surplus(placed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences of a result, and how many of them are above the lower bound for all its pieces together.
+    There is one row for each different length, at most ``capacity``, at the driver."""
+    used = placed.select("sequence_id").distinct().count()
+    held = sorted(tuple(r) for r in placed.groupBy("length").count().collect())
+    sizes, counts = np.array(held, dtype=np.int64).reshape(-1, 2).T
+    return used, used - bound_of_counts(sizes, counts, capacity)
+
+
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
                    capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of all documents and their places in sequences; every text is tokenised once."""

@@ -36,6 +36,8 @@ def test_packing(docs, rows, capacity, part):
             at += length
         assert at <= capacity
     bound = packing.lower_bound(np.array([r["length"] for r in placed]), capacity)
+    assert packing.surplus(packing.pack(pieces, capacity, part), capacity)[1] <= bound * 0.05 + 1
+    assert packing.surplus(packing.pack(pieces, capacity, part, rounds=0), capacity)[1] >= 0
     assert bound <= len(bins) <= bound * 1.05 + 1
 
 
@@ -60,7 +62,7 @@ def test_bounds_never_exceed_a_packing():
 
 
 def test_packing_nothing(nothing):
-    assert packing.pack_documents(nothing).count() == 0
+    assert packing.pack_documents(nothing).count() == 0 and packing.surplus(packing.pack_documents(nothing)) == (0, 0)
 
 
 def toy():
