@@ -2,6 +2,11 @@
 
 Each stage gets what its predecessor kept; ``run`` writes every stage's rows as Parquet into the shared
 folder and reads them again, so a lost executor never costs more than the running stage.
+
+Null texts count as empty in every stage, and stay null where they stay. Rows with a null doc_id take part
+like others: of equal texts one with an id stays before one without. Rows equal in doc_id and text are one
+row after exact dedup. Empty tables give empty results; further columns, whatever their names, come
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ from almanac.llm.common import saved, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It is fitted on the labelled documents of ``sf_dir``."""
+    """Documents that the classifier rejects go. It is fitted on the labelled documents of ``sf_dir``; without
+    labels of both classes, or where nothing tells them apart, all documents have one score."""
     model = rule_ensemble.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rule_ensemble.drop_low_quality(docs, model)
 
