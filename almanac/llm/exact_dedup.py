@@ -121,7 +121,8 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     groups = saved(groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n").alias("n")), "groups")
     flagged = flag_repeated(packed, words, bits)
     alone = flagged.where("not maybe").select("row.*")
-    found = flagged.where("maybe").join(groups, "digest", "left")
+    # both sides grow with the input: the same join at every size
+    found = flagged.where("maybe").join(groups.hint("merge"), "digest", "left")
     stay = found.where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
     plain = stay.where("n is null or n = 1").select("row.*")
     tied = stay.where("n > 1").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")

@@ -218,7 +218,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("_text"))
     # only texts that a filter of the wanted ones lets through are shuffled
     source = maybe_among(source, wanted).where("maybe")
-    texts = source.join(wanted, (source["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("class_id")))
+    texts = source.join(wanted.hint("merge"), (source["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("class_id")))
     sets = saved(map_arrow(texts.select("node", F.col("_text").alias("text")), partial(_sets, size=size),
                            "node long, grams binary", "text"), "sets")
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -264,7 +264,7 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
                          F.unhex(F.sha2(whole(F.col(text)), 256)).alias("digest"))
     packed = maybe_among(packed, odd)
     found = packed.where("maybe")
-    joined = found.join(odd, (found["digest"] == odd["digest"]) & F.col("_id").eqNullSafe(F.col("_odd_id")), "left")
+    joined = found.join(odd.hint("merge"), (found["digest"] == odd["digest"]) & F.col("_id").eqNullSafe(F.col("_odd_id")), "left")
     joined = joined.select("row", "_id", found["digest"].alias("_digest"), "n", "kept")
     plain = joined.where("n is null").select("row.*")
     tied = joined.where("kept").groupBy("_digest", "_id").agg(F.first("row").alias("row")).select("row.*")

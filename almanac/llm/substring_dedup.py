@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = saved(wanted, "wanted")
     # only texts that a filter of the wanted ones lets through are shuffled
     near = _maybe(source, wanted).where("maybe").drop("maybe")
-    texts = near.join(wanted, _same(near, wanted)).select(near["doc_id"], near["text_key"], "text", "wanted")
+    texts = near.join(wanted.hint("merge"), _same(near, wanted)).select(near["doc_id"], near["text_key"], "text", "wanted")
     texts = saved(map_arrow(texts, partial(_cut, window=window), _PACKED, "text"), "packed")
     large = mixed.where("large").select("mini")
     dealt = texts.join(large, "mini", "left_anti").select(*texts.columns).repartition("mini").sortWithinPartitions("mini")
@@ -261,7 +261,7 @@ def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     lists = saved(spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "lists")
     flagged = _maybe(keyed, lists)
     near = flagged.where("maybe").drop("maybe")
-    found = near.join(lists, _same(near, lists), "left").select(*[near[c] for c in keyed.columns], "spans")
+    found = near.join(lists.hint("merge"), _same(near, lists), "left").select(*[near[c] for c in keyed.columns], "spans")
     alone = flagged.where("not maybe").select(*keyed.columns, F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
     return alone.unionByName(found)
 
