@@ -35,7 +35,7 @@ PART_PIECES = 50_000
 #: Rounds of exchange, and the least share of the pieces that a round settles if there is to be another.
 ROUNDS, LEAST_SETTLED = 8, 0.1
 #: Chunks of text and pre-tokens whose ids a Python worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 1_200_000, 600_000, 64
+CACHE_CHUNKS, CACHE_PRE_TOKENS, CACHE_BYTES = 600_000, 300_000, 64
 
 PIECE_SCHEMA = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, settled boolean, certified boolean"
