@@ -3,8 +3,6 @@ arrays of words and windows are built once per row."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +14,19 @@ SYMBOLS = "#*$%&|<>"
 CHAR_CLASSES = [("lower", "[a-z]+"), ("upper", "[\\p{Lu}\\p{Lt}]+"), ("letter", "[\\p{Ll}\\p{Lm}\\p{Lo}&&[^a-z]]+"),
                 ("digit", "\\p{N}+"), ("blank", "[\\s]+"), ("stop", "[.,;:?'\"()-]+"), ("symbol", "[!#*$%&|<>]+")]
 
+_OFTEN = ["lower", "blank", "stop", "upper", "letter", "symbol", "digit"]
+
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RUN, -1), "")
 
 
 def _repeat_words(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds n_repeat_words: words inside three-word windows that the text holds twice or more."""
+    """Adds n_repeat_words: words inside three-word windows that the text holds twice or more; the windows of
+    a text are told apart by 64-bit hashes."""
     windows = F.when(F.size("_words") >= 3, F.transform(
         F.slice("_words", 1, F.size("_words") - 2),
-        lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2))))
+        lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))))
     df = df.select(*keep, windows.alias("_windows"))
     twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
     places = F.transform("_windows", lambda w, i: F.struct(w.alias("k"), i.alias("i")))
@@ -49,20 +50,30 @@ def with_stats(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     df = df.select(*keep, whole(F.col(text)).alias("_text"))
     df = df.select(*keep, "_text", words(F.col("_text")).alias("_words"),
                    F.filter(F.split("_text", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"))
-    counts = [F.char_length("_text") - F.char_length(F.regexp_replace("_text", pattern, "")) for _, pattern in CHAR_CLASSES]
     flat = {
         "n_chars": F.char_length("_text"),
         "n_words": F.size("_words"),
-        "word_chars": F.char_length(F.regexp_replace("_text", BLANK_RUN, "")),
         "n_distinct": F.size(F.array_distinct("_words")),
-        "n_symbols": F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, "")),
         "n_lines": F.size("_lines"),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
     }
-    df = df.select(*keep, "_words", *[c.cast("long").alias(name) for name, c in flat.items()],
-                   F.array(*[c.cast("long") for c in counts]).alias("_counts"))
-    rest = F.col("n_chars") - reduce(lambda a, b: a + b, [F.col("_counts")[n] for n in range(len(CHAR_CLASSES))])
-    df = df.select(*keep, "_words", *flat, F.concat("_counts", F.array(rest)).alias("char_counts"))
+    df = df.select(*keep, "_words", "_text", *[c.cast("long").alias(name) for name, c in flat.items()])
+    # no character is of two classes: each class is counted in what the ones before it have left, the most frequent first
+    place, done = {name: n for n, (name, _) in enumerate(CHAR_CLASSES)}, []
+    for name in sorted(place, key=_OFTEN.index):
+        left = F.regexp_replace("_text", CHAR_CLASSES[place[name]][1], "")
+        if name == "symbol":
+            own = (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long")
+            df = df.withColumn("n_symbols", own)
+        before = ["_words", *flat, *done, *(["n_symbols"] if "n_symbols" in df.columns else [])]
+        df = df.select(*keep, *before, F.char_length("_text").alias("_size"), left.alias("_text"))
+        df = df.select(*keep, *before, "_text", (F.col("_size") - F.char_length("_text")).cast("long").alias(f"_n_{name}"))
+        done.append(f"_n_{name}")
+    # blanks between words are the white space of their class
+    own = {**{name: F.col(name) for name in flat}, "n_symbols": F.col("n_symbols"), "word_chars": F.col("n_chars") - F.col("_n_blank")}
+    counts = F.array(*[F.col(f"_n_{name}") for name, _ in CHAR_CLASSES], F.char_length("_text").cast("long"))
+    flat = ["n_chars", "n_words", "word_chars", "n_distinct", "n_symbols", "n_lines", "n_dup_lines"]
+    df = df.select(*keep, "_words", *[own[name].alias(name) for name in flat], counts.alias("char_counts"))
     df = _repeat_words(df, [*keep, *flat, "char_counts"])
     # a generated row: as plain columns, a filter on the result would pull all steps down into itself
     return df.select(F.inline(F.array(F.struct(*df.columns))))
