@@ -37,7 +37,7 @@ MINI_WORDS = 8
 BUCKET_STRINGS = 1000
 
 _KMERS = "doc_id long, text_key long, mini long, digest binary, start int, n int, times int"
-_PACKED = "doc_id long, text_key long, mini long, single boolean, start int, packed binary"
+_PACKED = "doc_id long, text_key long, mini long, single boolean, start int, packed binary, large boolean"
 _SPANS = "doc_id long, text_key long, low int, high int"
 
 
@@ -97,18 +97,18 @@ def _super_kmers(batch: pa.RecordBatch, window: int, mini: int) -> Iterator[pa.R
 
 def _cut(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
     """Packed strings of the super-k-mers that the texts' lists name."""
-    out: list[list] = [[] for _ in range(6)]
+    out: list[list] = [[] for _ in range(7)]
     rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch, 2), batch.column(3).to_pylist())
     for doc_id, key, text, wanted in rows:
         words = text.split()
         for own in wanted:
             start = own["start"]
-            row = (doc_id, key, own["mini"], own["single"], start, b" ".join(words[start:start + own["n"] + window - 1]))
+            row = (doc_id, key, own["mini"], own["single"], start, b" ".join(words[start:start + own["n"] + window - 1]), own["large"])
             for column, value in zip(out, row):
                 column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.bool_()]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                     names=["doc_id", "text_key", "mini", "single", "start", "packed"])
+                                     names=["doc_id", "text_key", "mini", "single", "start", "packed", "large"])
 
 
 def _bucket(rows: list[tuple], window: int) -> list[tuple]:
@@ -218,11 +218,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = _maybe(source, wanted).where("maybe").drop("maybe")
     texts = near.join(wanted.hint("merge"), _same(near, wanted)).select(near["doc_id"], near["text_key"], "text", "wanted")
     texts = saved(map_arrow(texts, partial(_cut, window=window), _PACKED, "text"), "packed")
-    large = mixed.where("large").select("mini")
-    dealt = texts.join(large, "mini", "left_anti").select(*texts.columns).repartition("mini").sortWithinPartitions("mini")
+    # no join below: Spark would take its exchange for this one, and may then split or localise it
+    dealt = texts.where("not large").drop("large").repartition("mini").sortWithinPartitions("mini")
     compared = dealt.mapInArrow(partial(_buckets, window=window), _SPANS)
-    rows = texts.join(large, "mini", "left_semi").select(*texts.columns)
-    rows = saved(map_arrow(rows, partial(_windows, window=window),
+    rows = saved(map_arrow(texts.where("large"), partial(_windows, window=window),
                            "doc_id long, text_key long, single boolean, digest binary, start int", "packed"), "windows")
     again = saved(rows.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest"), "again")
     counted = rows.where("single").join(again, "digest", "left_semi").select(

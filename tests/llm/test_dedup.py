@@ -176,6 +176,34 @@ def test_substring_report(docs, rows, as_rows, window, strings):
     assert as_rows(substring_dedup.report(docs, window=window, bucket_strings=strings)) == sorted(want, key=repr)
 
 
+JOINS = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.01",
+         "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.enabled": "false"}
+LATE = {"autoBroadcastJoinThreshold": "1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
+        "adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.mark.parametrize("settings", [JOINS, LATE])
+def test_buckets_stay_whole(spark, as_rows, settings):
+    """Strings of one minimiser meet in one task, also where joins are split or turned into broadcasts at run time."""
+    draw = random.Random(5)
+    passages = [" ".join(draw.choice("abcdefgh") * 3 for _ in range(45)) for _ in range(60)]
+    hot = " ".join(f"hot{n}" for n in range(45))
+    rows = [(n, f"{n} {passages[n % 60]} {draw.random()} {passages[draw.randrange(60)]} " + (f"{hot} {draw.random()}" if n % 5 == 0 else ""))
+            for n in range(600)]
+    rows = [(n, text[draw.randrange(40):]) for n, text in rows]
+    want = [(n, len(words(t)), len(words(t)) - len(k), hashlib.sha256(b" ".join(k)).hexdigest())
+            for (n, t), k in zip(rows, removed(rows, 35))]
+    settings = {f"spark.sql.{k}": v for k, v in settings.items()}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        assert as_rows(substring_dedup.report(docs, bucket_strings=50)) == sorted(want, key=repr)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_remove_repeats(docs, rows, as_rows):
     want = []
     for row, kept in zip(rows, removed(rows, 35)):
