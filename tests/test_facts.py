@@ -332,3 +332,13 @@ def test_statements_under_the_second_source_s_ticker(spark):
     companies = spark.createDataFrame([(1, "GOOGL"), (2, "abc"), (3, "XYZ")], "id long, ticker string")
     got = statements.company_payloads(payloads, companies).collect()
     assert sorted((r.company_id, r.payload) for r in got) == [(1, "g"), (2, "a")]
+
+
+def test_partitions_grow_with_the_books(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = domain.stored_books(spark, folder).count()
+    assert rows > least and domain.partitions(spark, folder) == least
+    monkeypatch.setattr(domain, "BOOKS_PER_PARTITION", 2)
+    assert domain.partitions(spark, folder) == -(-rows // 2)
+    assert domain.cells(spark, folder).rdd.getNumPartitions() == -(-rows // 2)
