@@ -8,6 +8,7 @@ stays within the limit, all of them are admitted whatever happened before.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -66,8 +67,12 @@ def busy_slices(log: DataFrame, window_us: int) -> DataFrame:
             .select("key_id", "slice", "run"))
 
 
+#: The time of the row that brings a group's entry state, before all others; also marks an admitted request.
+_ENTRY = -(1 << 63)
+
+
 class Replay:
-    """The recursion over one key's requests in order, in numpy stretches.
+    """The recursion over one key's requests in order.
 
     While the limit stays the same, either a request is admitted, or nothing changes before the oldest
     admitted one leaves the window: everything up to then is rejected in one step. So the work is one
@@ -79,91 +84,106 @@ class Replay:
 
     def waits(self, us: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Seconds to wait for each of the next requests; NaN for the admitted ones."""
-        out = np.full(len(us), np.nan)
-        cuts = [0, *(np.flatnonzero(limit[1:] != limit[:-1]) + 1).tolist(), len(us)]
+        us = np.asarray(us, "int64")
+        times, oldest = us.tolist(), us.copy()
+        cuts = [0, *(np.flatnonzero(limit[1:] != limit[:-1]) + 1).tolist(), len(us)] if len(us) else []
         for start, stop in zip(cuts, cuts[1:]):
-            self._stretch(us[start:stop], int(limit[start]) if start < stop else 0, out[start:stop])
-        return out
-
-    def _stretch(self, us: np.ndarray, limit: int, out: np.ndarray) -> None:
-        hits, window_us, at = self.hits, self.window_us, 0
-        while at < len(us):
-            now = int(us[at])
+            self.stretch(times, start, stop, int(limit[start]), oldest)
+        return _waits(us, oldest, self.window_us)
+
+    def stretch(self, us: list[int], start: int, stop: int, limit: int, oldest: np.ndarray) -> None:
+        """Replays the times from ``start`` to ``stop``, which have one limit. Into ``oldest`` goes ``_ENTRY``
+        for the admitted ones and the admitted time that stands in the way of others, if there is any."""
+        hits, window_us, at = self.hits, self.window_us, start
+        while at < stop:
+            now = us[at]
             while hits and hits[0] <= now - window_us:
                 hits.popleft()
             if len(hits) < limit:
                 hits.append(now)
+                oldest[at] = _ENTRY
                 at += 1
-                continue
-            if hits:
-                to = int(np.searchsorted(us, hits[0] + window_us, side="left"))
-                out[at:to] = (window_us - (us[at:to] - hits[0])) / 1_000_000
+            elif hits:
+                to = bisect_left(us, hits[0] + window_us, at, stop)
+                oldest[at:to] = hits[0]
+                at = to
             else:  # never admitted: told to wait a whole window
-                to = len(us)
-                out[at:] = window_us / 1_000_000
-            at = to
+                break
+
+
+def _waits(us: np.ndarray, oldest: np.ndarray, window_us: int) -> np.ndarray:
+    return np.where(oldest == _ENTRY, np.nan, (window_us - (us - oldest)) / 1_000_000)
 
 
 _GROUP = ["key_id", "run", "piece"]
-#: The time of the row that brings a group's entry state, before all others.
-_ENTRY = -(1 << 63)
+#: Requests of the log that a task of the replay stands for.
+REQUESTS_PER_PIECE = 200_000
+
 
+def _replayed(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[tuple]]]:
+    """(rows, waits, groups that ended with the state behind them) of each frame of sorted rows, and the last
+    group after all. Only the state goes on from frame to frame.
 
-def _groups(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[tuple, pd.DataFrame, np.ndarray, Replay]]:
-    """(group, rows, waits, state behind them) of sorted rows; only the state goes on from frame to frame."""
+    Columns leave pandas once for a frame: most groups are a few rows, and a frame for each of them would
+    cost many times their replay.
+    """
     current, replay = None, None
     for frame in frames:
         if not len(frame):
             continue
-        marks = frame[_GROUP].to_numpy()
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
-        for start, stop in zip(cuts, cuts[1:]):
-            rows, group = frame.iloc[start:stop], tuple(marks[start].tolist())
+        marks, us, limit = frame[_GROUP].to_numpy(), frame["us"].to_numpy(), frame["limit"].to_numpy()
+        entry, oldest, left = us == _ENTRY, us.copy(), []
+        starts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1) | entry[:-1] | (limit[1:] != limit[:-1])) + 1).tolist()]
+        times = us.tolist()
+        for start, stop, group, most in zip(starts, [*starts[1:], len(frame)], map(tuple, marks[starts].tolist()), limit[starts].tolist()):
             if group != current:
+                if current is not None:
+                    left.append((*current, list(replay.hits)))
                 current, replay = group, Replay(window_us)
-            if rows["us"].iloc[0] == _ENTRY:
-                replay = Replay(window_us, [int(x) for x in rows["hits"].iloc[0]])
-                rows = rows.iloc[1:]
-            yield group, rows, replay.waits(rows["us"].to_numpy(), rows["limit"].to_numpy()), replay
+            if times[start] == _ENTRY:
+                replay = Replay(window_us, frame["hits"].iloc[start].tolist())
+            else:
+                replay.stretch(times, start, stop, most, oldest)
+        yield frame[~entry], _waits(us, oldest, window_us)[~entry], left
+    if current is not None:
+        yield frame[:0], np.empty(0), [(*current, list(replay.hits))]
 
 
-def _in_groups(rows: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+def _in_groups(rows: DataFrame, entries: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Rows by group, in order; a group's entry state is one more row, its first."""
     rows = rows.withColumn("hits", F.lit(None).cast("array<long>"))
     if entries is not None:
         first = entries.withColumn("us", F.lit(_ENTRY)).withColumn("limit", F.lit(0))
         rows = rows.unionByName(first, allowMissingColumns=True)
-    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "us", "event_id")
+    dealt = rows.repartition(tasks, *_GROUP) if tasks else rows.repartition(*_GROUP)
+    return dealt.sortWithinPartitions(*_GROUP, "us", "event_id")
 
 
-def _states(rows: DataFrame, window_us: int, entries: DataFrame | None = None) -> DataFrame:
+def _states(rows: DataFrame, window_us: int, entries: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(group, out): the admitted times that each group of rows leaves behind."""
     def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, left = None, None
-        for group, _, _, replay in _groups(frames, window_us):
-            if done is not None and group != done:
-                yield pd.DataFrame([(*done, left)], columns=[*_GROUP, "out"])
-            done, left = group, list(replay.hits)
-        if done is not None:
-            yield pd.DataFrame([(*done, left)], columns=[*_GROUP, "out"])
+        for _, _, left in _replayed(frames, window_us):
+            if left:
+                yield pd.DataFrame(left, columns=[*_GROUP, "out"])
 
-    return _in_groups(rows, entries).mapInPandas(last, "key_id long, run long, piece int, out array<long>")
+    return _in_groups(rows, entries, tasks).mapInPandas(last, "key_id long, run long, piece int, out array<long>")
 
 
-def entry_states(ordered: DataFrame, window_us: int) -> DataFrame:
+def entry_states(ordered: DataFrame, window_us: int, tasks: int | None = None) -> DataFrame:
     """(group, hits): the admitted times a piece of a run starts from, where a run lies in several pieces.
 
     All pieces of such runs are first replayed at once from nothing. What a piece leaves behind is where
     the next one starts; only pieces that start from something else than before are replayed again, until
     none is left. The replay is then right from the first piece on. A state forgets its start as soon as
     the key was below its limit, so that a few rounds settle most runs; a run whose state never forgets
-    needs a round for each of its pieces, none of which is more than its rows.
+    needs a round for each of its pieces, none of which is more than its rows. The first round, which sees
+    all of them, is dealt to ``tasks`` tasks.
     """
     by_run = Window.partitionBy("key_id", "run")
     pieces = ordered.select(*_GROUP).distinct().withColumn("n", F.count("*").over(by_run)).where("n > 1").drop("n")
     pieces = cut_lineage(pieces)
     split = ordered.join(pieces, _GROUP)
-    states = cut_lineage(_states(split, window_us).withColumn("hits", F.array().cast("array<long>")))
+    states = cut_lineage(_states(split, window_us, tasks=tasks).withColumn("hits", F.array().cast("array<long>")))
     while True:
         before = F.coalesce(F.lag("out").over(by_run.orderBy("piece")), F.array().cast("array<long>"))
         states = states.withColumn("before", before)
@@ -181,10 +201,12 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
     """Admission of every request of (key_id, tier, event_id, ts), with the seconds to wait if not.
 
     Requests in calm slices are answered by columns alone. Only runs of busy slices go through the
-    recursion: dealt by ranges of key, run and time into ``pieces`` (by default as many as a shuffle has),
-    so that a key that stays at its limit without a break is many tasks' work, and streamed in order with
-    at most ``limit`` admitted times in memory.
+    recursion: dealt by ranges of key, run and time into ``pieces`` (by default as many as a shuffle has, and
+    more where the log grows), so that a key that stays at its limit without a break is many tasks' work, and
+    streamed in order with at most ``limit`` admitted times in memory.
     """
+    if pieces is None:
+        pieces = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-log.count() // REQUESTS_PER_PIECE))
     window_us = window_seconds * 1_000_000
     log = log.select("key_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
                      limit_of(F.col("tier"), limits or fixed.TIER_LIMITS).alias("limit")) \
@@ -197,7 +219,7 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
         F.lit(None).cast("double").alias("wait_seconds"))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows, waits, _ in _groups(frames, window_us):
+        for rows, waits, _ in _replayed(frames, window_us):
             out = rows[["key_id", "event_id", "ts"]].copy()
             out["admitted"] = np.isnan(waits)
             out["wait_seconds"] = pd.array(np.where(np.isnan(waits), None, waits), dtype="Float64")
@@ -205,6 +227,6 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
 
     order = ["key_id", "run", "us", "event_id"]
     busy = placed.filter(F.col("run").isNotNull()).select(*order, "ts", "limit")
-    busy = busy.repartitionByRange(pieces, *order) if pieces else busy.repartitionByRange(*order)
-    ordered = cut_lineage(busy.withColumn("piece", F.spark_partition_id()))
-    return calm.unionByName(_in_groups(ordered, entry_states(ordered, window_us)).mapInPandas(decide, result))
+    ordered = cut_lineage(busy.repartitionByRange(pieces, *order).withColumn("piece", F.spark_partition_id()))
+    entries = entry_states(ordered, window_us, pieces)
+    return calm.unionByName(_in_groups(ordered, entries, pieces).mapInPandas(decide, result))

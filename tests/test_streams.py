@@ -90,6 +90,24 @@ def test_pieces_of_a_run_start_where_the_one_before_ended(spark):
     assert max(r["n"] for r in ordered.groupBy("piece").agg(F.count("*").alias("n")).collect()) <= 101
 
 
+def test_runs_of_a_few_rows_share_their_frames():
+    """A frame of many groups comes out as one frame, and the groups that ended in it as one list."""
+    rows = [(key, 1, 0, us, 10 * key + n, 2, None) for key in range(500) for n, us in enumerate([0, 1, 2, 60_000_000])]
+    frame = pd.DataFrame(rows, columns=["key_id", "run", "piece", "us", "event_id", "limit", "hits"])
+    got = list(ratelimit._replayed(iter([frame[:1001], frame[1001:]]), 60_000_000))
+    assert [len(rows) for rows, _, _ in got] == [1001, 999, 0]
+    assert np.isnan(np.concatenate([waits for _, waits, _ in got])).tolist() == [True, True, False, True] * 500
+    assert [x for _, _, left in got for x in left] == [(key, 1, 0, [1, 60_000_000]) for key in range(500)]
+
+
+def test_pieces_grow_with_the_log(spark, monkeypatch):
+    monkeypatch.setattr(ratelimit, "REQUESTS_PER_PIECE", 50)
+    rows = random_log(4, 1000)
+    got = ratelimit.rate_limit_audit(spark.createDataFrame(rows, LOG), LIMITS)
+    assert got.rdd.getNumPartitions() >= 20
+    same(as_dict(got), plain_audit(rows, LIMITS, 60))
+
+
 def test_audit_at_the_window_edge(spark):
     rows = [(1, "free", n, START + dt.timedelta(seconds=s)) for n, s in enumerate([0, 1, 2, 59, 60, 60, 61, 200])]
     want = plain_audit(rows, LIMITS, 60)
