@@ -60,7 +60,7 @@ def landed(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def clustered(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """As ``landed``, for facts: a table in buckets of company and concept."""
+    """As ``landed``, for facts: a table in buckets of the company."""
 
     @wraps(build)
     def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,14 +148,25 @@ def partitions(spark: SparkSession, folder: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_books(spark, folder).count() // BOOKS_PER_PARTITION))
 
 
+def inlined(rows: DataFrame, made: list[Column], *kept: str) -> DataFrame:
+    """The ``kept`` columns (by default all) beside the fields of each of the structs ``made`` of a row.
+
+    The structs are columns before they are an array: Spark computes so many columns in many small methods,
+    while an array of all of them is one, which is too large for the JVM to compile.
+    """
+    own = [f"_made{n}" for n in range(len(made))]
+    wide = rows.select("*", *[column.alias(name) for column, name in zip(made, own)])
+    return wide.select(*(kept or rows.columns), F.inline(F.array(*own)))
+
+
 def cells(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (company_id, fiscal_year, period, vintage) with sums, dates and filing.
 
-    The books are laid out per year with a given partition count: each of their rows becomes hundreds
+    The books are laid out by company with a given partition count: each of their rows becomes hundreds
     of facts, so they must not be coalesced by their size before that. The partitioning then serves
-    everything grouped by company, year and more.
+    everything grouped by company and more, and the buckets that facts are stored in.
     """
-    rows = stored_books(spark, folder).repartition(partitions(spark, folder), "company_id", "fiscal_year")
+    rows = stored_books(spark, folder).repartition(partitions(spark, folder), "company_id")
     wide = rows.withColumn("fye", fye_month(F.col("company_id")))
     close = F.col("fiscal_year") * 12 + F.col("fye") - 1
     spill = F.when(F.col("company_id") % 10 == 3, 3).otherwise(0)
@@ -176,8 +187,8 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
             F.date_add(_month_start(month - (11 if period == "FY" else 2)), spill).alias("start_date"),
             F.date_add(F.last_day(_month_start(month)), spill).alias("end_date")))
 
-    every = F.array(*[cell(p, v) for v in (0, 1) for p in ["FY", *fixed.QUARTERS]])
-    rows = wide.select("company_id", "fiscal_year", F.inline(every)).filter(F.col("period").isNotNull())
+    every = [cell(p, v) for v in (0, 1) for p in ["FY", *fixed.QUARTERS]]
+    rows = inlined(wide, every, "company_id", "fiscal_year").filter(F.col("period").isNotNull())
     filed = F.date_add("end_date", F.when(F.col("v") == 0, 40).otherwise(400))
     rows = rows.withColumn("filed_date", filed)
     accession = F.concat(names.padded_cik(F.col("company_id") + 1000), F.lit("-"),
@@ -265,10 +276,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(c).alias("canonical_concept"), F.lit(fixed.BASELINE_TAG_PREFIX + column).alias("concept"),
         F.lit(UNITS.get(c, "USD")).alias("unit"), baseline_amount(c, money[c][1]).alias("value"),
         F.lit(True).alias("baseline"))) for _, column, c, flow in fixed.INGEST_FIELDS]
-    rows = (cells(spark, folder)
-            .select("*", F.inline(F.array(*filed, *second)))
-            .filter(F.col("value").isNotNull()))
-    base, cik = F.col("baseline"), names.padded_cik(i + 1000)
+    cik = names.padded_cik(i + 1000)
+    linked = cells(spark, folder).withColumns({
+        "company_url": F.concat(F.lit(fixed.COMPANY_URL), cik), "index_url": links.index_url(cik, F.col("accession_number"))})
+    rows = inlined(linked, [*filed, *second]).filter(F.col("value").isNotNull())
+    base = F.col("baseline")
     flow = F.col("canonical_concept").isin(sorted(FLOWS))
     return rows.select(
         "company_id", "concept", "canonical_concept", "unit", "value", "fiscal_year",
@@ -278,8 +290,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(base, fixed.BASELINE_ACCESSION).otherwise(F.col("accession_number")).alias("accession_number"),
         F.when(base, F.when(i % 5 == 1, F.col("end_date")).otherwise(F.date_add("end_date", 60)))
          .otherwise(F.col("filed_date")).alias("filed_date"),
-        F.when(base, F.concat(F.lit(fixed.COMPANY_URL), cik))
-         .otherwise(links.index_url(cik, F.col("accession_number"))).alias("source_url"),
+        F.when(base, F.col("company_url")).otherwise(F.col("index_url")).alias("source_url"),
         F.lit(False).alias("derived")).select(*FACT_COLUMNS)
 
 
@@ -331,8 +342,7 @@ def fact_payloads(spark: SparkSession, folder: str) -> DataFrame:
         entry(F.lit(True), "IncomeTaxExpenseBenefit", "USD", c("t"), start),
         entry((i % 12 == 7) & (c("period") == "FY"), "Assets", "USD", c("q"), start),
     ]
-    rows = (cells(spark, folder).filter(i % 10 != 0)
-            .select("*", F.inline(F.array(*entries))).filter(c("tag").isNotNull()))
+    rows = inlined(cells(spark, folder).filter(i % 10 != 0), entries).filter(c("tag").isNotNull())
     keys = ["company_id", "fiscal_year"]
     listed = F.sort_array(F.collect_list(F.struct(
         "accession_number", "end_date", "dup", "start", "val", "form", "filed_date")))

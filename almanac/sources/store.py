@@ -14,27 +14,28 @@ FACT_COLUMNS = [
 FACT_KEY = ["company_id", "concept", "fiscal_year", "fiscal_period", "accession_number", "derived"]
 
 
-# Facts at rest lie in buckets of these columns, which all selections and derivations group by.
-CLUSTERED_BY = ["company_id", "canonical_concept"]
+# Facts at rest lie in buckets of the company, which all selections, derivations and sheets group by.
+CLUSTERED_BY = ["company_id"]
+SORTED_BY = ["company_id", "canonical_concept"]
 
 
 def write_clustered(rows: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
-    """Writes facts as the table ``name`` at ``path``, bucketed and sorted by ``CLUSTERED_BY``, and reads it.
+    """Writes facts as the table ``name`` at ``path``, bucketed by ``CLUSTERED_BY``, sorted by ``SORTED_BY``, and reads it.
 
-    Selections by company, concept, year and period, and aggregates that group by company and concept,
-    then run on the scan's own partitioning, without an exchange. One company's concept is in one bucket.
+    Selections by company, concept, year and period, and aggregates that group by company and more, then
+    run on the scan's own partitioning, without an exchange. One company is in one bucket: its facts are as
+    many as its years and concepts. Rows that are dealt by company into as many partitions stay where they are.
     """
-    dealt = rows.repartition(buckets, *CLUSTERED_BY).sortWithinPartitions(*CLUSTERED_BY)
-    (dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *CLUSTERED_BY).sortBy(*CLUSTERED_BY).saveAsTable(name))
+    dealt = rows.repartition(buckets, *CLUSTERED_BY).sortWithinPartitions(*SORTED_BY)
+    (dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *CLUSTERED_BY).sortBy(*SORTED_BY).saveAsTable(name))
     return rows.sparkSession.table(name)
 
 
 def open_clustered(spark: SparkSession, name: str, path: str, schema: StructType, buckets: int) -> DataFrame:
     """The facts that another session has written with ``write_clustered``, with their buckets."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    by = ", ".join(CLUSTERED_BY)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-              f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+              f"CLUSTERED BY ({', '.join(CLUSTERED_BY)}) SORTED BY ({', '.join(SORTED_BY)}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 
 

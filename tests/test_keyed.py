@@ -6,7 +6,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import metrics, pointintime, reconcile, updates
+from almanac.operators import metrics, pointintime, reconcile, templates, updates
+from almanac.plans import domain
 from almanac.sources import keyed, store
 from tests.test_facts import FACT, random_facts
 
@@ -158,3 +159,20 @@ def test_selections_on_clustered_facts_need_no_exchange(spark, tmp_path):
         assert exchanges(job(again)) == exchanges(job(stored)) < exchanges(job(facts)), name
     for name in ("clustered_facts_test", "clustered_facts_again"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_facts_reach_their_buckets_and_sheets_without_an_exchange(spark, tmp_path):
+    """Rows dealt by company are written where they are, and a sheet's cells are gathered where they lie."""
+    facts = spark.createDataFrame(random_facts(7), FACT)
+    stored = store.write_clustered(facts, "clustered_sheets_test", str(tmp_path / "facts"), 4)
+    sheet = templates.dense_columns(stored)
+    assert read(sheet.select("company_id", "fiscal_year", F.size("cells"))) == read(templates.dense_columns(facts).select("company_id", "fiscal_year", F.size("cells")))
+    assert exchanges(sheet) == 0
+    spark.sql("DROP TABLE clustered_sheets_test")
+
+
+def test_structs_beside_their_row(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None)], "a int, b int")
+    made = [F.when(F.col("b").isNotNull(), F.struct((F.col("b") + n).alias("x"))) for n in range(2)]
+    assert read(domain.inlined(rows, made)) == sorted([(1, 5, 5), (1, 5, 6), (2, None, None), (2, None, None)], key=repr)
+    assert read(domain.inlined(rows, made, "a").where("x is not null")) == [(1, 5), (1, 6)]
