@@ -20,11 +20,13 @@ def reported_entries(payloads: DataFrame) -> DataFrame:
     """One row per reported entry of (company_id, page, payload), its dates as the payload writes them.
 
     Entries without a value and units other than money, shares and money per share are left out. The
-    three positions keep the arrival order for the first-wins append.
+    three positions keep the arrival order for the first-wins append. The outer explode keeps Spark from
+    testing below it that there is something to explode, for which every payload would be parsed again.
     """
     tags = (payloads
             .select("company_id", "page", F.from_json("payload", PAYLOAD)["facts"]["us-gaap"].alias("gaap"))
-            .select("company_id", "page", F.posexplode("gaap").alias("tag_no", "tag", "body")))
+            .select("company_id", "page", F.posexplode_outer("gaap").alias("tag_no", "tag", "body"))
+            .filter(F.col("tag_no").isNotNull()))
     units = (tags
              .select("company_id", "page", "tag_no", "tag",
                      F.posexplode("body.units").alias("unit_no", "unit", "entries"))

@@ -342,3 +342,13 @@ def test_partitions_grow_with_the_books(spark, monkeypatch):
     monkeypatch.setattr(domain, "BOOKS_PER_PARTITION", 2)
     assert domain.partitions(spark, folder) == -(-rows // 2)
     assert domain.cells(spark, folder).rdd.getNumPartitions() == -(-rows // 2)
+
+
+def test_payloads_are_parsed_once(spark):
+    """Also pages without facts, which give no rows."""
+    entry = {"val": 1.0, "end": "2023-12-31", "accn": "a", "form": "10-K", "filed": "2024-02-01"}
+    bodies = [json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [entry]}}}}}), '{"facts":{"us-gaap":{}}}', '{"facts":{}}', "no json", None]
+    rows = spark.createDataFrame([(n, 0, body) for n, body in enumerate(bodies)], "company_id long, page int, payload string")
+    got = companyfacts.reported_entries(rows)
+    assert [(r.company_id, r.tag_no, r.unit_no, r.entry_no, r.tag, r.value) for r in got.collect()] == [(0, 0, 0, 0, "Assets", 1.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
