@@ -116,18 +116,21 @@ def _waits(us: np.ndarray, oldest: np.ndarray, window_us: int) -> np.ndarray:
 
 
 _GROUP = ["key_id", "run", "piece"]
-#: Requests of the log that a task of the replay stands for.
+#: Requests of the log that a piece stands for.
 REQUESTS_PER_PIECE = 200_000
+#: How many times as many pieces of a run are replayed in a row as in the round before.
+_WIDER = 8
 
 
 def _replayed(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[tuple]]]:
     """(rows, waits, groups that ended with the state behind them) of each frame of sorted rows, and the last
-    group after all. Only the state goes on from frame to frame.
+    group after all. Only the state goes on from frame to frame; where rows have a ``block``, also from a
+    group to the next one of the same run and block.
 
     Columns leave pandas once for a frame: most groups are a few rows, and a frame for each of them would
     cost many times their replay.
     """
-    current, replay = None, None
+    current, within, replay = None, None, None
     for frame in frames:
         if not len(frame):
             continue
@@ -135,11 +138,14 @@ def _replayed(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[
         entry, oldest, left = us == _ENTRY, us.copy(), []
         starts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1) | entry[:-1] | (limit[1:] != limit[:-1])) + 1).tolist()]
         times = us.tolist()
-        for start, stop, group, most in zip(starts, [*starts[1:], len(frame)], map(tuple, marks[starts].tolist()), limit[starts].tolist()):
+        blocks = frame["block"].to_numpy()[starts].tolist() if "block" in frame else [None] * len(starts)
+        for start, stop, group, most, block in zip(starts, [*starts[1:], len(frame)], map(tuple, marks[starts].tolist()), limit[starts].tolist(), blocks):
             if group != current:
                 if current is not None:
                     left.append((*current, list(replay.hits)))
-                current, replay = group, Replay(window_us)
+                if block is None or within != (*group[:2], block):
+                    replay = Replay(window_us)
+                current, within = group, (*group[:2], block)
             if times[start] == _ENTRY:
                 replay = Replay(window_us, frame["hits"].iloc[start].tolist())
             else:
@@ -150,12 +156,13 @@ def _replayed(frames: Iterator[pd.DataFrame], window_us: int) -> Iterator[tuple[
 
 
 def _in_groups(rows: DataFrame, entries: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
-    """Rows by group, in order; a group's entry state is one more row, its first."""
+    """Rows by group, or by block where they have one, in order; the entry state is one more row, the first."""
     rows = rows.withColumn("hits", F.lit(None).cast("array<long>"))
     if entries is not None:
         first = entries.withColumn("us", F.lit(_ENTRY)).withColumn("limit", F.lit(0))
         rows = rows.unionByName(first, allowMissingColumns=True)
-    dealt = rows.repartition(tasks, *_GROUP) if tasks else rows.repartition(*_GROUP)
+    key = ["key_id", "run", "block"] if "block" in rows.columns else _GROUP
+    dealt = rows.repartition(tasks, *key) if tasks else rows.repartition(*key)
     return dealt.sortWithinPartitions(*_GROUP, "us", "event_id")
 
 
@@ -173,27 +180,38 @@ def entry_states(ordered: DataFrame, window_us: int, tasks: int | None = None) -
     """(group, hits): the admitted times a piece of a run starts from, where a run lies in several pieces.
 
     All pieces of such runs are first replayed at once from nothing. What a piece leaves behind is where
-    the next one starts; only pieces that start from something else than before are replayed again, until
-    none is left. The replay is then right from the first piece on. A state forgets its start as soon as
-    the key was below its limit, so that a few rounds settle most runs; a run whose state never forgets
-    needs a round for each of its pieces, none of which is more than its rows. The first round, which sees
-    all of them, is dealt to ``tasks`` tasks.
+    the next one starts; pieces that start from something else than before are replayed again, until none
+    is left. The replay is then right from the first piece on. A state forgets its start as soon as the key
+    was below its limit, so that one more round settles most runs. A run whose state never forgets can only
+    be followed in order: a replay goes on into the pieces after it, as far as the end of a block that is
+    ``_WIDER`` times as long in each round, so that the rounds are the logarithm of a run's pieces and all
+    of them together take about as many steps as the run has rows, in one task at last. Rows are dealt to
+    ``tasks`` tasks.
     """
-    by_run = Window.partitionBy("key_id", "run")
-    pieces = ordered.select(*_GROUP).distinct().withColumn("n", F.count("*").over(by_run)).where("n > 1").drop("n")
-    pieces = cut_lineage(pieces)
-    split = ordered.join(pieces, _GROUP)
-    states = cut_lineage(_states(split, window_us, tasks=tasks).withColumn("hits", F.array().cast("array<long>")))
+    run, none = ["key_id", "run"], F.array().cast("array<long>")
+    by_run = Window.partitionBy(*run)
+    in_order, wide = by_run.orderBy("piece"), 1
+    pieces = ordered.select(*_GROUP).distinct().withColumn("n", F.count("*").over(by_run)).where("n > 1")
+    pieces = cut_lineage(pieces.select(*_GROUP, (F.row_number().over(in_order) - 1).alias("place")))
+    alone = _states(ordered.join(pieces.drop("place"), _GROUP), window_us, tasks=tasks)
+    states = cut_lineage(alone.join(pieces, _GROUP).withColumn("hits", none))
     while True:
-        before = F.coalesce(F.lag("out").over(by_run.orderBy("piece")), F.array().cast("array<long>"))
-        states = states.withColumn("before", before)
-        changed = cut_lineage(states.where("hits != before").select(*_GROUP, F.col("before").alias("hits")))
-        if changed.isEmpty():
+        states = states.withColumn("before", F.coalesce(F.lag("out").over(in_order), none))
+        wide *= _WIDER
+        block = F.floor(F.col("place") / wide).alias("block")
+        first = F.min(F.struct("place", "piece", "before")).alias("first")
+        starts = states.where("hits != before").groupBy(*run, block).agg(first)
+        starts = cut_lineage(starts.select(*run, "block", "first.piece", F.col("first.place").alias("start"), F.col("first.before").alias("hits")))
+        if starts.isEmpty():
             return states.where(F.size("before") > 0).select(*_GROUP, F.col("before").alias("hits"))
-        again = _states(ordered.join(changed, _GROUP, "left_semi"), window_us, changed).join(changed, _GROUP)
-        new = again.select(*_GROUP, F.col("out").alias("new_out"), F.col("hits").alias("new_hits"))
-        states = cut_lineage(states.join(new, _GROUP, "left").select(
-            *_GROUP, F.coalesce("new_out", "out").alias("out"), F.coalesce("new_hits", "hits").alias("hits")))
+        again = pieces.withColumn("block", block).join(starts.drop("piece", "hits"), [*run, "block"]).where("place >= start")
+        new = _states(ordered.join(again.select(*_GROUP, "block"), _GROUP), window_us, starts.drop("start"), tasks)
+        states = (states.drop("before").join(new.withColumnRenamed("out", "new"), _GROUP, "left")
+                  .join(starts.select(*_GROUP, F.col("hits").alias("entry")), _GROUP, "left")
+                  .withColumn("out", F.coalesce("new", "out")))
+        # a replay that went on into a piece started there from what the piece before now leaves
+        went_on = F.when(F.col("new").isNotNull(), F.coalesce(F.lag("out").over(in_order), none))
+        states = cut_lineage(states.select(*_GROUP, "place", "out", F.coalesce("entry", went_on, "hits").alias("hits")))
 
 
 def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
@@ -201,12 +219,13 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
     """Admission of every request of (key_id, tier, event_id, ts), with the seconds to wait if not.
 
     Requests in calm slices are answered by columns alone. Only runs of busy slices go through the
-    recursion: dealt by ranges of key, run and time into ``pieces`` (by default as many as a shuffle has, and
-    more where the log grows), so that a key that stays at its limit without a break is many tasks' work, and
-    streamed in order with at most ``limit`` admitted times in memory.
+    recursion: dealt by ranges of key, run and time into ``pieces`` (by default as many as the log's rows ask
+    for), so that a key that stays at its limit without a break is many tasks' work, and streamed in order with
+    at most ``limit`` admitted times in memory. Pieces are dealt to as many tasks as a shuffle has at least.
     """
     if pieces is None:
-        pieces = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-log.count() // REQUESTS_PER_PIECE))
+        pieces = max(1, -(-log.count() // REQUESTS_PER_PIECE))
+    tasks = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces)
     window_us = window_seconds * 1_000_000
     log = log.select("key_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
                      limit_of(F.col("tier"), limits or fixed.TIER_LIMITS).alias("limit")) \
@@ -229,4 +248,4 @@ def rate_limit_audit(log: DataFrame, limits: dict[str, int] | None = None,
     busy = placed.filter(F.col("run").isNotNull()).select(*order, "ts", "limit")
     ordered = cut_lineage(busy.repartitionByRange(pieces, *order).withColumn("piece", F.spark_partition_id()))
     entries = entry_states(ordered, window_us, pieces)
-    return calm.unionByName(_in_groups(ordered, entries, pieces).mapInPandas(decide, result))
+    return calm.unionByName(_in_groups(ordered, entries, tasks).mapInPandas(decide, result))

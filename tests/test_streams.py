@@ -79,6 +79,17 @@ def test_audit_of_one_key_split_over_tasks(spark, kind):
     same(as_dict(got), plain_audit(rows, LIMITS, 60))
 
 
+@pytest.mark.parametrize("kind", ["even", "tiers"])
+def test_rounds_are_few_where_a_run_never_forgets(spark, monkeypatch, kind):
+    """A run in 40 pieces took a round for each of them."""
+    rows = [(1, "free" if kind == "even" else ["free", "pro", "enterprise"][n % 7 % 3], n, START + dt.timedelta(seconds=n // 4)) for n in range(2000)]
+    rounds, states = [], ratelimit._states
+    monkeypatch.setattr(ratelimit, "_states", lambda *a, **k: rounds.append(1) or states(*a, **k))
+    got = ratelimit.rate_limit_audit(spark.createDataFrame(rows, LOG).repartition(5), LIMITS, pieces=40)
+    same(as_dict(got), plain_audit(rows, LIMITS, 60))
+    assert 2 < len(rounds) <= 4
+
+
 def test_pieces_of_a_run_start_where_the_one_before_ended(spark):
     rows = [(1, 7, 1_000_000 * n, n, 3, n // 100) for n in range(1000)] + [(2, 1, 5, 5000, 3, 9)]
     ordered = spark.createDataFrame(rows, "key_id long, run long, us long, event_id long, limit int, piece int")
