@@ -22,8 +22,9 @@ def append_facts(table: KeyedTable, candidates: DataFrame) -> DataFrame:
 
 
 def relink_sources(table: KeyedTable, companies: DataFrame, documents: DataFrame) -> None:
-    """Deepens the audit links of the companies that have new documents."""
-    table.update(documents.select("company_id"), lambda rows: identity.relink_sources(rows, companies, documents))
+    """Deepens the audit links of the companies that have new documents; others have none to join, so that
+    buckets are relinked whole."""
+    table.rewrite(documents.select("company_id"), lambda rows: identity.relink_sources(rows, companies, documents))
 
 
 def refresh_metrics(table: KeyedTable, facts: KeyedTable, touched: DataFrame) -> None:

@@ -643,7 +643,7 @@ def _keyed(spark, name, schema):
 
 def _stored(spark, name, rows):
     table = _keyed(spark, name, rows.schema)
-    table.append(rows)
+    table.append(rows, laid=True)
     return table
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _BUCKET = "_bucket"
+#: So many different keys, of one or two short columns, are sent to all tasks instead of rows to the keys.
+FEW_KEYS = 1_000_000
 
 
 class ConcurrentChange(RuntimeError):
@@ -82,7 +84,20 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
     def _buckets_of(self, keys: DataFrame) -> set[str]:
-        return {str(r[0]) for r in keys.select(self.bucket_of().alias(_BUCKET)).distinct().collect()}
+        return set(self._keys_in(keys))
+
+    def _keys_in(self, keys: DataFrame) -> dict[str, int]:
+        """How many of the different ``keys`` each bucket has."""
+        return {str(r[0]): r[1] for r in keys.select(*self.key).distinct().groupBy(self.bucket_of()).count().collect()}
+
+    def _matched(self, rows: DataFrame, keys: DataFrame, on: list[str], how: str, few: bool) -> DataFrame:
+        """``rows`` with (``left_semi``) or without (``left_anti``) the ``keys``, null equal to null. A
+        ``few`` keys go to the rows, so that these are not dealt out anew."""
+        keys = keys.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_gone_{c}"))
+        return rows.join(keys.hint("broadcast") if few else keys, same, how)
 
     def _read(self, contents: dict, buckets: set[str] | None = None) -> DataFrame:
         folders = [f"{self.path}/data/{part}/{_BUCKET}={b}" for b, parts in contents["buckets"].items()
@@ -94,12 +109,26 @@ class KeyedTable:
         contents = self._manifest()[1]
         return self._read(contents, None if keys is None else self._buckets_of(keys))
 
+    def read_keys(self, keys: DataFrame) -> DataFrame:
+        """The rows of the ``keys`` as of now."""
+        contents, found = self._manifest()[1], self._keys_in(keys)
+        return self._matched(self._read(contents, set(found)), keys, self.key, "left_semi", sum(found.values()) <= FEW_KEYS)
+
+    def read_added(self, added: dict[str, list[str]]) -> DataFrame:
+        """The rows that an ``append`` has added, as they were written."""
+        return self._read({"buckets": added})
+
     # --- changes
 
-    def _write(self, rows: DataFrame) -> tuple[str, list[str]]:
+    def _dealt(self, rows: DataFrame, laid: bool = False) -> DataFrame:
+        """The rows with their bucket, to be written. Rows that are ``laid`` out in partitions of some size stay
+        there, a file for each partition and bucket: an exchange would put all of them on disk once more."""
+        rows = rows.select(*self.schema.names).withColumn(_BUCKET, self.bucket_of())
+        return rows if laid else rows.hint("rebalance", _BUCKET)
+
+    def _write(self, dealt: DataFrame) -> tuple[str, list[str]]:
         """A new folder with the rows, and the buckets that have any."""
         part = uuid.uuid4().hex
-        dealt = rows.select(*self.schema.names).withColumn(_BUCKET, self.bucket_of()).hint("rebalance", _BUCKET)
         dealt.sortWithinPartitions(_BUCKET, *self.key).write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{part}")
         return part, [n.partition("=")[2] for n in self._listed(f"data/{part}") if n.startswith(f"{_BUCKET}=")]
 
@@ -108,31 +137,44 @@ class KeyedTable:
             contents["marks"][mark[0]] = mark[1]
         full = [b for b, parts in contents["buckets"].items() if len(parts) >= self.compact_at]
         if full:
-            part, _ = self._write(self._read(contents, set(full)))
+            part, _ = self._write(self._dealt(self._read(contents, set(full))))
             contents["buckets"] |= {b: [part] for b in full}
         self._commit(version, contents)
 
-    def append(self, rows: DataFrame, mark: tuple[str, int] | None = None) -> None:
-        """Adds rows. A ``mark`` (writer, number) is kept with the change."""
+    def append(self, rows: DataFrame, mark: tuple[str, int] | None = None, laid: bool = False) -> dict[str, list[str]]:
+        """Adds rows, and gives their folder by bucket, for ``read_added``. A ``mark`` (writer, number) is kept
+        with the change."""
         version, contents = self._manifest()
-        part, found = self._write(rows)
+        part, found = self._write(self._dealt(rows, laid))
         for bucket in found:
             contents["buckets"].setdefault(bucket, []).append(part)
         self._put(version, contents, mark)
+        return {bucket: [part] for bucket in found}
 
-    def replace(self, keys: DataFrame, rows: DataFrame, on: list[str] | None = None, mark: tuple[str, int] | None = None) -> None:
+    def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], mark: tuple[str, int] | None = None) -> None:
+        """Replaces all rows of the buckets that hold the ``keys`` by what ``change`` makes of them, which must
+        leave the rows of other keys as they are and those of a key in their bucket. Nothing is sorted out by key."""
+        version, contents = self._manifest()
+        touched = self._buckets_of(keys)
+        part, found = self._write(self._dealt(change(self._read(contents, touched)), laid=True))
+        contents["buckets"] = {b: parts for b, parts in contents["buckets"].items() if b not in touched} | {b: [part] for b in found}
+        self._put(version, contents, mark)
+
+    def replace(self, keys: DataFrame, rows: DataFrame, on: list[str] | None = None, mark: tuple[str, int] | None = None, laid: bool = False) -> None:
         """Takes out the rows of all ``keys`` and puts ``rows`` in. ``on`` are the columns that tell which
         rows go (by default the key); they include the key."""
         on = on or self.key
         version, contents = self._manifest()
         keys = keys.select(*on).distinct()
-        touched = self._buckets_of(keys)
-        gone = keys.select(*[F.col(c).alias(f"_gone_{c}") for c in on])
-        same = F.lit(True)
-        for c in on:
-            same = same & F.col(c).eqNullSafe(F.col(f"_gone_{c}"))
-        kept = self._read(contents, touched).join(gone, same, "left_anti")
-        part, found = self._write(kept.unionByName(rows.select(*self.schema.names)))
+        in_bucket = self._keys_in(keys)
+        touched, few = set(in_bucket), sum(in_bucket.values()) <= FEW_KEYS
+        held = self._read(contents, touched)
+        if few and on != self.key:  # only rows of the keys are dealt out, to be compared by all columns
+            own = self._matched(held, keys, self.key, "left_semi", few)
+            kept = self._matched(held, keys, self.key, "left_anti", few).unionByName(self._matched(own, keys, on, "left_anti", False))
+        else:
+            kept = self._matched(held, keys, on, "left_anti", few)
+        part, found = self._write(self._dealt(kept.unionByName(rows.select(*self.schema.names)), laid))
         for bucket in touched - set(found):
             contents["buckets"].pop(bucket, None)
         for bucket in found:

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import metrics, pointintime, reconcile, templates, updates
+from almanac.operators import identity, metrics, pointintime, reconcile, templates, updates
 from almanac.plans import domain
 from almanac.sources import keyed, store
 from tests.test_facts import FACT, random_facts
@@ -114,6 +114,45 @@ def test_append_and_refresh_equal_a_rebuild(spark, tmp_path, seed):
     assert updates.append_facts(stored, again).isEmpty()
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """The plans of what is written to stored tables, where nothing is small enough to be broadcast by itself."""
+    plans, write = [], keyed.KeyedTable._write
+
+    def watched(table, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(table, rows)
+
+    monkeypatch.setattr(keyed.KeyedTable, "_write", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield plans
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_laid_rows_are_written_without_an_exchange(spark, table, written):
+    added = table.append(rows(spark, [(n, "a") for n in range(20)]).repartition(3), laid=True)
+    table.append(rows(spark, [(1, "b")]))
+    assert "REBALANCE" not in written[0] and "REBALANCE" in written[1]
+    assert read(table.read_added(added)) == sorted([(n, "a") for n in range(20)], key=repr)
+    assert read(table.read()) == sorted([(n, "a") for n in range(20)] + [(1, "b")], key=repr)
+
+
+def test_relinked_facts_are_dealt_out_once(spark, tmp_path, written):
+    """They were compared with the companies twice, and dealt to their buckets before each write."""
+    facts = spark.createDataFrame(random_facts(6), FACT)
+    facts = facts.unionByName(facts.limit(3).withColumn("company_id", F.lit(None).cast("long"))).cache()
+    companies = facts.select(F.col("company_id").alias("id"), F.lpad(F.col("company_id").cast("string"), 10, "0").alias("cik")).distinct()
+    documents = facts.where("company_id = 1 and accession_number <> 'simfin-baseline'").select("company_id", "accession_number").distinct() \
+        .withColumn("document", F.lit("d.htm"))
+    stored = keyed.KeyedTable(spark, str(tmp_path / "facts"), facts.schema, ["company_id"], buckets=4)
+    stored.append(facts, laid=True)
+    updates.relink_sources(stored, companies, documents)
+    assert "LeftSemi" not in written[-1] and "LeftAnti" not in written[-1] and "REBALANCE" not in written[-1]
+    got = stored.read()
+    assert got.where("source_url like '%d.htm'").count() > 0
+    assert read(got) == read(identity.relink_sources(facts, companies, documents))
+
+
 def test_metrics_of_touched_companies(spark, tmp_path):
     facts = spark.createDataFrame(random_facts(5), FACT)
     stored = keyed.KeyedTable(spark, str(tmp_path / "facts"), facts.schema, ["company_id"])
