@@ -14,11 +14,8 @@ from almanac.sources.keyed import KeyedTable
 def append_facts(table: KeyedTable, candidates: DataFrame) -> DataFrame:
     """Appends the new facts; running it again adds nothing. Gives the (company, concept, year) groups with
     new rows, from the rows as they were appended."""
-    fresh = store.new_facts(candidates, table.read(candidates))
-    before = table.read(candidates)
-    table.append(fresh)
-    added = table.read(candidates).join(before.select(*store.FACT_KEY), store.FACT_KEY, "left_anti")
-    return added.select(*pointintime.YEAR_KEY).distinct()
+    added = table.append(store.new_facts(candidates, table.read_keys(candidates)), laid=True)
+    return table.read_added(added).select(*pointintime.YEAR_KEY).distinct()
 
 
 def relink_sources(table: KeyedTable, companies: DataFrame, documents: DataFrame) -> None:
@@ -54,8 +51,8 @@ def refresh_selection(table: KeyedTable, facts: KeyedTable, groups: DataFrame) -
     """Selects and derives again what the (company, concept, year) groups hold; other groups aren't read
     beyond their bucket, and keep their rows."""
     groups = groups.select(*pointintime.YEAR_KEY).distinct()
-    own = facts.read(groups).join(groups, pointintime.YEAR_KEY, "left_semi")
-    table.replace(groups, complete_selection(own), on=pointintime.YEAR_KEY)
+    own = facts.read_keys(groups).join(groups, pointintime.YEAR_KEY, "left_semi")
+    table.replace(groups, complete_selection(own), on=pointintime.YEAR_KEY, laid=True)
 
 
 def ingest_baseline(universe: DataFrame, ciks: DataFrame, payloads: DataFrame, companies: KeyedTable, facts: KeyedTable,

@@ -153,6 +153,25 @@ def test_relinked_facts_are_dealt_out_once(spark, tmp_path, written):
     assert read(got) == read(identity.relink_sources(facts, companies, documents))
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_few_keys_go_to_the_rows(spark, tmp_path, monkeypatch, written, few):
+    """All stored facts were dealt out anew to find those of the groups, and of the keys already stored."""
+    monkeypatch.setattr(keyed, "FEW_KEYS", few)
+    facts = spark.createDataFrame(random_facts(7), FACT)
+    late = (F.col("company_id") == 1) & (F.col("fiscal_year") % 2 == 0)
+    stored = keyed.KeyedTable(spark, str(tmp_path / "facts"), facts.schema, ["company_id"], buckets=4)
+    selected = keyed.KeyedTable(spark, str(tmp_path / "selected"), facts.schema, ["company_id"], buckets=4)
+    first = store.new_facts(facts.where(~late).withColumn("arrival", F.lit(0)), spark.createDataFrame([], facts.schema)).cache()
+    stored.append(first)
+    selected.append(updates.complete_selection(stored.read()))
+    arrived = facts.where(late).withColumn("arrival", F.lit(0))
+    groups = updates.append_facts(stored, arrived)
+    assert read(groups) == read(facts.where(late).select(*pointintime.YEAR_KEY).distinct())
+    updates.refresh_selection(selected, stored, groups)
+    assert all(("BroadcastHashJoin" in plan) == bool(few) for plan in written[-2:])
+    assert read(selected.read()) == read(updates.complete_selection(stored.read()))
+
+
 def test_metrics_of_touched_companies(spark, tmp_path):
     facts = spark.createDataFrame(random_facts(5), FACT)
     stored = keyed.KeyedTable(spark, str(tmp_path / "facts"), facts.schema, ["company_id"])
